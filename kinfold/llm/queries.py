@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact, jaccard, langid, packing, secrets, sharding
+from . import ann, exact, jaccard, langid, lm, packing, secrets, sharding, toxicity
 from .bpe import digests
 from .common import remainder
 
@@ -76,8 +76,21 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(documents(spark, sf_dir), width=4, percent=85)
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    held_out = remainder("doc_id", 10) == 0
+    return lm.score(documents(spark, sf_dir), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, held_out)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    rows = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_langid, op4_exact_dedup, op5_bpe, op6_ann, op7_secrets, op8_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_langid, op4_exact_dedup, op5_bpe, op6_ann, op7_secrets, op8_ngram_jaccard, op9_lm_scoring, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
