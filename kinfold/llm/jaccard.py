@@ -77,6 +77,7 @@ class Signatures:
     def __init__(self, percent: int, cost: int = 10, step: float = 1.4):
         self.percent, self.cost, self.step = percent, cost, step
         self.ends = [1]
+        self.plans: dict[int, tuple[int, bool]] = {}
 
     def differ(self, size: int) -> int:
         """Elements in which linked sets of at most this size can differ."""
@@ -90,19 +91,25 @@ class Signatures:
         return [i, i + 1] if self.percent * (self.ends[i] + 1) <= 100 * size else [i]
 
     def light(self, end: int) -> bool:
-        return sum(comb(end, j) for j in range(self.differ(end) + 1)) <= self.cost * end
+        subsets = 0
+        for j in range(self.differ(end) + 1):
+            subsets += comb(end, j)
+            if subsets > self.cost * end:
+                return False
+        return True
 
     def __call__(self, items: np.ndarray) -> np.ndarray:
         out = [self._of(items, i) for i in self.classes(len(items))] if len(items) else []
         return np.unique(np.concatenate(out)).astype(np.int64) if out else np.zeros(0, np.int64)
 
     def _of(self, items: np.ndarray, i: int) -> np.ndarray:
-        end = self.ends[i]
-        k, salt = self.differ(end), np.uint64(i * 0xD6E8FEB86659FD93 % (1 << 64))
+        if i not in self.plans:
+            self.plans[i] = self.differ(self.ends[i]), self.light(self.ends[i])
+        (k, light), salt = self.plans[i], np.uint64(i * 0xD6E8FEB86659FD93 % (1 << 64))
         if not k:
             return np.zeros(0, np.uint64)  # such sets link only if equal
         weight = mix(items + salt)
-        if self.light(end):
+        if light:
             total = weight.sum(keepdims=True, dtype=np.uint64)
             gone = [list(c) for size in range(1, min(k, len(items) - 1) + 1) for c in combinations(range(len(items)), size)]
             lacking = [total, *(total - weight[np.array([c for c in gone if len(c) == size])].sum(1, dtype=np.uint64) for size in {len(c) for c in gone})]

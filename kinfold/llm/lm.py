@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .bpe import ChunkEncoder, rank_encoder
 from .common import pieces, release, remainder, stored
 
-WINDOW, STRIDE, WIDTH, CLASSES, INPUTS = 32, 24, 16, 128, 4096
+WINDOW, STRIDE, WIDTH, CLASSES, INPUTS = 32, 26, 16, 96, 4096
 
 
 @dataclass
@@ -42,16 +42,18 @@ class Model:
         """Hidden states of windows of ids, and what the gradient needs."""
         p = self.p
         x = p["e"][self.symbol[ids]] + p["pos"][: ids.shape[1]]
-        q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
-        s = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5)
-        s += np.triu(np.full(s.shape[1:], -1e9, np.float32), 1)
-        s -= s.max(2, keepdims=True)
+        flat = x.reshape(-1, WIDTH)  # one product for all windows
+        q, k, v = (y.reshape(x.shape) for y in (flat @ (p["q"] * np.float32(WIDTH**-0.5)), flat @ p["k"], flat @ p["v"]))
+        s = q @ k.transpose(0, 2, 1)
+        np.minimum(s, np.float32(60), out=s)  # exp stays finite
         np.exp(s, out=s)
+        s *= np.tril(np.ones(s.shape[1:], np.float32))  # causal: later places get no weight
+        s += np.float32(1e-30) * np.eye(s.shape[1], dtype=np.float32)
         s /= s.sum(2, keepdims=True)
         o = s @ v
-        return x + o @ p["o"], (x, q, k, v, s, o)
+        return x + (o.reshape(-1, WIDTH) @ p["o"]).reshape(x.shape), (x, q, k, v, s, o)
 
-    def score(self, texts: list[np.ndarray], batch: int = 512) -> np.ndarray:
+    def score(self, texts: list[np.ndarray], batch: int = 64) -> np.ndarray:
         """log10 probability of each text's ids and the end after them."""
         ctx = WINDOW - STRIDE
         rows, wanted, owner = [], [], []
@@ -70,14 +72,41 @@ class Model:
         if not rows:
             return total
         rows, wanted, owner = np.concatenate(rows), np.concatenate(wanted), np.concatenate(owner)
+        p = self.p
+        qkv = np.concatenate([p["q"] * np.float32(WIDTH**-0.5), p["k"], p["v"]], 1)
+        causal = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+        # buffers are kept from batch to batch: fresh memory costs more than the products
+        x, o, d = (np.empty((batch, WINDOW, WIDTH), np.float32) for _ in range(3))
+        three, s = np.empty((batch * WINDOW, 3 * WIDTH), np.float32), np.empty((batch, WINDOW, WINDOW), np.float32)
+        z = np.empty((batch * STRIDE, CLASSES), np.float32)
+        inputs = self.symbol[rows]
         for lo in range(0, len(rows), batch):
-            h, _ = self.forward(rows[lo : lo + batch])
-            z = h[:, ctx:] @ self.p["c"] + self.p["b"]
+            n = min(batch, len(rows) - lo)
+            if n < batch:  # the last batch is filled up; what it says beyond n isn't read
+                inputs = np.concatenate([inputs, np.zeros((batch - n, WINDOW), inputs.dtype)])
+            np.take(p["e"], inputs[lo : lo + batch], axis=0, out=x)
+            x += p["pos"]
+            np.matmul(x.reshape(-1, WIDTH), qkv, out=three)
+            parts = three.reshape(batch, WINDOW, 3 * WIDTH)
+            q, k, v = parts[:, :, :WIDTH], parts[:, :, WIDTH : 2 * WIDTH], parts[:, :, 2 * WIDTH :]
+            np.matmul(q, k.transpose(0, 2, 1), out=s)
+            np.minimum(s, np.float32(60), out=s)
+            np.exp(s, out=s)
+            s *= causal
+            np.matmul(s, v, out=o)
+            o /= s.sum(2, keepdims=True) + np.float32(1e-30)
+            np.matmul(o.reshape(-1, WIDTH), p["o"], out=d.reshape(-1, WIDTH))
+            x += d
+            np.matmul(np.ascontiguousarray(x[:, ctx:]).reshape(-1, WIDTH), p["c"], out=z)
+            z += p["b"]
             y = wanted[lo : lo + batch]
             ok = y >= 0
-            z -= z.max(2, keepdims=True)
-            chosen = np.take_along_axis(z, self.klass[y][:, :, None], 2)[:, :, 0]
-            log = (chosen - np.log(np.exp(z).sum(2))) / np.log(10) + self.within[y]
+            chosen = np.take_along_axis(z[: n * STRIDE], self.klass[y].reshape(-1, 1), 1).reshape(y.shape)
+            shift = z.max(1, keepdims=True) if max(z.max(), -z.min()) > 60 else np.zeros((1, 1), np.float32)  # rarely: exp could overflow
+            z -= shift
+            np.exp(z, out=z)
+            norm = (np.log(z.sum(1)) + shift[:, 0])[: n * STRIDE].reshape(y.shape)
+            log = (chosen - norm) / np.log(10) + self.within[y]
             total += np.bincount(owner[lo : lo + batch], np.where(ok, log, 0).sum(1), len(texts))
         return total
 
@@ -124,8 +153,8 @@ def gradients(model: Model, ids: np.ndarray, target: np.ndarray) -> dict[str, np
     g["o"] = flat(o).T @ flat(dh)
     do = dh @ p["o"].T
     da = do @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(2, keepdims=True)) * np.float32(WIDTH**-0.5)
-    dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do
+    ds = a * (da - (da * a).sum(2, keepdims=True))
+    dq, dk, dv = ds @ k * np.float32(WIDTH**-0.5), ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do
     dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
     g |= {"q": flat(x).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv), "pos": dx.sum(0)}
     g["e"] = np.zeros_like(p["e"])
