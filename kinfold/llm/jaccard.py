@@ -15,8 +15,10 @@ posts to the next class too, so that no pair across a boundary is lost.
 
 Equal sets are one class from the start. Lists are not expanded into pairs:
 in each round every set is compared with one pivot of its lists, links join
-components, and only lists that still mix components go on; what is left after
-the rounds is compared pair by pair. So every linked pair of sets ends up in
+components, and only lists that still mix components go on. If those are long,
+their documents post again by the segments that hold most of what is rare
+among them (a Misra-Gries summary of at most ``frequent`` shingles says what
+isn't). What is left after the rounds is compared pair by pair. So every linked pair of sets ends up in
 one component, at about one comparison per set for groups of near copies.
 """
 
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import discard, pieces, release, stored
+from .common import pieces, release, stored
 
 WORDS_KEPT = 400_000
 FEATURES = "doc_id long, n long, set_id string, sigs array<long>"
@@ -98,11 +100,15 @@ class Signatures:
                 return False
         return True
 
-    def __call__(self, items: np.ndarray) -> np.ndarray:
-        out = [self._of(items, i) for i in self.classes(len(items))] if len(items) else []
+    def __call__(self, items: np.ndarray, frequent: np.ndarray | None = None) -> np.ndarray:
+        """frequent: sorted items that say little; segments of others are posted first. The same for all sets that are to meet."""
+        rare = np.ones(len(items), np.int64)
+        if frequent is not None and len(frequent):
+            rare = (frequent[np.minimum(np.searchsorted(frequent, items), len(frequent) - 1)] != items).astype(np.int64)
+        out = [self._of(items, rare, i) for i in self.classes(len(items))] if len(items) else []
         return np.unique(np.concatenate(out)).astype(np.int64) if out else np.zeros(0, np.int64)
 
-    def _of(self, items: np.ndarray, i: int) -> np.ndarray:
+    def _of(self, items: np.ndarray, rare: np.ndarray, i: int) -> np.ndarray:
         if i not in self.plans:
             self.plans[i] = self.differ(self.ends[i]), self.light(self.ends[i])
         (k, light), salt = self.plans[i], np.uint64(i * 0xD6E8FEB86659FD93 % (1 << 64))
@@ -123,13 +129,34 @@ class Signatures:
         content = np.zeros(n, np.uint64)
         at = segment[starts].astype(np.int64)
         content[at] = np.add.reduceat(weight, starts)
-        count[at] = np.diff(np.r_[starts, len(items)])
+        # by rare items, then by items: any weight that the segment's content decides will do
+        count[at] = np.add.reduceat(rare, starts) * (1 << 32) + np.diff(np.r_[starts, len(items)])
         least = np.sort(count)[n - k - 1]  # at most n - k - 1 segments are smaller
         chosen = np.flatnonzero(count >= least)
         return mix(content[chosen] + mix(chosen.astype(np.uint64) + salt))
 
 
-def features(width: int, percent: int):
+def frequent_items(width: int, kept: int):
+    """mapInArrow function: texts to (item, count), a Misra-Gries summary of ``kept`` items per task."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        shingles = Shingler(width)
+        items, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in pieces(batches, 1024):
+            new, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(shingles, batch.column(0).to_pylist())]), return_counts=True)
+            items, at = np.unique(np.concatenate([items, new]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, n]), len(items)).astype(np.int64)
+            if len(items) > kept:
+                counts -= np.partition(counts, len(counts) - kept - 1)[len(counts) - kept - 1]
+                items, counts = items[counts > 0], counts[counts > 0]
+        yield pa.RecordBatch.from_arrays([pa.array(items.astype(np.int64)), pa.array(counts)], ["item", "count"])
+
+    return run
+
+
+def features(width: int, percent: int, frequent: np.ndarray | None = None):
     def run(batches):
         import pyarrow as pa
         import xxhash
@@ -141,7 +168,7 @@ def features(width: int, percent: int):
                 items = shingles(text)
                 n.append(len(items))
                 ids.append(xxhash.xxh3_128_hexdigest(items.tobytes()))
-                sigs.append(signatures(items))
+                sigs.append(signatures(items, frequent))
             flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
             offsets = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "n", "set_id", "sigs"])
@@ -177,7 +204,16 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return both.select("a", "b", "x", "y").mapInArrow(compare(width, percent), "a long, b long")
 
 
-def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85, rounds: int = 4) -> DataFrame:
+def _mixed(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists that still hold several components, with each id's component."""
+    group = Window.partitionBy("sig")
+    named = lists.join(labels.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "n", F.coalesce("component", "id").alias("comp"))
+    ends = named.withColumn("lo", F.min("comp").over(group)).withColumn("hi", F.max("comp").over(group))
+    return stored(ends.filter("lo < hi").select("sig", "id", "n", "comp"), "mixed")
+
+
+def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85,
+               rounds: int = 4, short: int = 16, frequent: int = 8192) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
     Words are lower-cased (A-Z) and split at ASCII white space. Texts that are
@@ -208,17 +244,24 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
         found = stored(verify(pairs, texts, width, percent), "links")
         links = found if links is None else stored(links.unionByName(found), "links")
         labels = stored(connected_components(links), "labels")
-        old, mixed = mixed, lists.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).select("sig", "id", "n", "comp")
-        mixed = mixed.withColumn("lo", F.min("comp").over(group)).withColumn("hi", F.max("comp").over(group)).filter("lo < hi").select("sig", "id", "n", "comp")
-        lists = mixed = stored(mixed, "mixed")
+        mixed = _mixed(lists, labels)
         release(spark)
-        if r and old is not None:
-            discard(old)
-        # lists that stay mixed hold different documents; a long one gets another pivot
-        longest = mixed.groupBy("sig").count().agg(F.max("count")).first()[0]
-        if (longest or 0) <= 24:
+        longest = mixed.groupBy("sig").count().agg(F.max("count")).first()[0] or 0
+        if longest <= short:
             break
-        lists = mixed.drop("comp")
+        if r == 0:
+            # long lists of different documents come from passages that many share: documents that are in
+            # mixed lists post again, by segments of what is rare among them
+            some = stored(texts.join(mixed.select("id").distinct(), "id", "left_semi"), "some")
+            top = some.select("text").mapInArrow(frequent_items(width, frequent), "item long, count long").groupBy("item").agg(F.sum("count").alias("count"))
+            top = top.filter("count >= 16").orderBy(F.desc("count"), "item").limit(frequent).collect()
+            hot = np.sort(np.array([t["item"] for t in top], np.int64).view(np.uint64))
+            again = some.mapInArrow(features(width, percent, hot), FEATURES)
+            lists = again.select("n", F.col("doc_id").alias("id"), F.explode("sigs").alias("sig")).withColumn("lo", F.min("id").over(group)).withColumn("hi", F.max("id").over(group))
+            lists = stored(lists.filter("lo < hi").select("sig", "id", "n"), "lists")
+            mixed = _mixed(lists, labels)
+        else:
+            lists = mixed.drop("comp")
     a, b = (mixed.select("sig", F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("comp").alias(f"{x}c")) for x in "ab")
     rest = a.join(b, "sig").filter(f"a < b and ac != bc and 100 * least(an, bn) >= {percent} * greatest(an, bn)").select("a", "b").distinct()
     found = stored(verify(rest, texts, width, percent), "links")

@@ -67,6 +67,15 @@ def test_large_group_and_long_lists_take_the_rounds(spark):
     assert {tuple(r) for r in got} == brute(rows)
 
 
+def test_shared_passage_posts_again(spark):
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, passage + " " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(rng.choice([4, 6, 8, 30])))) for i in range(60)]
+    rows += [(100 + i, t + rng.choice(["", " tail", " other tail"])) for i, t in rows[:20]]
+    got = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), short=2).collect()
+    assert {tuple(r) for r in got} == brute(rows)
+
+
 def test_every_linked_pair_shares_a_signature():
     rng = np.random.default_rng(4)
     sign = jaccard.Signatures(85)
@@ -80,6 +89,8 @@ def test_every_linked_pair_shares_a_signature():
             both = len(np.intersect1d(one, other))
             if 100 * both >= 85 * (len(one) + len(other) - both) and not np.array_equal(one, other):
                 assert len(np.intersect1d(sign(one), sign(other)))
+                hot = np.sort(rng.permutation(one)[: size // 2])
+                assert len(np.intersect1d(sign(one, hot), sign(other, hot)))
 
 
 def test_repeated_null_and_clashing(spark):
