@@ -121,7 +121,7 @@ def fit(windows: np.ndarray, vocabulary: int, end: int, steps: int = 400, batch:
     klass[order] = np.minimum(CLASSES - 1, mass / counts.sum() * CLASSES).astype(int)
     within = np.log10(counts / np.bincount(klass, counts, CLASSES)[klass])
     symbol = np.empty(vocabulary, np.int64)
-    symbol[order[: INPUTS - CLASSES]] = np.arange(INPUTS - CLASSES)
+    symbol[order[: INPUTS - CLASSES]] = np.arange(vocabulary)[: INPUTS - CLASSES]
     symbol[order[INPUTS - CLASSES :]] = INPUTS - CLASSES + klass[order[INPUTS - CLASSES :]]
     init = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
     p = {"e": (rng.standard_normal((INPUTS, WIDTH)) * 0.3).astype(np.float32), "pos": (rng.standard_normal((WINDOW, WIDTH)) * 0.1).astype(np.float32)}
