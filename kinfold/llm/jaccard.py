@@ -16,10 +16,14 @@ posts to the next class too, so that no pair across a boundary is lost.
 Equal sets are one class from the start. Lists are not expanded into pairs:
 in each round every set is compared with one pivot of its lists, links join
 components, and only lists that still mix components go on. If those are long,
-their documents post again by the segments that hold most of what is rare
-among them (a Misra-Gries summary of at most ``frequent`` shingles says what
-isn't). What is left after the rounds is compared pair by pair. So every linked pair of sets ends up in
-one component, at about one comparison per set for groups of near copies.
+their documents post again, large sets now in lists of single shingles: the
+100 - percent hundredths that are rarest among them, and one more (a
+Misra-Gries summary of at most ``frequent`` shingles counts what is common).
+Linked sets share one of these, whatever the order, and a passage that many
+share is posted only by documents of little else. What is left after the
+rounds is compared pair by pair: as rows in short lists; in longer ones, of
+documents that nearly link, by matrix products over blocks of a list. So every linked pair of sets ends up in one
+component, at about one comparison per set for groups of near copies.
 """
 
 from __future__ import annotations
@@ -100,15 +104,21 @@ class Signatures:
                 return False
         return True
 
-    def __call__(self, items: np.ndarray, frequent: np.ndarray | None = None) -> np.ndarray:
-        """frequent: sorted items that say little; segments of others are posted first. The same for all sets that are to meet."""
-        rare = np.ones(len(items), np.int64)
-        if frequent is not None and len(frequent):
-            rare = (frequent[np.minimum(np.searchsorted(frequent, items), len(frequent) - 1)] != items).astype(np.int64)
-        out = [self._of(items, rare, i) for i in self.classes(len(items))] if len(items) else []
+    def __call__(self, items: np.ndarray, frequent: np.ndarray | None = None, counts: np.ndarray | None = None) -> np.ndarray:
+        """frequent: sorted items that large sets post last, by counts if given. The same for all sets that are to meet."""
+        prefix = self._prefix(items, frequent, counts) if frequent is not None and len(items) else None
+        out = [self._of(items, prefix, i) for i in self.classes(len(items))] if len(items) else []
         return np.unique(np.concatenate(out)).astype(np.int64) if out else np.zeros(0, np.int64)
 
-    def _of(self, items: np.ndarray, rare: np.ndarray, i: int) -> np.ndarray:
+    def _prefix(self, items: np.ndarray, frequent: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
+        """The set's least items, rarest first: linked sets share percent of the larger, so one of these."""
+        weight = np.zeros(len(items), np.int64)
+        if len(frequent):
+            at = np.minimum(np.searchsorted(frequent, items), len(frequent) - 1)
+            weight = np.where(frequent[at] == items, 1 if counts is None else counts[at], 0)
+        return mix(items[np.argsort(weight, kind="stable")[: len(items) * (100 - self.percent) // 100 + 1]])
+
+    def _of(self, items: np.ndarray, prefix: np.ndarray | None, i: int) -> np.ndarray:
         if i not in self.plans:
             self.plans[i] = self.differ(self.ends[i]), self.light(self.ends[i])
         (k, light), salt = self.plans[i], np.uint64(i * 0xD6E8FEB86659FD93 % (1 << 64))
@@ -120,6 +130,8 @@ class Signatures:
             gone = [list(c) for size in range(1, min(k, len(items) - 1) + 1) for c in combinations(range(len(items)), size)]
             lacking = [total, *(total - weight[np.array([c for c in gone if len(c) == size])].sum(1, dtype=np.uint64) for size in {len(c) for c in gone})]
             return mix(np.concatenate(lacking))
+        if prefix is not None:
+            return prefix
         n = -(-3 * (k + 1) // 2)
         # items are sorted, and so are their segments
         width = np.uint64((1 << 64) // n + 1)
@@ -129,8 +141,7 @@ class Signatures:
         content = np.zeros(n, np.uint64)
         at = segment[starts].astype(np.int64)
         content[at] = np.add.reduceat(weight, starts)
-        # by rare items, then by items: any weight that the segment's content decides will do
-        count[at] = np.add.reduceat(rare, starts) * (1 << 32) + np.diff(np.r_[starts, len(items)])
+        count[at] = np.diff(np.r_[starts, len(items)])
         least = np.sort(count)[n - k - 1]  # at most n - k - 1 segments are smaller
         chosen = np.flatnonzero(count >= least)
         return mix(content[chosen] + mix(chosen.astype(np.uint64) + salt))
@@ -156,7 +167,7 @@ def frequent_items(width: int, kept: int):
     return run
 
 
-def features(width: int, percent: int, frequent: np.ndarray | None = None):
+def features(width: int, percent: int, frequent: np.ndarray | None = None, counts: np.ndarray | None = None):
     def run(batches):
         import pyarrow as pa
         import xxhash
@@ -168,7 +179,7 @@ def features(width: int, percent: int, frequent: np.ndarray | None = None):
                 items = shingles(text)
                 n.append(len(items))
                 ids.append(xxhash.xxh3_128_hexdigest(items.tobytes()))
-                sigs.append(signatures(items, frequent))
+                sigs.append(signatures(items, frequent, counts))
             flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
             offsets = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "n", "set_id", "sigs"])
@@ -197,6 +208,59 @@ def compare(width: int, percent: int):
     return run
 
 
+def within(width: int, percent: int):
+    """applyInArrow function: a group's (id, comp, text) to links (a, b) that join its components, all pairs compared exactly."""
+
+    def run(table):
+        import pyarrow as pa
+
+        shingles = Shingler(width)
+        ids, comp = table["id"].to_pylist(), table["comp"].to_pylist()
+        sets = [shingles(t) for t in table["text"].to_pylist()]
+        n = np.array([*map(len, sets)])
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        column = np.cumsum(np.r_[0, flat[1:] != flat[:-1]])
+        shared = np.bincount(column)[column] > 1  # items of one set alone are in no intersection
+        column, owner = np.cumsum(np.r_[True, np.diff(column[shared]) > 0][: shared.sum()]) - 1, owner[shared]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for lo in range(0, column[-1] + 1 if len(column) else 0, 4096):
+            i, j = np.searchsorted(column, [lo, lo + 4096])
+            has = np.zeros((len(sets), min(4096, int(column[-1]) + 1 - lo)), np.float32)
+            has[owner[i:j], column[i:j] - lo] = 1
+            both += has @ has.T
+        hit = 100 * both.astype(np.int64) >= percent * (n[:, None] + n - both.astype(np.int64))
+        top = {c: c for c in comp}
+
+        def root(c):
+            while top[c] != c:
+                c = top[c] = top[top[c]]
+            return c
+
+        links = []
+        for i, j in zip(*map(np.ndarray.tolist, np.nonzero(np.triu(hit, 1))), strict=True):
+            if (x := root(comp[i])) != (y := root(comp[j])):
+                top[x] = y
+                links.append((ids[i], ids[j]))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return run
+
+
+def verify_blocks(lists: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 256) -> DataFrame:
+    """Links (a, b) that join components within lists (sig, id, comp, size); no pair becomes a row.
+
+    A list is cut into blocks, and every two blocks meet in one group of at most
+    2 * ``block`` texts.
+    """
+    place = (F.row_number().over(Window.partitionBy("sig").orderBy("id")) - 1) / block
+    x, blocks = place.cast("int"), F.ceil(F.col("size") / block).cast("int")
+    cut = lists.withColumn("x", x).withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1))).filter((F.col("x") != F.col("y")) | (F.col("size") <= block))
+    meet = cut.select("sig", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "id", "comp").join(texts, "id")
+    return meet.groupBy("sig", "x", "y").applyInArrow(within(width, percent), "a long, b long")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The linked ones of the pairs (a, b); texts: (id, text)."""
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
@@ -251,20 +315,24 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
             break
         if r == 0:
             # long lists of different documents come from passages that many share: documents that are in
-            # mixed lists post again, by segments of what is rare among them
+            # mixed lists post again, by the rarest of their items
             some = stored(texts.join(mixed.select("id").distinct(), "id", "left_semi"), "some")
             top = some.select("text").mapInArrow(frequent_items(width, frequent), "item long, count long").groupBy("item").agg(F.sum("count").alias("count"))
             top = top.filter("count >= 16").orderBy(F.desc("count"), "item").limit(frequent).collect()
-            hot = np.sort(np.array([t["item"] for t in top], np.int64).view(np.uint64))
-            again = some.mapInArrow(features(width, percent, hot), FEATURES)
+            items, counts = np.array([t["item"] for t in top], np.int64).view(np.uint64), np.array([t["count"] for t in top], np.int64)
+            order = np.argsort(items)
+            again = some.mapInArrow(features(width, percent, items[order], counts[order]), FEATURES)
             lists = again.select("n", F.col("doc_id").alias("id"), F.explode("sigs").alias("sig")).withColumn("lo", F.min("id").over(group)).withColumn("hi", F.max("id").over(group))
             lists = stored(lists.filter("lo < hi").select("sig", "id", "n"), "lists")
             mixed = _mixed(lists, labels)
         else:
             lists = mixed.drop("comp")
-    a, b = (mixed.select("sig", F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("comp").alias(f"{x}c")) for x in "ab")
+    # lists of documents that nearly link, but don't, stay long
+    sized = mixed.withColumn("size", F.count("*").over(group))
+    a, b = (sized.filter(F.col("size") <= short).select("sig", F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("comp").alias(f"{x}c")) for x in "ab")
     rest = a.join(b, "sig").filter(f"a < b and ac != bc and 100 * least(an, bn) >= {percent} * greatest(an, bn)").select("a", "b").distinct()
-    found = stored(verify(rest, texts, width, percent), "links")
+    found = verify(rest, texts, width, percent).unionByName(verify_blocks(sized.filter(F.col("size") > short), texts, width, percent))
+    found = stored(found, "links")
     if not found.isEmpty():
         labels = stored(connected_components(links.unionByName(found)), "labels")
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))

@@ -99,3 +99,20 @@ def test_repeated_null_and_clashing(spark):
     got = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string, component_id int")).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, 5, 1), (1, 5, 1), (None, 5, None), (2, 5, 1), (3, 0, 3)]))
     assert jaccard.components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_blocks_of_a_long_list(spark):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(40):
+        copy = list(base)
+        for _ in range(i % 5):
+            copy[rng.randrange(60)] = f"x{rng.randrange(50)}"
+        rows.append((i, " ".join(copy)))
+    texts = spark.createDataFrame(rows, "id long, text string")
+    lists = spark.createDataFrame([(1, i, i, 40) for i, _ in rows] + [(2, i, i, 9) for i, _ in rows[:9]], "sig long, id long, comp long, size long")
+    for block in (7, 64):
+        links = jaccard.verify_blocks(lists, texts, 4, 85, block)
+        linked = {n: c for n, c in jaccard.connected_components(links).collect()}
+        assert {(i, linked.get(i, i)) for i, _ in rows} == {(r[0], r[2]) for r in brute(rows)}
