@@ -277,7 +277,7 @@ def _mixed(lists: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85,
-               rounds: int = 4, short: int = 16, frequent: int = 8192) -> DataFrame:
+               rounds: int = 4, short: int = 16, frequent: int = 8192, block: int = 256) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
     Words are lower-cased (A-Z) and split at ASCII white space. Texts that are
@@ -327,11 +327,11 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
             mixed = _mixed(lists, labels)
         else:
             lists = mixed.drop("comp")
-    # lists of documents that nearly link, but don't, stay long
+    # lists of documents that nearly link, but don't, stay long; shorter lists share many pairs, of which one row is compared
     sized = mixed.withColumn("size", F.count("*").over(group))
-    a, b = (sized.filter(F.col("size") <= short).select("sig", F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("comp").alias(f"{x}c")) for x in "ab")
+    a, b = (sized.filter(F.col("size") <= block).select("sig", F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("comp").alias(f"{x}c")) for x in "ab")
     rest = a.join(b, "sig").filter(f"a < b and ac != bc and 100 * least(an, bn) >= {percent} * greatest(an, bn)").select("a", "b").distinct()
-    found = verify(rest, texts, width, percent).unionByName(verify_blocks(sized.filter(F.col("size") > short), texts, width, percent))
+    found = verify(rest, texts, width, percent).unionByName(verify_blocks(sized.filter(F.col("size") > block), texts, width, percent, block))
     found = stored(found, "links")
     if not found.isEmpty():
         labels = stored(connected_components(links.unionByName(found)), "labels")
