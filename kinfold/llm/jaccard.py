@@ -299,7 +299,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     texts = stored(rows.join(involved, F.col("doc_id") == F.col("id")).select("id", "text"), "texts")
     release(spark)
 
-    links, labels, mixed = None, None, lists.withColumn("comp", F.col("id"))
+    links, labels, before, mixed = None, None, 0, lists.withColumn("comp", F.col("id"))
     for r in range(rounds):
         order = F.struct(F.xxhash64(F.lit(r), "id").alias("h"), "id", "comp", "n")
         p = mixed.withColumn("p", F.min(order).over(group))
@@ -310,9 +310,9 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
         labels = stored(connected_components(links), "labels")
         mixed = _mixed(lists, labels)
         release(spark)
-        longest = mixed.groupBy("sig").count().agg(F.max("count")).first()[0] or 0
-        if longest <= short:
-            break
+        longest, left = mixed.groupBy("sig").count().agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).first()
+        if longest <= short or r and left > 0.9 * before:
+            break  # a round that joins little would be followed by others
         if r == 0:
             # long lists of different documents come from passages that many share: documents that are in
             # mixed lists post again, by the rarest of their items
@@ -325,8 +325,10 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
             lists = again.select("n", F.col("doc_id").alias("id"), F.explode("sigs").alias("sig")).withColumn("lo", F.min("id").over(group)).withColumn("hi", F.max("id").over(group))
             lists = stored(lists.filter("lo < hi").select("sig", "id", "n"), "lists")
             mixed = _mixed(lists, labels)
+            left = mixed.count()
         else:
             lists = mixed.drop("comp")
+        before = left
     # lists of documents that nearly link, but don't, stay long; shorter lists share many pairs, of which one row is compared
     sized = mixed.withColumn("size", F.count("*").over(group))
     a, b = (sized.filter(F.col("size") <= block).select("sig", F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("comp").alias(f"{x}c")) for x in "ab")
