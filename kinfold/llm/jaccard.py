@@ -268,6 +268,17 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return both.select("a", "b", "x", "y").mapInArrow(compare(width, percent), "a long, b long")
 
 
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components (node, component) with links (a, b) added: only links between components take part."""
+    if labels is None:
+        return stored(connected_components(links), "labels")
+    of = [labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
+    between = links.join(of[0], "a", "left").join(of[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    more = stored(connected_components(between.filter("a != b").distinct()), "joins")
+    old = labels.join(more.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return stored(old.unionByName(more.join(labels.select("node"), "node", "left_anti")), "labels")
+
+
 def _mixed(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """The lists that still hold several components, with each id's component."""
     group = Window.partitionBy("sig")
@@ -299,15 +310,14 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     texts = stored(rows.join(involved, F.col("doc_id") == F.col("id")).select("id", "text"), "texts")
     release(spark)
 
-    links, labels, before, mixed = None, None, 0, lists.withColumn("comp", F.col("id"))
+    labels, before, mixed = None, 0, lists.withColumn("comp", F.col("id"))
     for r in range(rounds):
         order = F.struct(F.xxhash64(F.lit(r), "id").alias("h"), "id", "comp", "n")
         p = mixed.withColumn("p", F.min(order).over(group))
         near = p.filter("p.comp != comp and 100 * least(p.n, n) >= {0} * greatest(p.n, n)".format(percent))
         pairs = near.groupBy(F.col("id").alias("a")).agg(F.min("p").alias("p")).select("a", F.col("p.id").alias("b"))
         found = stored(verify(pairs, texts, width, percent), "links")
-        links = found if links is None else stored(links.unionByName(found), "links")
-        labels = stored(connected_components(links), "labels")
+        labels = _joined(labels, found)
         mixed = _mixed(lists, labels)
         release(spark)
         longest, left = mixed.groupBy("sig").count().agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).first()
@@ -336,7 +346,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     found = verify(rest, texts, width, percent).unionByName(verify_blocks(sized.filter(F.col("size") > block), texts, width, percent, block))
     found = stored(found, "links")
     if not found.isEmpty():
-        labels = stored(connected_components(links.unionByName(found)), "labels")
+        labels = _joined(labels, found)
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     # only classes that say more than a row's own id are joined back
     small = base.select("doc_id", "n", "set_id")
