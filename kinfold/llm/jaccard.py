@@ -235,7 +235,8 @@ def within(width: int, percent: int):
 
         def root(c):
             while top[c] != c:
-                c = top[c] = top[top[c]]
+                top[c] = top[top[c]]
+                c = top[c]
             return c
 
         links = []
