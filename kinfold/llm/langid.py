@@ -58,19 +58,23 @@ class Model:
         return e / e.sum(1, keepdims=True)
 
 
-def fit(bits: np.ndarray, names: list[str], landmarks: int, ridge: float) -> Model:
+def unpacked(packed: np.ndarray) -> np.ndarray:
+    return normalised(np.unpackbits(packed, axis=1).astype(np.float32))
+
+
+def fit(packed: np.ndarray, names: list[str], landmarks: int, ridge: float, block: int = 128) -> Model:
     """One-versus-rest kernel ridge regression on Nystroem features.
 
-    bits: presence vectors, rows in any order; the landmarks are taken evenly
-    over the rows, so each language has its share.
+    packed: presence vectors, eight places a byte, rows in any order; the
+    landmarks are taken evenly over the rows, so each language has its share.
+    Only the landmarks and ``block`` rows are unpacked at a time.
     """
     languages = sorted(set(names))
-    x = normalised(bits.astype(np.float32))
-    marks = x[np.unique(np.linspace(0, len(x) - 1, min(landmarks, len(x))).astype(int))]
+    marks = unpacked(packed[np.unique(np.linspace(0, len(packed) - 1, min(landmarks, len(packed))).astype(int))])
     value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
-    z = (x @ marks.T) @ root
+    z = np.concatenate([unpacked(packed[lo : lo + block]) @ marks.T for lo in range(0, len(packed), block)]) @ root
     y = np.where(np.asarray(names)[:, None] == np.asarray(languages), 1.0, -1.0)
     beta = np.linalg.solve(z.T @ z + ridge * np.eye(z.shape[1]), z.T @ (y - y.mean(0)))
     # an intercept would be lost in the fold; the centred targets' means are small against the margins
@@ -78,11 +82,11 @@ def fit(bits: np.ndarray, names: list[str], landmarks: int, ridge: float) -> Mod
 
 
 def training_bits(docs: DataFrame, key: str, text: str, lang: str, max_rows: int) -> tuple[np.ndarray, list[str]]:
-    """Presence bits and languages of a bounded sample of labelled rows, equal shares by language, chosen by hash of the key."""
+    """Presence bits (packed) and languages of a bounded sample of labelled rows, equal shares by language, chosen by hash of the key."""
     rows = docs.filter((remainder(key, 4) != 2) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit(11), F.col(key)).alias("h"))
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()  # a model of 64 languages at most
     if not counts:
-        return np.zeros((0, BITS), bool), []
+        return np.zeros((0, BITS // 8), np.uint8), []
     share = max(1, max_rows // len(counts))
     # a hash threshold lets about twice the share through; the rest is cut exactly in a small window
     whole = 2.0**64
@@ -101,7 +105,7 @@ def training_bits(docs: DataFrame, key: str, text: str, lang: str, max_rows: int
 
     got = few.select("lang", "text").mapInArrow(bits, "lang string, bits binary").collect()
     got.sort(key=lambda r: (r["lang"], r["bits"]))
-    return np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in got), np.uint8).reshape(len(got), -1), axis=1).astype(bool), [r["lang"] for r in got]
+    return np.frombuffer(b"".join(r["bits"] for r in got), np.uint8).reshape(len(got), BITS // 8), [r["lang"] for r in got]
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = 1600, landmarks: int = 256, ridge: float = 0.1) -> Model | None:
