@@ -2,8 +2,11 @@
 
 Model: subword ids; embedding plus position, one masked attention head with a
 residual, and a softmax over id classes (equal shares of the training mass)
-times the frequency of an id within its class. It is trained on at most
-``max_windows`` windows of at most ``max_docs`` training documents.
+times the frequency of an id within its class. Id frequencies, and so classes,
+shares and input symbols, are counted over all training rows. The model starts
+from a fit on at most ``max_windows`` windows of at most ``max_docs`` training
+documents; then each task trains it on all windows of its training rows, every
+id being a target once, and the tasks' models are averaged by their targets.
 
 Scoring: a text is read in overlapping windows of ``WINDOW`` ids that start
 ``STRIDE`` apart; each id is scored once, with at least WINDOW - STRIDE ids
@@ -111,10 +114,24 @@ class Model:
         return total
 
 
-def fit(windows: np.ndarray, vocabulary: int, end: int, steps: int = 400, batch: int = 96, seed: int = 1) -> Model:
-    """Train on windows of WINDOW + 1 ids by Adam."""
+class Adam:
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p, self.t = p, 0
+        self.m, self.v = ({n: np.zeros_like(w) for n, w in p.items()} for _ in range(2))
+
+    def step(self, grads: dict[str, np.ndarray], rate: float) -> None:
+        self.t += 1
+        for n, g in grads.items():
+            m, v = self.m[n], self.v[n]
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            self.p[n] -= (rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
+
+
+def fit(windows: np.ndarray, vocabulary: int, end: int, steps: int = 400, batch: int = 96, seed: int = 1, counts: np.ndarray | None = None) -> Model:
+    """Train on windows of WINDOW + 1 ids by Adam; counts: of each id in the corpus, else in the windows."""
     rng = np.random.default_rng(seed)
-    counts = np.bincount(windows[:, 1:].ravel(), minlength=vocabulary) + 0.02
+    counts = (np.bincount(windows[:, 1:].ravel(), minlength=vocabulary) if counts is None else counts) + 0.02
     order = np.argsort(-counts, kind="stable")
     klass = np.empty(vocabulary, np.int64)
     mass = np.cumsum(counts[order]) - counts[order] / 2
@@ -127,26 +144,24 @@ def fit(windows: np.ndarray, vocabulary: int, end: int, steps: int = 400, batch:
     p = {"e": (rng.standard_normal((INPUTS, WIDTH)) * 0.3).astype(np.float32), "pos": (rng.standard_normal((WINDOW, WIDTH)) * 0.1).astype(np.float32)}
     p |= {n: init(WIDTH, WIDTH) for n in "qkvo"} | {"c": init(WIDTH, CLASSES), "b": np.zeros(CLASSES, np.float32)}
     model = Model(end, symbol, klass, within, p)
-    m, v = ({n: np.zeros_like(w) for n, w in p.items()} for _ in range(2))
+    adam = Adam(p)
     for t in range(1, steps + 1):
         rows = windows[rng.integers(0, len(windows), batch)]
-        for n, g in gradients(model, rows[:, :-1], klass[rows[:, 1:]]).items():
-            m[n] = 0.9 * m[n] + 0.1 * g
-            v[n] = 0.99 * v[n] + 0.01 * g * g
-            rate = 0.02 * min(1.0, 2 * (1 - t / (steps + 1)))
-            p[n] -= (rate * (m[n] / (1 - 0.9**t)) / (np.sqrt(v[n] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+        adam.step(gradients(model, rows[:, :-1], klass[rows[:, 1:]]), 0.02 * min(1.0, 2 * (1 - t / (steps + 1))))
     return model
 
 
 def gradients(model: Model, ids: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients of the mean cross-entropy of the target classes."""
+    """Gradients of the mean cross-entropy of the target classes; targets under 0 don't count."""
     p = model.p
     h, (x, q, k, v, a, o) = model.forward(ids)
     z = h @ p["c"] + p["b"]
-    z = np.exp(z - z.max(2, keepdims=True))
+    z -= z.max(2, keepdims=True)
+    np.exp(z, out=z)
     z /= z.sum(2, keepdims=True)
-    np.put_along_axis(z, target[:, :, None], np.take_along_axis(z, target[:, :, None], 2) - 1, 2)
-    z /= target.size
+    at = np.maximum(target, 0)[:, :, None]
+    np.put_along_axis(z, at, np.take_along_axis(z, at, 2) - 1, 2)
+    z *= ((target >= 0) / np.float32(max(1, (target >= 0).sum())))[:, :, None].astype(np.float32)
     flat = lambda y: y.reshape(-1, y.shape[-1])
     g = {"c": flat(h).T @ flat(z), "b": flat(z).sum(0)}
     dh = z @ p["c"].T
@@ -158,11 +173,109 @@ def gradients(model: Model, ids: np.ndarray, target: np.ndarray) -> dict[str, np
     dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
     g |= {"q": flat(x).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv), "pos": dx.sum(0)}
     g["e"] = np.zeros_like(p["e"])
-    np.add.at(g["e"], model.symbol[ids].ravel(), flat(dx))
+    symbols = model.symbol[ids].ravel()
+    order = np.argsort(symbols, kind="stable")
+    first = np.flatnonzero(np.diff(symbols[order], prepend=-1))
+    g["e"][symbols[order[first]]] = np.add.reduceat(flat(dx)[order], first)
     return g
 
 
-def training_windows(rows: DataFrame, path: str, pattern: str, end: int, max_docs: int, max_windows: int) -> np.ndarray:
+def id_counts(rows: DataFrame, vocabulary: int, end: int) -> np.ndarray:
+    """How often each id, and the end once a row, occurs in all rows; partial sums per task, at most ``vocabulary`` numbers."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = np.zeros(vocabulary, np.int64)
+        for batch in pieces(batches):
+            for ids in batch.column(0).to_pylist():
+                total += np.bincount(np.frombuffer(ids, "<u4"), minlength=vocabulary)
+            total[end] += batch.num_rows
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "c"])
+
+    got = rows.select("ids").mapInArrow(run, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).toPandas()
+    counts = np.zeros(vocabulary)
+    counts[got["id"].to_numpy(np.int64)] = got["c"].to_numpy(np.int64)
+    return counts
+
+
+def whole_windows(ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and targets of windows over a whole text, every id and the end being a target once, else -1."""
+    ctx, n = WINDOW - STRIDE, len(ids) + 1
+    count = -(-(ctx + n) // WINDOW)
+    line, target = np.full(count * WINDOW, end, np.int64), np.full(count * WINDOW, -1, np.int64)
+    line[ctx + 1 : ctx + n] = ids
+    target[ctx : ctx + n - 1] = ids
+    target[ctx + n - 1] = end
+    return line.reshape(-1, WINDOW), target.reshape(-1, WINDOW)
+
+
+def train_on_all(model: Model, rows: DataFrame, batch: int = 256, rate: float = 0.002, held: int = 8192) -> Model:
+    """One pass over all windows of all rows: a model per task from ``model`` on, averaged by the tasks' targets.
+
+    Sums are made by parameter in one shuffle, so the driver gets as many numbers as one model has.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        import pyarrow as pa
+
+        start = shared.value
+        own = Model(start.end, start.symbol, start.klass, start.within, {n: w.copy() for n, w in start.p.items()})
+        adam, rng, seen, kept, waiting = Adam(own.p), np.random.default_rng(7), 0, [], 0
+
+        def learn():
+            nonlocal seen
+            x, y = (np.concatenate(c) for c in zip(*kept, strict=True))
+            order = rng.permutation(len(x))
+            for lo in range(0, len(x), batch):
+                some = order[lo : lo + batch]
+                want = y[some]
+                # a last, small batch moves the model by its share
+                adam.step(gradients(own, x[some], np.where(want >= 0, own.klass[want], -1)), rate * len(some) / batch)
+                seen += int((want >= 0).sum())
+            kept.clear()
+
+        for part in pieces(batches):
+            for ids in part.column(0).to_pylist():
+                kept.append(whole_windows(np.frombuffer(ids, "<u4"), own.end))
+                waiting += len(kept[-1][0])
+                if waiting >= held:
+                    learn()
+                    waiting = 0
+        if kept:
+            learn()
+        flat = np.concatenate([own.p[n].ravel() for n in sorted(own.p)] + [np.ones(1)]).astype(np.float64) * seen
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["at", "w"])
+
+    got = rows.select("ids").mapInArrow(run, "at long, w double").groupBy("at").agg(F.sum("w").alias("w")).toPandas().sort_values("at")["w"].to_numpy()
+    if not len(got):
+        return model
+    p, lo = {}, 0
+    for n in sorted(model.p):
+        w = model.p[n]
+        p[n] = (got[lo : lo + w.size] / got[-1]).reshape(w.shape).astype(np.float32)
+        lo += w.size
+    return Model(model.end, model.symbol, model.klass, model.within, p)
+
+
+def encoded(rows: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``rows`` (doc_id, text, held_out) with their ids, little-endian and four bytes each."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        encoder = ChunkEncoder(*rank_encoder(path, pattern), limit=400_000)
+        for batch in pieces(batches):
+            ids = [np.frombuffer(encoder(t or ""), "<u4").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], ["doc_id", "text", "held_out", "ids"])
+
+    return rows.mapInArrow(run, "doc_id long, text string, held_out boolean, ids binary")
+
+
+def training_windows(rows: DataFrame, end: int, max_docs: int, max_windows: int) -> np.ndarray:
     """Windows of ids, evenly over the whole text of each of a bounded set of documents, chosen by hash."""
     total = rows.count()
     chance = min(1.0, 1.3 * max_docs / max(1, total))
@@ -173,16 +286,15 @@ def training_windows(rows: DataFrame, path: str, pattern: str, end: int, max_doc
     def run(batches):
         import pyarrow as pa
 
-        encoder = ChunkEncoder(*rank_encoder(path, pattern))
         for batch in pieces(batches):
             out = []
-            for t in batch.column(1).to_pylist():
-                line = np.concatenate([np.full(WINDOW - STRIDE + 1, end), np.frombuffer(encoder(t or ""), "<u4"), np.full(WINDOW, end)])
+            for ids in batch.column(1).to_pylist():
+                line = np.concatenate([np.full(WINDOW - STRIDE + 1, end), np.frombuffer(ids, "<u4"), np.full(WINDOW, end)])
                 starts = np.unique(np.linspace(0, max(0, len(line) - 2 * WINDOW), each).astype(int))
                 out.append(np.stack([line[s : s + WINDOW + 1] for s in starts]).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["windows"])
 
-    got = few.select("doc_id", "text").mapInArrow(run, "windows binary").collect()
+    got = few.select("doc_id", "ids").mapInArrow(run, "windows binary").collect()
     return np.frombuffer(b"".join(sorted(bytes(r.windows) for r in got)), "<u4").reshape(-1, WINDOW + 1).astype(np.int64)
 
 
@@ -221,15 +333,18 @@ def score(docs: DataFrame, path: str, pattern: str, held_out, key: str = "doc_id
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("held_out", held_out)
+    rows = stored(encoded(rows, path, pattern), "ids")
     training = rows.filter(~F.col("held_out"))
     counts = stored(word_counts(training), "words")
     ends = training.count()
     sums = counts.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
     n, v = (sums.n or 0) + ends, sums.v + (ends > 0)
     top = counts.orderBy(F.desc("c"), "h").limit(common).toPandas().sort_values("h")
-    windows = training_windows(training, path, pattern, end, max_docs, max_windows)
-    release(spark)
-    model = fit(windows if len(windows) else np.full((1, WINDOW + 1), end), end + 1, end, steps if len(windows) else 0)
+    windows = training_windows(training, end, max_docs, max_windows)
+    if len(windows):
+        model = train_on_all(fit(windows, end + 1, end, steps, counts=id_counts(training, end + 1, end)), training)
+    else:
+        model = fit(np.full((1, WINDOW + 1), end), end + 1, end, 0)
     scale = np.log10(n + 0.1 * (v + 1))
     end_log = float(np.log10(ends + 0.1) - scale)
     shared = spark.sparkContext.broadcast((model, top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64)))  # bounded by ``common``
@@ -239,13 +354,13 @@ def score(docs: DataFrame, path: str, pattern: str, held_out, key: str = "doc_id
         import xxhash
 
         lm, known, count = shared.value
-        encoder, hashes = ChunkEncoder(*rank_encoder(path, pattern), limit=400_000), {}
+        hashes: dict = {}
         log = np.log10(count + 0.1) - scale
         for batch in pieces(batches, 64):
             ids, cols = [], ([], [], [], [], [])
-            for t in batch.column(1).to_pylist():
+            for t, coded in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 t = t or ""
-                ids.append(np.frombuffer(encoder(t), "<u4"))
+                ids.append(np.frombuffer(coded, "<u4"))
                 words = Counter(t.encode().lower().split())
                 if len(hashes) > 300_000:
                     hashes.clear()

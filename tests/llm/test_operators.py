@@ -194,6 +194,29 @@ def test_lm(spark):
     assert lm.score(docs(spark, []), RANKS, PATTERN, held, steps=1).count() == 0
 
 
+def test_lm_learns_from_all_training_rows(spark):
+    words = ["cat", "dog", "sun", "sea"]
+    rows = [(i, f" {words[i % 4]}" * 50) for i in range(200)]
+    out = lm.score(docs(spark, rows), RANKS, PATTERN, F.col("doc_id") < 8, max_docs=1, max_windows=32, steps=0).collect()
+    assert min(r.score for r in out) > -51 * 3  # ids outside the one sampled document cost more if only it is counted
+
+
+def test_lm_counts_and_windows_cover_all_ids(spark):
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 60, n).astype("<u4") for n in (0, 1, 24, 31, 32, 33, 500)]
+    table = spark.createDataFrame([(bytearray(t.tobytes()),) for t in texts], "ids binary")
+    want = np.bincount(np.concatenate([*texts, np.full(len(texts), 60)]).astype(int), minlength=61)
+    assert lm.id_counts(table.repartition(3), 61, 60).tolist() == want.tolist()
+    for ids in texts:
+        x, y = lm.whole_windows(ids, 60)
+        assert y[y >= 0].tolist() == [*ids.tolist(), 60]
+        assert x.ravel()[1:][y.ravel()[:-1] >= 0].tolist() == y.ravel()[:-1][y.ravel()[:-1] >= 0].tolist()
+    start = lm.fit(lm.whole_windows(texts[-1], 60)[0][:, [*range(lm.WINDOW), 0]], 61, 60, steps=5)
+    grown = lm.train_on_all(start, table.repartition(3))
+    assert all(grown.p[n].shape == w.shape and np.isfinite(grown.p[n]).all() for n, w in start.p.items())
+    assert any((grown.p[n] != w).any() for n, w in start.p.items())
+
+
 def test_lm_scores_each_id_once_with_its_context():
     rng = np.random.default_rng(1)
     windows = rng.integers(0, 60, (400, lm.WINDOW + 1))
