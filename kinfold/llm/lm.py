@@ -1,9 +1,11 @@
 """Language-model scoring: a causal self-attention model in numpy, and word counts of the whole corpus.
 
 Model: subword ids; embedding plus position, one masked attention head with a
-residual, and a softmax over id classes (equal shares of the training mass)
-times the frequency of an id within its class. Id frequencies, and so classes,
-shares and input symbols, are counted over all training rows. The model starts
+residual, and a softmax over id classes times the frequency of an id within its
+class. Classes hold ids that follow similar ids, in about equal shares of the
+training mass. Id frequencies and what ids follow (by hash, in ``CONTEXTS``
+places), and so classes, shares and input symbols, are counted over all training
+rows. The model starts
 from a fit on at most ``max_windows`` windows of at most ``max_docs`` training
 documents; then each task trains it on all windows of its training rows, every
 id being a target once, and the tasks' models are averaged by their targets.
@@ -20,6 +22,7 @@ the corpus leaves the cluster.
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from dataclasses import dataclass
 
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from .bpe import ChunkEncoder, rank_encoder
 from .common import pieces, release, remainder, stored
 
-WINDOW, STRIDE, WIDTH, CLASSES, INPUTS = 32, 26, 16, 96, 4096
+WINDOW, STRIDE, WIDTH, CLASSES, INPUTS, CONTEXTS = 32, 24, 32, 256, 4096, 64
 
 
 @dataclass
@@ -128,14 +131,14 @@ class Adam:
             self.p[n] -= (rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
 
 
-def fit(windows: np.ndarray, vocabulary: int, end: int, steps: int = 400, batch: int = 96, seed: int = 1, counts: np.ndarray | None = None) -> Model:
-    """Train on windows of WINDOW + 1 ids by Adam; counts: of each id in the corpus, else in the windows."""
+def fit(windows: np.ndarray, vocabulary: int, end: int, steps: int = 400, batch: int = 96, seed: int = 1, contexts: np.ndarray | None = None) -> Model:
+    """Train on windows of WINDOW + 1 ids by Adam; contexts: ``context_counts`` of the corpus, else the windows' own."""
     rng = np.random.default_rng(seed)
-    counts = (np.bincount(windows[:, 1:].ravel(), minlength=vocabulary) if counts is None else counts) + 0.02
+    if contexts is None:
+        contexts = np.bincount(context_keys(windows[:, :-1].ravel(), windows[:, 1:].ravel()), minlength=vocabulary * CONTEXTS).reshape(vocabulary, CONTEXTS)
+    counts = contexts.sum(1) + 0.02
     order = np.argsort(-counts, kind="stable")
-    klass = np.empty(vocabulary, np.int64)
-    mass = np.cumsum(counts[order]) - counts[order] / 2
-    klass[order] = np.minimum(CLASSES - 1, mass / counts.sum() * CLASSES).astype(int)
+    klass = classes(contexts)
     within = np.log10(counts / np.bincount(klass, counts, CLASSES)[klass])
     symbol = np.empty(vocabulary, np.int64)
     symbol[order[: INPUTS - CLASSES]] = np.arange(vocabulary)[: INPUTS - CLASSES]
@@ -180,24 +183,61 @@ def gradients(model: Model, ids: np.ndarray, target: np.ndarray) -> dict[str, np
     return g
 
 
+def context_keys(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Place of (id, hash of the id before it) in a flat table of CONTEXTS places an id."""
+    return ids.astype(np.int64) * CONTEXTS + (before.astype(np.int64) * 2654435761 >> 7) % CONTEXTS
+
+
+def classes(contexts: np.ndarray) -> np.ndarray:
+    """A class for each id: the heaviest class is halved across its ids' main direction until there are CLASSES or only single ids."""
+    n, mean = contexts.sum(1, keepdims=True), contexts.sum(0) / max(1, contexts.sum())
+    x = np.sqrt((contexts + 2 * mean) / (n + 2))  # few counts shrink to the mean
+    weight = n[:, 0] + 0.02
+    heap, ready, made = [(-weight.sum(), 0, np.arange(len(x)))], [], 0
+    while heap and len(heap) + len(ready) < CLASSES:
+        own = heapq.heappop(heap)[2]
+        if len(own) == 1:
+            ready.append(own)
+            continue
+        w = weight[own]
+        y = x[own] - w @ x[own] / w.sum()
+        direction = np.linalg.eigh((y * w[:, None]).T @ y)[1][:, -1]
+        order = own[np.argsort(y @ direction, kind="stable")]
+        mass = np.cumsum(weight[order])
+        cut = int(np.clip(np.searchsorted(mass, mass[-1] / 2) + 1, 1, len(own) - 1))
+        for part in (order[:cut], order[cut:]):
+            made += 1
+            heapq.heappush(heap, (-weight[part].sum(), made, part))
+    klass = np.empty(len(x), np.int64)
+    for k, own in enumerate(ready + [h[2] for h in heap]):
+        klass[own] = k
+    return klass
+
+
 def id_counts(rows: DataFrame, vocabulary: int, end: int) -> np.ndarray:
-    """How often each id, and the end once a row, occurs in all rows; partial sums per task, at most ``vocabulary`` numbers."""
+    """How often each id, and the end once a row, occurs in all rows."""
+    return context_counts(rows, vocabulary, end).sum(1)
+
+
+def context_counts(rows: DataFrame, vocabulary: int, end: int) -> np.ndarray:
+    """How often each id, and the end once a row, follows an id of each place in all rows; partial sums per task, at most vocabulary x CONTEXTS numbers."""
+
+    last = int(end).to_bytes(4, "little")
 
     def run(batches):
         import pyarrow as pa
 
-        total = np.zeros(vocabulary, np.int64)
+        total = np.zeros(vocabulary * CONTEXTS, np.int64)
         for batch in pieces(batches):
-            for ids in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(ids, "<u4"), minlength=vocabulary)
-            total[end] += batch.num_rows
+            line = np.concatenate([np.array([end], "<u4"), *[np.frombuffer(ids + last, "<u4") for ids in batch.column(0).to_pylist()]])
+            total += np.bincount(context_keys(line[:-1], line[1:]), minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "c"])
 
     got = rows.select("ids").mapInArrow(run, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).toPandas()
-    counts = np.zeros(vocabulary)
+    counts = np.zeros(vocabulary * CONTEXTS)
     counts[got["id"].to_numpy(np.int64)] = got["c"].to_numpy(np.int64)
-    return counts
+    return counts.reshape(vocabulary, CONTEXTS)
 
 
 def whole_windows(ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -342,7 +382,7 @@ def score(docs: DataFrame, path: str, pattern: str, held_out, key: str = "doc_id
     top = counts.orderBy(F.desc("c"), "h").limit(common).toPandas().sort_values("h")
     windows = training_windows(training, end, max_docs, max_windows)
     if len(windows):
-        model = train_on_all(fit(windows, end + 1, end, steps, counts=id_counts(training, end + 1, end)), training)
+        model = train_on_all(fit(windows, end + 1, end, steps, contexts=context_counts(training, end + 1, end)), training)
     else:
         model = fit(np.full((1, WINDOW + 1), end), end + 1, end, 0)
     scale = np.log10(n + 0.1 * (v + 1))

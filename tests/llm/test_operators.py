@@ -217,6 +217,21 @@ def test_lm_counts_and_windows_cover_all_ids(spark):
     assert any((grown.p[n] != w).any() for n, w in start.p.items())
 
 
+def test_lm_beats_the_unigram_on_two_languages():
+    rng = np.random.default_rng(5)
+    p = 1 / (np.arange(1000) + 5)
+    p /= p.sum()
+    windows = 2 * rng.choice(1000, (3000, lm.WINDOW + 1), p=p) + rng.integers(0, 2, (3000, 1))  # even ids are one language, odd ids the other
+    model = lm.fit(windows[:2500], 2001, 2000, steps=300)
+    held = windows[2500:]
+    unigram = np.log10(np.bincount(windows[:2500].ravel(), minlength=2001) + 0.02)
+    unigram -= np.log10((10**unigram).sum())
+    z = (model.forward(held[:, :-1])[0] @ model.p["c"] + model.p["b"])[:, 8:].astype(float)
+    y = held[:, 9:]
+    own = (np.take_along_axis(z, model.klass[y][:, :, None], 2)[:, :, 0] - np.log(np.exp(z).sum(2))) / np.log(10) + model.within[y]
+    assert own.mean() > unigram[y].mean()
+
+
 def test_lm_scores_each_id_once_with_its_context():
     rng = np.random.default_rng(1)
     windows = rng.integers(0, 60, (400, lm.WINDOW + 1))
