@@ -15,15 +15,12 @@ from kinfold.llm import exact, jaccard, langid, packing, secrets
 from kinfold.llm.common import scratch_dir
 from kinfold.llm.queries import tokenizer
 
-#: A text is rejected if its language can't be told: no letter, or a score under this.
-LEAST_SCORE = 0.3
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; the model learns from the labelled three quarters."""
+    """Documents whose language can be told, however low its score; the model learns from the labelled three quarters."""
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
     found = langid.predict(marked, langid.train(docs))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    return found.filter(F.col("lang_pred") != "und").select("row.*")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

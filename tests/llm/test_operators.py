@@ -288,3 +288,14 @@ def test_pipeline_keeps_clean_documents(spark):
     for _, stage in corpus_pipeline.STAGES[:4]:
         now = spark.createDataFrame(stage(spark, now, "").collect(), now.schema)
     assert sorted(r.doc_id for r in now.collect()) == [*range(1, 40), 100]
+
+
+def test_pipeline_keeps_short_clean_documents(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    words = {"".join(c): ["".join(rng.choice(c) for _ in range(6)) for _ in range(20)] for c in ("abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx")}
+    rows = [(i, " ".join(rng.choice(words[x]) for _ in range(20)), x, "s", 1) for i in range(200) for x in [rng.choice(list(words))]]
+    short = [(1000 + i, t, None, "s", 1) for i, t in enumerate([*(w[0] for w in words.values()), "\u4e2d\u6587", "zyz"])]
+    now = spark.createDataFrame(rows + short + [(2000, "12 !", "abcd", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, now, "").collect()) == sorted(r[0] for r in rows + short)
