@@ -7,8 +7,9 @@ one-versus-rest kernel ridge regression gives a weight per landmark and
 language. As the kernel is a product of presence vectors, landmarks and
 weights fold into one matrix; a batch of texts is scored by one product.
 
-Only the presence bits of at most ``max_rows`` training rows, and at most
-``landmarks`` of them as landmarks, ever reach the driver.
+Every lang value is learned. Only the presence bits of at most ``max_rows``
+training rows, or ``least`` rows a language if that is more, ever reach the
+driver; ``landmarks`` of them, or one a language, are landmarks.
 """
 
 from __future__ import annotations
@@ -66,11 +67,13 @@ def fit(packed: np.ndarray, names: list[str], landmarks: int, ridge: float, bloc
     """One-versus-rest kernel ridge regression on Nystroem features.
 
     packed: presence vectors, eight places a byte, rows in any order; the
-    landmarks are taken evenly over the rows, so each language has its share.
+    landmarks are taken evenly over the rows, and each language has one at least.
     Only the landmarks and ``block`` rows are unpacked at a time.
     """
     languages = sorted(set(names))
-    marks = unpacked(packed[np.unique(np.linspace(0, len(packed) - 1, min(landmarks, len(packed))).astype(int))])
+    chosen = np.unique(np.linspace(0, len(packed) - 1, min(landmarks, len(packed))).astype(int))
+    without = set(languages) - {names[i] for i in chosen}
+    marks = unpacked(packed[np.unique(np.concatenate([chosen, [names.index(x) for x in sorted(without)]])).astype(int)])
     value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
@@ -78,23 +81,22 @@ def fit(packed: np.ndarray, names: list[str], landmarks: int, ridge: float, bloc
     y = np.where(np.asarray(names)[:, None] == np.asarray(languages), 1.0, -1.0)
     beta = np.linalg.solve(z.T @ z + ridge * np.eye(z.shape[1]), z.T @ (y - y.mean(0)))
     # an intercept would be lost in the fold; the centred targets' means are small against the margins
-    return Model(languages, (marks.T @ (root @ beta)).astype(np.float32))
+    return Model(languages, marks.T @ (root @ beta).astype(np.float32))
 
 
-def training_bits(docs: DataFrame, key: str, text: str, lang: str, max_rows: int) -> tuple[np.ndarray, list[str]]:
-    """Presence bits (packed) and languages of a bounded sample of labelled rows, equal shares by language, chosen by hash of the key."""
+def training_bits(docs: DataFrame, key: str, text: str, lang: str, max_rows: int, least: int) -> tuple[np.ndarray, list[str]]:
+    """Presence bits (packed) and languages of a sample of labelled rows of every language, equal shares by language, chosen by hash of the key."""
     rows = docs.filter((remainder(key, 4) != 2) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit(11), F.col(key)).alias("h"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()  # a model of 64 languages at most
-    if not counts:
+    counts = rows.groupBy("lang").count()
+    languages = counts.count()
+    if not languages:
         return np.zeros((0, BITS // 8), np.uint8), []
-    share = max(1, max_rows // len(counts))
+    share = max(least, max_rows // languages)
     # a hash threshold lets about twice the share through; the rest is cut exactly in a small window
-    whole = 2.0**64
-    passes = F.lit(False)
-    for r in counts:
-        bound = min(1.0, (2 * share + 50) / r["count"])
-        passes = passes | ((F.col("lang") == r["lang"]) & (F.col("h").cast("double") < -(2.0**63) + bound * whole))
-    few = rows.filter(passes).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("rank") <= share)
+    bound = F.least(F.lit(1.0), F.lit(2.0 * share + 50) / F.col("count")) * 2.0**64 - 2.0**63
+    bounds = F.broadcast(counts.select("lang", bound.alias("bound")))  # one row a language
+    passes = F.col("h").cast("double") <= F.col("bound")
+    few = rows.join(bounds, "lang").filter(passes).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("rank") <= share)
 
     def bits(batches):
         import pyarrow as pa
@@ -108,8 +110,8 @@ def training_bits(docs: DataFrame, key: str, text: str, lang: str, max_rows: int
     return np.frombuffer(b"".join(r["bits"] for r in got), np.uint8).reshape(len(got), BITS // 8), [r["lang"] for r in got]
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = 1600, landmarks: int = 256, ridge: float = 0.1) -> Model | None:
-    bits, names = training_bits(docs, key, text, lang, max_rows)
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = 1600, landmarks: int = 256, ridge: float = 0.1, least: int = 8) -> Model | None:
+    bits, names = training_bits(docs, key, text, lang, max_rows, least)
     return fit(bits, names, landmarks, ridge) if names else None
 
 

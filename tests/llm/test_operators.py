@@ -92,6 +92,17 @@ def test_langid(spark):
     assert langid.train(empty) is None and langid.predict(empty, None).count() == 0
 
 
+def test_langid_learns_every_language(spark):
+    rng = random.Random(9)
+    words = {f"l{i:02}": ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(7)) for _ in range(12)] for i in range(70)}
+    rows = [(i, " ".join(rng.choice(words[x]) for _ in range(12)), x, "s", 1, 7, 0.5, "x") for i in range(1400) for x in [f"l{i % 70:02}"]]
+    table = spark.createDataFrame(rows, DOCS)
+    model = langid.train(table, landmarks=60)
+    out = {r.doc_id: r.lang_pred for r in langid.predict(table, model).collect()}
+    assert model.languages == sorted(words)
+    assert sum(out[r[0]] == r[2] for r in rows) >= 0.97 * len(rows)
+
+
 def test_exact(spark):
     rows = ODD + [(100 + i, "hot") for i in range(60)] + [(300 + i % 7, f"t{i % 9}") for i in range(50)]
     out = exact.decide(docs(spark, rows), heavy=4, tracked=16).collect()
