@@ -127,7 +127,8 @@ def search(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "emb
 
     Vectors that are null, zero, of another length than most, or hold null or
     non-finite components take no part, nor do rows with a null id. Equal
-    vectors are all found. An empty table gives no rows.
+    vectors are all found. Rows of one id are one neighbour, and one query, by
+    the least distance of their vectors. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     good = F.col(vector).isNotNull() & F.exists(vector, lambda v: v != 0) & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -167,6 +168,7 @@ def search(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "emb
     names = ["part", "cb", "qb"]
     found = q.groupBy(*[f"q_{n}" for n in names]).cogroup(c.groupBy(*names)).applyInArrow(nearest(k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -181,19 +183,24 @@ def nearest(k: int):
             return empty
         ids, asked = held["vec_id"].to_numpy(), queries["query_id"].to_numpy()
         y = np.asarray(held["x"].combine_chunks().flatten()).reshape(len(ids), -1)
+        order = np.argsort(ids, kind="stable")
+        ids, y = ids[order], y[order]
+        heads = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))  # the first row of each id
         x = np.asarray(queries["q_x"].combine_chunks().flatten()).reshape(len(asked), -1)
         square = (y * y).sum(1)
         out: tuple[list, list, list] = ([], [], [])
         for lo in range(0, len(x), 64):
             rough = (x[lo : lo + 64] ** 2).sum(1)[:, None] - 2 * x[lo : lo + 64] @ y.T + square
             rough[asked[lo : lo + 64, None] == ids] = np.inf
-            cut = np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+            by_id = rough if len(heads) == len(ids) else np.minimum.reduceat(rough, heads, axis=1)
+            cut = np.partition(by_id, min(k, len(heads)) - 1, axis=1)[:, min(k, len(heads)) - 1]
             # products round off: all within that error of the k-th are measured exactly
             error = 1e-9 * (square.max() + (x[lo : lo + 64] ** 2).sum(1))
             for i, (row, c) in enumerate(zip(rough, cut + error, strict=True), lo):
                 some = np.flatnonzero((row <= c) & np.isfinite(row))
                 d = np.sqrt(((y[some] - x[i]) ** 2).sum(1))
-                first = np.lexsort((ids[some], d))[:k]
+                first = np.lexsort((ids[some], d))
+                first = first[np.sort(np.unique(ids[some][first], return_index=True)[1])][:k]  # an id's nearest row only
                 out[0].append(np.full(len(first), asked[i]))
                 out[1].append(ids[some[first]])
                 out[2].append(d[first])
