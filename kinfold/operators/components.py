@@ -34,6 +34,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_steps
     """
     now = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u is not null and v is not null and u != v")
     now, mark = stored(now.distinct(), "edges"), None
+    if now.isEmpty():
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_steps):
         after = stored(_small_star(_large_star(now)), "edges")
         discard(now)

@@ -1 +1 @@
-"""Physical planning helpers: scratch tables and size checks."""
+"""Physical planning helpers: scratch tables in the shared folder."""

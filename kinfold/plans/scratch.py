@@ -1,14 +1,22 @@
-"""Tables in the folder that all executors share, to cut lineage without a single local copy."""
+"""Tables in the folder that all executors share, to cut lineage without a single local copy.
+
+Every table is deleted with the driver's JVM at the latest; operators discard
+theirs as soon as a successor exists, and ``scratch`` deletes what a block of
+work has stored once its result is written elsewhere.
+"""
 
 from __future__ import annotations
 
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_SCRATCH: dict[str, str] = {}
+_SCOPES: list[list[DataFrame]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -28,27 +36,52 @@ def scratch_dir(spark: SparkSession) -> str:
     return "file://" + LOCAL_SCRATCH[app]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back; ``keep`` it when a ``scratch`` block ends.
 
     A lost executor costs no recomputation of what is stored.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/kinfold-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, where = _file_system(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kinfold_path = path
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(out)
+    return out
+
 
+def discard(*tables: DataFrame | None) -> None:
+    """Delete ``stored`` tables that nothing reads any more; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "_kinfold_path", None):
+            files, where = _file_system(df.sparkSession, path)
+            files.delete(where, True)
+            df._kinfold_path = None
 
-def discard(df: DataFrame) -> None:
-    """Delete a ``stored`` table that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if path.getName().startswith("kinfold-"):
-            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete all that is ``stored`` inside the block at its end: results must be written elsewhere by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        discard(*_SCOPES.pop())
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that are no more referenced."""
+    """Let Spark's cleaner drop the shuffle files of plans that are no more referenced.
+
+    They go when the driver's JVM collects the plans; without a hint that can
+    take longer than a disk lasts. For a few places after large shuffles.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
