@@ -1,76 +1,51 @@
 """Byte-level BPE as a monoid over text ranges.
 
-A boundary is *certain* where a space stands between two non-white characters:
-the split pattern never matches across the place just before such a space, so
-both sides encode independently of each other. A text therefore is a sequence
-of chunks, and equal chunks have equal ids.
-
 ``TreeCodec`` encodes the halves of a text recursively. Its join re-encodes a
 window around the seam that grows on either side until it meets a certain
 boundary (or the node's end); tokens outside the window then provably stay.
 Decoding concatenates bytes up the same tree.
+
+A boundary is *certain* where a space stands between two non-white characters:
+the split pattern never matches across the place just before such a space, so
+both sides encode independently of each other.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+from functools import cache
 
 import numpy as np
 
-#: Chunks kept by an encoder, and the longest that is kept: about 150 MB.
-CACHE_CHUNKS, CACHE_CHARS = 600_000, 48
+# The split pattern of the tokenizers library's byte-level files, and the bytes that
+# such files write as themselves; they write the others as characters from 256 on, in order.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+OWN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
-class ChunkEncoder:
-    """Text to little-endian unsigned 32-bit ids, by chunks that are encoded once.
+class Encoder:
+    """Text to unsigned 32-bit ids by byte-pair ranks, each match of the split pattern on its own.
 
-    encode_one: string -> id list; sizes: bytes of each id, as an array.
+    special: strings that stand for one id each, wherever they occur.
     """
 
-    def __init__(self, encode_one, sizes, limit: int = CACHE_CHUNKS):
-        self.encode_one, self.sizes, self.limit = encode_one, sizes, limit
-        self.known: dict[str, bytes] = {}
-
-    def _fill(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of new chunks, each after a space: one call for all, cut where the bytes of a chunk end."""
-        new = list(dict.fromkeys(chunks))
-        ids = np.asarray(self.encode_one(" " + " ".join(new)), "<u4")
-        ends = np.cumsum([1 + len(c.encode()) for c in new])
-        cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends, side="right") * 4
-        raw = ids.tobytes()
-        fresh = {c: raw[lo:hi] for c, lo, hi in zip(new, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)}
-        if (room := self.limit - len(self.known)) > 0:
-            self.known.update([(c, x) for c, x in fresh.items() if len(c) <= CACHE_CHARS][:room])
-        return fresh
-
-    def __call__(self, text: str) -> bytes:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, special: dict[str, int] | None = None):
+        import tiktoken
+
+        self.special = special or {}
+        self.own = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.special)
+        self.known = frozenset(self.special)
+        self.sizes = np.zeros(1 + max([*ranks.values(), *self.special.values()]), np.int64)
+        for raw, i in ranks.items():
+            self.sizes[i] = len(raw)
+        for said, i in self.special.items():
+            self.sizes[i] = len(said.encode())
+
+    def __call__(self, text: str) -> np.ndarray:
         if not text:
-            return b""
-        first, *rest = text.split(" ")
-        parts = list(map(self.known.get, rest))
-        if not first or first[-1].isspace() or None in parts:
-            new = [c for c, p in zip(rest, parts, strict=True) if p is None]
-            if not first or first[-1].isspace() or any(not c or c[0].isspace() or c[-1].isspace() for c in new):
-                first, *rest = _certain([first, *rest])  # chunks that are kept have no white edge
-                parts = list(map(self.known.get, rest))
-                new = [c for c, p in zip(rest, parts, strict=True) if p is None]
-            fresh = self._fill(new) if new else {}
-            parts = [fresh[c] if p is None else p for c, p in zip(rest, parts, strict=True)]
-        return np.asarray(self.encode_one(first), "<u4").tobytes() + b"".join(parts)
-
-
-def _certain(chunks: list[str]) -> list[str]:
-    """Join neighbours of a space that isn't a certain boundary."""
-    out, run = [], [chunks[0]]
-    for c in chunks[1:]:
-        last = run[-1]
-        if last and c and not last[-1].isspace() and not c[0].isspace():
-            out.append(" ".join(run))
-            run = [c]
-        else:
-            run.append(c)
-    out.append(" ".join(run))
-    return out
+            return np.zeros(0, np.uint32)
+        return self.own.encode_to_numpy(text, allowed_special=self.known, disallowed_special=())
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -78,50 +53,50 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def _sizes(pairs) -> np.ndarray:
-    pairs = list(pairs)
-    out = np.zeros(1 + max(i for i, _ in pairs), np.int64)
-    for i, n in pairs:
-        out[i] = n
-    return out
-
-
-def rank_encoder(path: str, pattern: str) -> tuple:
-    """(encode_one, sizes) by a rank file, each match of ``pattern`` on its own."""
-    import tiktoken
-
-    ranks = read_ranks(path)
-    own = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return own.encode_ordinary, _sizes((i, len(raw)) for raw, i in ranks.items())
+@cache
+def rank_encoder(path: str, pattern: str) -> Encoder:
+    """By a rank file. Made once in a Python worker, which Spark reuses for later tasks."""
+    return Encoder(read_ranks(path), pattern)
 
 
-def json_encoder(path: str) -> tuple:
-    """(encode_one, sizes) by a byte-level tokenizers file, special tokens' strings being ordinary text."""
-    from tokenizers import Tokenizer
+@cache
+def json_encoder(path: str) -> Encoder:
+    """By a byte-level file of the tokenizers library: the ids of its ``encode(text, add_special_tokens=False)``.
 
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    sizes = _sizes((i, len(token)) for token, i in own.get_vocab(with_added_tokens=False).items())
-    return lambda text: own.encode(text, add_special_tokens=False).ids, sizes
+    The library takes merges in their order in the file. Where that is the
+    order of the merged ids, as in files trained the usual way, ranks say the
+    same; tests compare the two. Strings of added tokens in a text are those
+    tokens, as in the library.
+    """
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    model, split = said["model"], said["pre_tokenizer"]
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    ids = [model["vocab"][m] for m in merged]
+    if model["type"] != "BPE" or split["type"] != "ByteLevel" or split["add_prefix_space"] or said["normalizer"] or ids != sorted(ids):
+        raise ValueError(f"{path} isn't a plain byte-level file")
+    own = {chr(b): b for b in OWN_BYTES}
+    own |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if chr(b) not in own)}
+    ranks = {bytes(own[c] for c in token): i for token, i in model["vocab"].items()}
+    return Encoder(ranks, BYTE_LEVEL, {t["content"]: t["id"] for t in said["added_tokens"]})
 
 
 class TreeCodec:
-    """Encode and decode by tree reduction; ``leaf`` is the most characters of a leaf."""
+    """Encode and decode by tree reduction; ``leaf`` is the most characters (encoding) or ids (decoding) of a leaf."""
 
-    def __init__(self, encoder: tuple, token_bytes: dict[int, bytes] | None = None, leaf: int = 8192, window: int = 64):
-        self.encoder = ChunkEncoder(*encoder)
-        self.token_bytes, self.leaf, self.window = token_bytes, leaf, window
+    def __init__(self, encoder: Encoder, token_bytes: dict[int, bytes] | None = None, leaf: int = 512, window: int = 64):
+        self.encoder, self.token_bytes, self.leaf, self.window = encoder, token_bytes, leaf, window
 
-    def encode(self, text: str) -> bytes:
+    def encode(self, text: str) -> np.ndarray:
         return self._node(text, 0, len(text))
 
-    def _node(self, text: str, lo: int, hi: int) -> bytes:
+    def _node(self, text: str, lo: int, hi: int) -> np.ndarray:
         if hi - lo <= self.leaf:
             return self.encoder(text[lo:hi])
         mid = (lo + hi) // 2
         return self._join(text, lo, mid, hi, self._node(text, lo, mid), self._node(text, mid, hi))
 
-    def _join(self, text: str, lo: int, mid: int, hi: int, left: bytes, right: bytes) -> bytes:
+    def _join(self, text: str, lo: int, mid: int, hi: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ids of text[lo:hi] from those of its parts before and from ``mid``."""
         a, w = lo, self.window
         while mid - w > lo and (a := _boundary(text, mid - w, mid, last=True)) < 0:
@@ -129,8 +104,19 @@ class TreeCodec:
         b, w = hi, self.window
         while mid + w < hi and (b := _boundary(text, mid, mid + w, last=False)) < 0:
             b, w = hi, 2 * w
-        keep = len(left) - len(self.encoder(text[a:mid]))
-        return left[:keep] + self.encoder(text[a:b]) + right[len(self.encoder(text[mid:b])) :]
+        # what the parts' ids have inside the window: both sides of a certain boundary stand apart, so ids end there
+        gone, over = self._ids_of(left, len(text[a:mid].encode()), last=True), self._ids_of(right, len(text[mid:b].encode()), last=False)
+        return np.concatenate([left[: len(left) - gone], self.encoder(text[a:b]), right[over:]])
+
+    def _ids_of(self, ids: np.ndarray, size: int, last: bool) -> int:
+        """How many of the last or first ids make up ``size`` bytes."""
+        if not size:
+            return 0
+        some = ids[-size:][::-1] if last else ids[:size]
+        sizes = np.cumsum(self.encoder.sizes[some])
+        n = int(np.searchsorted(sizes, size)) + 1
+        assert sizes[n - 1] == size
+        return n
 
     def decode(self, ids) -> bytes:
         if len(ids) <= self.leaf:
@@ -149,6 +135,11 @@ def _boundary(text: str, lo: int, hi: int, last: bool) -> int:
     return -1
 
 
+@cache
+def token_bytes(path: str) -> dict[int, bytes]:
+    return {rank: raw for raw, rank in read_ranks(path).items()}
+
+
 def codec_rows(path: str, pattern: str):
     """mapInArrow function: (key, text) to n_tokens, digests of the ids and of the decoded bytes."""
 
@@ -159,13 +150,13 @@ def codec_rows(path: str, pattern: str):
 
         from .common import pieces
 
-        token = {rank: raw for raw, rank in read_ranks(path).items()}
-        words = {i: str(i) for i in token}
+        token = token_bytes(path)
+        words = list(map(str, range(1 + max(token))))
         codec = TreeCodec(rank_encoder(path, pattern), token)
         for batch in pieces(batches):
             rows = []
             for text in batch.column(1).to_pylist():
-                ids = np.frombuffer(codec.encode(text or ""), "<u4").tolist()
+                ids = codec.encode(text or "").tolist()
                 said = ",".join(map(words.__getitem__, ids)).encode()
                 rows.append((len(ids), hashlib.sha256(said).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
@@ -185,9 +176,9 @@ def encode_rows(path: str, pattern: str):
 
         from .common import pieces
 
-        codec = TreeCodec(rank_encoder(path, pattern), {rank: raw for raw, rank in read_ranks(path).items()})
+        codec = TreeCodec(rank_encoder(path, pattern), token_bytes(path))
         for batch in pieces(batches):
-            ids = [np.frombuffer(codec.encode(t or ""), "<u4").tolist() for t in batch.column(1).to_pylist()]
+            ids = [codec.encode(t or "").tolist() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(x) for x in ids], pa.binary())],
                 ["doc_id", "ids", "decoded"],
@@ -200,7 +191,7 @@ def encode(docs, path: str, pattern: str, key: str = "doc_id", text: str = "text
     """Rows (doc_id, ids array<int>, decoded binary); a null text counts as empty, every row gives one row."""
     from pyspark.sql import functions as F
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return rows.mapInArrow(encode_rows(path, pattern), "doc_id long, ids array<int>, decoded binary")
 
 
@@ -212,5 +203,5 @@ def digests(docs, path: str, pattern: str, key: str = "doc_id", text: str = "tex
     """
     from pyspark.sql import functions as F
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return rows.mapInArrow(codec_rows(path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import ChunkEncoder, json_encoder
+from .bpe import json_encoder
 from .common import pieces as small_batches
 from .common import stored
 
@@ -34,10 +34,10 @@ def tokenized(docs: DataFrame, path: str, end_id: int, key: str, text: str) -> D
     def run(batches):
         import pyarrow as pa
 
-        encoder, end = ChunkEncoder(*json_encoder(path)), np.asarray([end_id], "<u4").tobytes()
+        encoder, end = json_encoder(path), np.asarray([end_id], "<u4").tobytes()
         part, at = TaskContext.get().partitionId(), 0
         for batch in small_batches(batches):
-            ids = [encoder(t or "") + end for t in batch.column(1).to_pylist()]
+            ids = [encoder(t or "").astype("<u4", copy=False).tobytes() + end for t in batch.column(1).to_pylist()]
             n = len(ids)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part] * n, pa.int64()), pa.array(range(at, at + n), pa.int64()), batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
@@ -45,7 +45,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, key: str, text: str) -> D
             )
             at += n
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, TOKENS)
+    return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, TOKENS)
 
 
 def shortest_pack_first(histogram: dict[int, int], cap: int) -> list[tuple[tuple[int, ...], int]]:
