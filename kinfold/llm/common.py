@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import discard, release, scratch_dir, stored
+from ..plans.scratch import discard, release, scratch, scratch_dir, stored
 
-__all__ = ["discard", "free_names", "pieces", "release", "remainder", "scratch_dir", "stored"]
+__all__ = ["discard", "free_names", "pieces", "release", "remainder", "scratch", "scratch_dir", "split_join", "stored", "unused"]
 
 
 def free_names(df: DataFrame, *added: str) -> DataFrame:
@@ -26,3 +26,28 @@ def pieces(batches, rows: int = 256):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def unused(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like the wanted ones that no column of ``df`` has, in any case of letters."""
+    taken, out = {name.lower() for name in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"{name}_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def split_join(rows: DataFrame, facts: DataFrame, on: str, total: int, size: str = "size", parts: int = 1024) -> DataFrame:
+    """``rows`` left-joined with ``facts`` (unique in ``on``, with the number of rows of each key in ``size``), ``size`` dropped.
+
+    Keys of over 1/parts of all ``total`` rows, and so fewer than ``parts``, are
+    broadcast; only the others' rows are shuffled, so no task gets a hot key.
+    """
+    bound = max(1, total // parts)
+    hot = F.broadcast(facts.filter(F.col(size) > bound).drop(size).withColumn("_hot", F.lit(True)))  # under ``parts`` rows
+    cold = facts.filter(F.col(size) <= bound).drop(size)
+    split = rows.join(hot, on, "left")
+    far = split.filter("_hot is null").select(*rows.columns).join(cold, on, "left")
+    return split.filter("_hot").drop("_hot").unionByName(far)

@@ -10,19 +10,20 @@ to L differ in at most k(L) elements, which gives candidates by size class:
   leave out n - k - 1) to inverted lists, which are scanned.
 
 The boundary is set by cost: subsets are enumerated while a set of the class
-has at most ``cost`` subsets per element. A set near the end of its size class
+has at most ``cost`` of them per element. A set near the end of its size class
 posts to the next class too, so that no pair across a boundary is lost.
 
-Equal sets are one class from the start. Lists are not expanded into pairs:
-in each round every set is compared with one pivot of its lists, links join
-components, and only lists that still mix components go on. If those are long,
-their documents post again, large sets now in lists of single shingles: the
-100 - percent hundredths that are rarest among them, and one more (a
-Misra-Gries summary of at most ``frequent`` shingles counts what is common).
-Linked sets share one of these, whatever the order, and a passage that many
-share is posted only by documents of little else. What is left after the
-rounds is compared pair by pair: as rows in short lists; in longer ones, of
-documents that nearly link, by matrix products over blocks of a list. So every linked pair of sets ends up in one
+Texts of the same words are one class from the start, whose least document
+stands for it. Lists of the same documents are one list. Lists are not expanded
+into pairs: in each round every document is compared with one pivot of its
+lists, links join components, and only lists that still mix components go on.
+If those are long, their documents post again, large sets now in lists of single
+shingles: the 100 - percent hundredths that are rarest among them (counted by
+hash in ``PLACES`` places), and one more. Linked sets share one of these,
+whatever the order, and a passage that many share is posted only by documents
+of little else. What is left after the rounds is compared pair by pair: as rows
+in short lists; in longer ones, of documents that nearly link, over blocks
+of a list, where bitmaps of the sets rule out what differs too much. So every linked pair of sets ends up in one
 component, at about one comparison per set for groups of near copies.
 """
 
@@ -37,10 +38,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import pieces, release, stored
+from .common import discard, pieces, release, split_join, stored
 
 WORDS_KEPT = 400_000
-FEATURES = "doc_id long, n long, set_id string, sigs array<long>"
+#: Places in which shingles are counted by hash: their rarity, at most this many numbers whatever the corpus.
+PLACES_LOG = 20
+PLACES = 1 << PLACES_LOG
+POSTED = "id long, node long, n long, sigs array<long>"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,6 +54,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()  # bytes: A-Z only, ASCII white space only
+
+
+def name_of(words: list[bytes]) -> int:
+    """The class of a text: a 64-bit hash of its words in order; -1 without words."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(b" ".join(words)) >> 1 if words else -1
+
+
 class Shingler:
     """Sorted distinct 64-bit hashes of the word shingles of a text."""
 
@@ -59,7 +74,9 @@ class Shingler:
         self.width, self.hash, self.words = width, xxhash.xxh3_64_intdigest, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()  # bytes: A-Z only, ASCII white space only
+        return self.of(words_of(text))
+
+    def of(self, words: list[bytes]) -> np.ndarray:
         if not words:
             return np.zeros(0, np.uint64)
         got = list(map(self.words.get, words))
@@ -77,11 +94,16 @@ class Shingler:
         return np.unique(out)
 
 
+def place_of(items: np.ndarray) -> np.ndarray:
+    return (items >> np.uint64(64 - PLACES_LOG)).astype(np.int64)
+
+
 class Signatures:
     """Signatures of sets, such that two different linked sets share one."""
 
-    def __init__(self, percent: int, cost: int = 10, step: float = 1.4):
-        self.percent, self.cost, self.step = percent, cost, step
+    def __init__(self, percent: int, weight: np.ndarray | None = None, cost: int = 10, step: float = 1.4):
+        """weight: how common the elements of each place are, if large sets are to post single elements; the same for all sets that are to meet."""
+        self.percent, self.weight, self.cost, self.step = percent, weight, cost, step
         self.ends = [1]
         self.plans: dict[int, tuple[int, bool]] = {}
 
@@ -89,6 +111,10 @@ class Signatures:
         """Elements in which linked sets of at most this size can differ."""
         return 2 * size * (100 - self.percent) // (100 + self.percent)
 
+    def posted(self, size: int) -> int:
+        """Elements of a large set that are posted: it shares at least percent of its own with any linked set."""
+        return size * (100 - self.percent) // 100 + 1
+
     def classes(self, size: int) -> list[int]:
         """The size class of a set, and the next if a larger set of that may link."""
         while self.ends[-1] < size or len(self.ends) < 2 or self.ends[-2] < size:
@@ -97,6 +123,7 @@ class Signatures:
         return [i, i + 1] if self.percent * (self.ends[i] + 1) <= 100 * size else [i]
 
     def light(self, end: int) -> bool:
+        """Whether sets of a class enumerate subsets."""
         subsets = 0
         for j in range(self.differ(end) + 1):
             subsets += comb(end, j)
@@ -104,34 +131,23 @@ class Signatures:
                 return False
         return True
 
-    def __call__(self, items: np.ndarray, frequent: np.ndarray | None = None, counts: np.ndarray | None = None) -> np.ndarray:
-        """frequent: sorted items that large sets post last, by counts if given. The same for all sets that are to meet."""
-        prefix = self._prefix(items, frequent, counts) if frequent is not None and len(items) else None
-        out = [self._of(items, prefix, i) for i in self.classes(len(items))] if len(items) else []
+    def __call__(self, items: np.ndarray) -> np.ndarray:
+        out = [self._of(items, i) for i in self.classes(len(items))] if len(items) else []
         return np.unique(np.concatenate(out)).astype(np.int64) if out else np.zeros(0, np.int64)
 
-    def _prefix(self, items: np.ndarray, frequent: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
-        """The set's least items, rarest first: linked sets share percent of the larger, so one of these."""
-        weight = np.zeros(len(items), np.int64)
-        if len(frequent):
-            at = np.minimum(np.searchsorted(frequent, items), len(frequent) - 1)
-            weight = np.where(frequent[at] == items, 1 if counts is None else counts[at], 0)
-        return mix(items[np.argsort(weight, kind="stable")[: len(items) * (100 - self.percent) // 100 + 1]])
-
-    def _of(self, items: np.ndarray, prefix: np.ndarray | None, i: int) -> np.ndarray:
+    def _of(self, items: np.ndarray, i: int) -> np.ndarray:
         if i not in self.plans:
             self.plans[i] = self.differ(self.ends[i]), self.light(self.ends[i])
         (k, light), salt = self.plans[i], np.uint64(i * 0xD6E8FEB86659FD93 % (1 << 64))
-        if not k:
-            return np.zeros(0, np.uint64)  # such sets link only if equal
-        weight = mix(items + salt)
         if light:
+            weight = mix(items + salt)
             total = weight.sum(keepdims=True, dtype=np.uint64)
             gone = [list(c) for size in range(1, min(k, len(items) - 1) + 1) for c in combinations(range(len(items)), size)]
             lacking = [total, *(total - weight[np.array([c for c in gone if len(c) == size])].sum(1, dtype=np.uint64) for size in {len(c) for c in gone})]
             return mix(np.concatenate(lacking))
-        if prefix is not None:
-            return prefix
+        if self.weight is not None:
+            # rarest first; items are sorted, so ties are in the order of their hashes
+            return mix(items[np.argsort(self.weight[place_of(items)], kind="stable")[: self.posted(len(items))]])
         n = -(-3 * (k + 1) // 2)
         # items are sorted, and so are their segments
         width = np.uint64((1 << 64) // n + 1)
@@ -140,49 +156,95 @@ class Signatures:
         count = np.zeros(n, np.int64)
         content = np.zeros(n, np.uint64)
         at = segment[starts].astype(np.int64)
-        content[at] = np.add.reduceat(weight, starts)
+        content[at] = np.add.reduceat(mix(items + salt), starts)
         count[at] = np.diff(np.r_[starts, len(items)])
         least = np.sort(count)[n - k - 1]  # at most n - k - 1 segments are smaller
         chosen = np.flatnonzero(count >= least)
         return mix(content[chosen] + mix(chosen.astype(np.uint64) + salt))
 
 
-def frequent_items(width: int, kept: int):
-    """mapInArrow function: texts to (item, count), a Misra-Gries summary of ``kept`` items per task."""
+class Rarity:
+    """Counts of shingles by place in one task."""
+
+    def __init__(self, kept: int):
+        self.counts, self.kept, self.waiting, self.held = np.zeros(PLACES, np.int64), kept, [], 0
+
+    def add(self, items: np.ndarray) -> None:
+        self.waiting.append(place_of(items))
+        self.held += len(items)
+        if self.held >= 1 << 20:
+            self._count()
+
+    def _count(self) -> None:
+        if self.waiting:
+            self.counts += np.bincount(np.concatenate(self.waiting), minlength=PLACES)
+        self.waiting, self.held = [], 0
+
+    def common(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ``kept`` places that hold most, of those that hold two or more, and their counts."""
+        self._count()
+        best = np.argpartition(self.counts, PLACES - self.kept)[PLACES - self.kept :]
+        best = best[self.counts[best] > 1]
+        return best, self.counts[best]
+
+
+def classes_of(batches):
+    """mapInArrow function: (doc_id, text) to (doc_id, node), the class of the text."""
+    import pyarrow as pa
+
+    for batch in pieces(batches):
+        nodes = [name_of(words_of(t)) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64())], ["doc_id", "node"])
+
+
+def common_places(width: int, kept: int):
+    """mapInArrow function: texts to (place, k), the ``kept`` places that most of a task's shingles fall into."""
 
     def run(batches):
         import pyarrow as pa
 
-        shingles = Shingler(width)
-        items, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in pieces(batches, 1024):
-            new, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(shingles, batch.column(0).to_pylist())]), return_counts=True)
-            items, at = np.unique(np.concatenate([items, new]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, n]), len(items)).astype(np.int64)
-            if len(items) > kept:
-                counts -= np.partition(counts, len(counts) - kept - 1)[len(counts) - kept - 1]
-                items, counts = items[counts > 0], counts[counts > 0]
-        yield pa.RecordBatch.from_arrays([pa.array(items.astype(np.int64)), pa.array(counts)], ["item", "count"])
+        shingles, rarity = Shingler(width), Rarity(kept)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                rarity.add(shingles(text))
+        place, k = rarity.common()
+        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(k, pa.int64())], ["place", "k"])
 
     return run
 
 
-def features(width: int, percent: int, frequent: np.ndarray | None = None, counts: np.ndarray | None = None):
+def rarity_of(texts: DataFrame, width: int, kept: int) -> np.ndarray:
+    """How often the shingles of each place occur, from the tasks' common ones; 0 for the others."""
+    got = texts.select("text").mapInArrow(common_places(width, kept), "place int, k long").groupBy("place").agg(F.sum("k").alias("k")).filter("k >= 4").toPandas()  # at most PLACES rows
+    out = np.zeros(PLACES, np.int32)
+    out[got["place"].to_numpy(np.int64)] = np.minimum(got["k"].to_numpy(np.int64), 2**31 - 1)
+    return out
+
+
+def post(width: int, percent: int, shared=None):
+    """mapInArrow function: (id, node, text) to POSTED, once a class and task; a text that isn't of the class gives nothing.
+    A null node is the text's class.
+
+    shared: a broadcast of ``rarity_of``, if large sets are to post single elements.
+    """
+
     def run(batches):
         import pyarrow as pa
-        import xxhash
 
-        shingles, signatures = Shingler(width), Signatures(percent)
+        shingles, signatures, seen = Shingler(width), Signatures(percent, shared and shared.value), set()
         for batch in pieces(batches):
-            n, ids, sigs = [], [], []
-            for text in batch.column(1).to_pylist():
-                items = shingles(text)
-                n.append(len(items))
-                ids.append(xxhash.xxh3_128_hexdigest(items.tobytes()))
-                sigs.append(signatures(items, frequent, counts))
-            flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
+            rows = []
+            for i, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = words_of(text)
+                node = name_of(words) if node is None else node
+                if node not in seen and name_of(words) == node:
+                    seen.add(node)
+                    items = shingles.of(words)
+                    rows.append((i, node, len(items), signatures(items)))
+            ids, nodes, n, sigs = zip(*rows, strict=True) if rows else ((), (), (), ())
             offsets = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "n", "set_id", "sigs"])
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array(n, pa.int64()), lists], ["id", "node", "n", "sigs"])
 
     return run
 
@@ -216,22 +278,14 @@ def within(width: int, percent: int):
 
         shingles = Shingler(width)
         ids, comp = table["id"].to_pylist(), table["comp"].to_pylist()
+        first = max(set(comp), key=comp.count) if len(ids) <= 4096 else None
+        if all(c == first for c in comp):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         sets = [shingles(t) for t in table["text"].to_pylist()]
+        rest = np.array([i for i, c in enumerate(comp) if c != first])  # pairs within the largest component have nothing to join
         n = np.array([*map(len, sets)])
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        column = np.cumsum(np.r_[0, flat[1:] != flat[:-1]])
-        shared = np.bincount(column)[column] > 1  # items of one set alone are in no intersection
-        column, owner = np.cumsum(np.r_[True, np.diff(column[shared]) > 0][: shared.sum()]) - 1, owner[shared]
-        both = np.zeros((len(sets), len(sets)), np.float32)
-        for lo in range(0, column[-1] + 1 if len(column) else 0, 4096):
-            i, j = np.searchsorted(column, [lo, lo + 4096])
-            has = np.zeros((len(sets), min(4096, int(column[-1]) + 1 - lo)), np.float32)
-            has[owner[i:j], column[i:j] - lo] = 1
-            both += has @ has.T
-        hit = 100 * both.astype(np.int64) >= percent * (n[:, None] + n - both.astype(np.int64))
-        top = {c: c for c in comp}
+        near = [np.flatnonzero(ok) for ok in may_link(sets, n, rest, percent)]
+        links, top = [], {c: c for c in comp}
 
         def root(c):
             while top[c] != c:
@@ -239,27 +293,68 @@ def within(width: int, percent: int):
                 c = top[c]
             return c
 
-        links = []
-        for i, j in zip(*map(np.ndarray.tolist, np.nonzero(np.triu(hit, 1))), strict=True):
-            if (x := root(comp[i])) != (y := root(comp[j])):
-                top[x] = y
-                links.append((ids[i], ids[j]))
+        if sum(map(len, near)) > 64 * len(sets):
+            near = [np.flatnonzero(ok) for ok in do_link(sets, n, rest, percent)]
+            linked = lambda i, j: True
+        else:
+
+            def linked(i, j):
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                return 100 * both >= percent * (n[i] + n[j] - both)
+
+        for i, others in zip(rest.tolist(), near, strict=True):
+            for j in others.tolist():
+                if (x := root(comp[i])) != (y := root(comp[j])) and linked(i, j):
+                    top[x] = y
+                    links.append((ids[i], ids[j]))
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return run
 
 
+def may_link(sets: list[np.ndarray], n: np.ndarray, rest: np.ndarray, percent: int):
+    """For each of ``rest``, which sets it may link with: none is missed.
+
+    A set's bitmap has, at each place, whether it holds an odd number of items
+    hashed there; two bitmaps differ in no more places than the sets in items.
+    """
+    log = min(16, max(8, int(2 * n.max(initial=1) - 1).bit_length()))
+    owner = np.repeat(np.arange(len(sets)), n) << log
+    odd = np.bincount(owner + (np.concatenate(sets) >> np.uint64(64 - log)).astype(np.int64), minlength=len(sets) << log) & 1
+    maps = np.packbits(odd.astype(np.uint8)).reshape(len(sets), -1).view(np.uint64)
+    for i in rest:
+        differ = np.bitwise_count(maps ^ maps[i]).sum(1, dtype=np.int64)
+        yield differ * (100 + percent) <= (n + n[i]) * (100 - percent)
+
+
+def do_link(sets: list[np.ndarray], n: np.ndarray, rest: np.ndarray, percent: int):
+    """For each of ``rest``, which sets it links with, by products of presence matrices over blocks of items."""
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    column = np.cumsum(np.r_[0, flat[1:] != flat[:-1]])
+    shared = np.bincount(column)[column] > 1  # items of one set alone are in no intersection
+    column, owner = np.cumsum(np.r_[True, np.diff(column[shared]) > 0][: shared.sum()]) - 1, owner[shared]
+    both = np.zeros((len(rest), len(sets)), np.float32)
+    for lo in range(0, column[-1] + 1 if len(column) else 0, 4096):
+        i, j = np.searchsorted(column, [lo, lo + 4096])
+        has = np.zeros((len(sets), min(4096, int(column[-1]) + 1 - lo)), np.float32)
+        has[owner[i:j], column[i:j] - lo] = 1
+        both += has[rest] @ has.T
+    return 100 * both.astype(np.int64) >= percent * (n[rest, None] + n - both.astype(np.int64))
+
+
 def verify_blocks(lists: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 256) -> DataFrame:
-    """Links (a, b) that join components within lists (sig, id, comp, size); no pair becomes a row.
+    """Links (a, b) that join components within lists (name, id, comp, size); no pair becomes a row.
 
-    A list is cut into blocks, and every two blocks meet in one group of at most
-    2 * ``block`` texts.
+    A list is dealt by hash into blocks of about ``block``, and every two blocks
+    meet in one group of about 2 * ``block`` texts.
     """
-    place = (F.row_number().over(Window.partitionBy("sig").orderBy("id")) - 1) / block
-    x, blocks = place.cast("int"), F.ceil(F.col("size") / block).cast("int")
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    x = F.pmod(F.xxhash64(F.lit(5), "id"), blocks).cast("int")
     cut = lists.withColumn("x", x).withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1))).filter((F.col("x") != F.col("y")) | (F.col("size") <= block))
-    meet = cut.select("sig", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "id", "comp").join(texts, "id")
-    return meet.groupBy("sig", "x", "y").applyInArrow(within(width, percent), "a long, b long")
+    meet = cut.select("name", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "id", "comp").join(texts, "id")
+    return meet.groupBy("name", "x", "y").applyInArrow(within(width, percent), "a long, b long")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -277,78 +372,115 @@ def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     between = links.join(of[0], "a", "left").join(of[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     more = stored(connected_components(between.filter("a != b").distinct()), "joins")
     old = labels.join(more.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-    return stored(old.unionByName(more.join(labels.select("node"), "node", "left_anti")), "labels")
+    out = stored(old.unionByName(more.join(labels.select("node"), "node", "left_anti")), "labels")
+    discard(labels, more)
+    return out
+
+
+def _lists(posted: DataFrame) -> DataFrame:
+    """(name, id, n): lists of several documents that share a signature; lists of the same documents are one.
+
+    A list's name is made of its least and its largest id and the exclusive or
+    of all ids' hashes: equal lists have equal names, and should others meet by
+    chance, more is compared but nothing lost. Signatures that over 1/4096 of
+    the postings carry (found by approx_top_k, at most 512) are summed in each
+    task before the sums are shuffled; only the others' postings meet in a window.
+    """
+    all_posted = posted.select("n", "id", F.explode("sigs").alias("sig"))
+    hot = stored(all_posted.agg(F.expr("approx_top_k(sig, 512, 4096)").alias("t")).select(F.explode("t").alias("t")).filter("t.count > 256").select(F.col("t.item").alias("sig")), "hot")
+    name = F.xxhash64("lo", "hi", "mixed").alias("name")
+    group = Window.partitionBy("sig")
+    cold = all_posted.join(F.broadcast(hot), "sig", "left_anti")
+    ends = cold.withColumn("lo", F.min("id").over(group)).withColumn("hi", F.max("id").over(group)).filter("lo < hi").withColumn("mixed", F.bit_xor(F.xxhash64("id")).over(group))
+    some = all_posted.join(F.broadcast(hot), "sig")
+    sums = some.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("mixed")).filter("lo < hi")  # at most 512 rows
+    out = ends.select(name, "id", "n").unionByName(some.join(F.broadcast(sums), "sig").select(name, "id", "n"))
+    lists = stored(out.distinct(), "lists")
+    discard(hot)
+    return lists
 
 
 def _mixed(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """The lists that still hold several components, with each id's component."""
-    group = Window.partitionBy("sig")
-    named = lists.join(labels.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "n", F.coalesce("component", "id").alias("comp"))
-    ends = named.withColumn("lo", F.min("comp").over(group)).withColumn("hi", F.max("comp").over(group))
-    return stored(ends.filter("lo < hi").select("sig", "id", "n", "comp"), "mixed")
+    named = lists.join(labels.withColumnRenamed("node", "id"), "id", "left").select("name", "id", "n", F.coalesce("component", "id").alias("comp"))
+    named = stored(named, "named")
+    several = named.groupBy("name").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("name", "size")
+    mixed = stored(named.join(several, "name"), "mixed")
+    discard(named)
+    return mixed
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85,
-               rounds: int = 4, short: int = 16, frequent: int = 8192, block: int = 256) -> DataFrame:
+               rounds: int = 4, short: int = 16, kept: int = 8192, block: int = 256) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
     Words are lower-cased (A-Z) and split at ASCII white space. Texts that are
     null or without words have an empty set and link with nothing; their
-    component is their own id. Rows of one id count as one document; rows with a
-    null id link nothing and have a null component. An empty table gives no rows.
+    component is their own id. Rows of one id are one document: whatever links
+    with one of its texts links with all of them. Rows with a null id link
+    nothing and have a null component. Other columns, whatever their names,
+    aren't read. An empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    base = stored(rows.mapInArrow(features(width, percent), FEATURES), "sets")
-    classes = base.filter("n > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    reps = base.select("doc_id", "n", "set_id", "sigs").join(classes, "set_id").filter("doc_id = rep")
-    postings = reps.select("n", F.col("rep").alias("id"), F.explode("sigs").alias("sig"))
-    group = Window.partitionBy("sig")
-    lists = postings.withColumn("lo", F.min("id").over(group)).withColumn("hi", F.max("id").over(group)).filter("lo < hi").select("sig", "id", "n")
-    lists = stored(lists, "lists")
+    base = stored(rows.mapInArrow(classes_of, "doc_id long, node long"), "base")
+    full = base.filter("node >= 0 and doc_id is not null")
+    classes = stored(base.filter("node >= 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("size")), "classes")
+    of_class = rows.join(classes.select("node", "id"), F.col("doc_id") == F.col("id")).select("id", "node", "text")
+    nameless = rows.filter("doc_id is null").select(F.col("doc_id").alias("id"), F.lit(None).cast("long").alias("node"), "text")  # only their set's size is asked for
+    posted = stored(of_class.unionByName(nameless).mapInArrow(post(width, percent), POSTED), "posted")
+    release(spark)
+    facts = stored(posted.groupBy("node").agg(F.max("n").alias("n")), "facts")
+    lists = _lists(posted.filter("id is not null"))
+    discard(posted)
     release(spark)
-    involved = lists.select("id").distinct()
-    texts = stored(rows.join(involved, F.col("doc_id") == F.col("id")).select("id", "text"), "texts")
+    texts = of_class.join(lists.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "node"])
+    texts = stored(texts, "texts")
     release(spark)
 
-    labels, before, mixed = None, 0, lists.withColumn("comp", F.col("id"))
+    # texts of one id are one document
+    several = full.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("doc_id")
+    own = full.join(several, "doc_id").join(classes.select("node", "id"), "node").filter("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    labels = _joined(None, own)
+    mixed, before, again = _mixed(lists, labels), 0, False
+    discard(lists)
     for r in range(rounds):
-        order = F.struct(F.xxhash64(F.lit(r), "id").alias("h"), "id", "comp", "n")
-        p = mixed.withColumn("p", F.min(order).over(group))
-        near = p.filter("p.comp != comp and 100 * least(p.n, n) >= {0} * greatest(p.n, n)".format(percent))
+        pivots = mixed.groupBy("name").agg(F.min(F.struct(F.xxhash64(F.lit(r), "id").alias("h"), "id", "comp", "n")).alias("p"))
+        near = mixed.join(pivots, "name").filter(f"p.comp != comp and 100 * least(p.n, n) >= {percent} * greatest(p.n, n)")
         pairs = near.groupBy(F.col("id").alias("a")).agg(F.min("p").alias("p")).select("a", F.col("p.id").alias("b"))
         found = stored(verify(pairs, texts, width, percent), "links")
         labels = _joined(labels, found)
-        mixed = _mixed(lists, labels)
+        fresh = _mixed(mixed.select("name", "id", "n"), labels)
+        discard(found, mixed)
+        mixed = fresh
         release(spark)
-        longest, left = mixed.groupBy("sig").count().agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).first()
+        longest, left = mixed.agg(F.coalesce(F.max("size"), F.lit(0)), F.count("*")).first()
         if longest <= short or r and left > 0.9 * before:
             break  # a round that joins little would be followed by others
-        if r == 0:
+        if not again:
             # long lists of different documents come from passages that many share: documents that are in
-            # mixed lists post again, by the rarest of their items
+            # mixed lists post again, by the shingles that are rarest among them
+            again = True
             some = stored(texts.join(mixed.select("id").distinct(), "id", "left_semi"), "some")
-            top = some.select("text").mapInArrow(frequent_items(width, frequent), "item long, count long").groupBy("item").agg(F.sum("count").alias("count"))
-            top = top.filter("count >= 16").orderBy(F.desc("count"), "item").limit(frequent).collect()
-            items, counts = np.array([t["item"] for t in top], np.int64).view(np.uint64), np.array([t["count"] for t in top], np.int64)
-            order = np.argsort(items)
-            again = some.mapInArrow(features(width, percent, items[order], counts[order]), FEATURES)
-            lists = again.select("n", F.col("doc_id").alias("id"), F.explode("sigs").alias("sig")).withColumn("lo", F.min("id").over(group)).withColumn("hi", F.max("id").over(group))
-            lists = stored(lists.filter("lo < hi").select("sig", "id", "n"), "lists")
+            weight = spark.sparkContext.broadcast(rarity_of(some, width, kept))
+            posted = stored(some.select("id", "node", "text").mapInArrow(post(width, percent, weight), POSTED), "posted")
+            lists = _lists(posted)
+            discard(mixed, posted, some)
             mixed = _mixed(lists, labels)
+            discard(lists)
             left = mixed.count()
-        else:
-            lists = mixed.drop("comp")
         before = left
     # lists of documents that nearly link, but don't, stay long; shorter lists share many pairs, of which one row is compared
-    sized = mixed.withColumn("size", F.count("*").over(group))
-    a, b = (sized.filter(F.col("size") <= block).select("sig", F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("comp").alias(f"{x}c")) for x in "ab")
-    rest = a.join(b, "sig").filter(f"a < b and ac != bc and 100 * least(an, bn) >= {percent} * greatest(an, bn)").select("a", "b").distinct()
-    found = verify(rest, texts, width, percent).unionByName(verify_blocks(sized.filter(F.col("size") > block), texts, width, percent, block))
+    a, b = (mixed.filter(F.col("size") <= short).select("name", F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("comp").alias(f"{x}c")) for x in "ab")
+    rest = a.join(b, "name").filter(f"a < b and ac != bc and 100 * least(an, bn) >= {percent} * greatest(an, bn)").select("a", "b").distinct()
+    found = verify(rest, texts, width, percent).unionByName(verify_blocks(mixed.filter(F.col("size") > short), texts, width, percent, block))
     found = stored(found, "links")
-    if not found.isEmpty():
-        labels = _joined(labels, found)
-    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
-    # only classes that say more than a row's own id are joined back
-    small = base.select("doc_id", "n", "set_id")
-    return small.join(named, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id"))
+    labels = _joined(labels, found)
+    discard(found, mixed, texts)
+    named = classes.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").join(facts, "node", "left")
+    named = stored(named.select("node", "size", "n", F.coalesce("component", "id").alias("component")), "named")
+    discard(classes, labels, facts)
+    # rows of large classes are named where they lie
+    found = split_join(base, named, "node", base.count())
+    component = F.when(F.col("node") < 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component"))
+    return found.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), component.alias("component_id"))
