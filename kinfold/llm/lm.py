@@ -1,11 +1,13 @@
 """Language-model scoring: a causal self-attention model in numpy, and word counts of the whole corpus.
 
 Model: subword ids; embedding plus position, one masked attention head with a
-residual, and a softmax over id classes times the frequency of an id within its
+residual, and a softmax over id classes times the share of an id within its
 class. Classes hold ids that follow similar ids, in about equal shares of the
-training mass. Id frequencies and what ids follow (by hash, in ``CONTEXTS``
-places), and so classes, shares and input symbols, are counted over all training
-rows. The model starts
+training mass. Which id follows which is counted over all training rows; from
+that come classes, input symbols, and the shares of classes and ids after the
+ids of each of ``CONTEXTS`` hashed places. The attention model's probability is
+interpolated with the discounted share of the id after the one before it, for
+the pairs that occur most (at most ``max_pairs``). The model starts
 from a fit on at most ``max_windows`` windows of at most ``max_docs`` training
 documents; then each task trains it on all windows of its training rows, every
 id being a target once, and the tasks' models are averaged by their targets.
@@ -15,7 +17,7 @@ Scoring: a text is read in overlapping windows of ``WINDOW`` ids that start
 before it, and windows of many texts are one batch.
 
 Base score: words are counted over all training rows (partial sums per task,
-one shuffle). The ``common`` most frequent words, a fixed number, are broadcast;
+one shuffle). The most frequent words, at most ``common``, are broadcast;
 other words join their counts by hash, so no list of counts that grows with
 the corpus leaves the cluster.
 """
@@ -30,10 +32,37 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import ChunkEncoder, rank_encoder
+from .bpe import rank_encoder
 from .common import pieces, release, remainder, stored
 
-WINDOW, STRIDE, WIDTH, CLASSES, INPUTS, CONTEXTS = 32, 24, 32, 256, 4096, 64
+WINDOW, STRIDE, WIDTH, CLASSES, INPUTS, CONTEXTS = 32, 24, 16, 256, 4096, 64
+
+
+@dataclass
+class Follows:
+    """Ids that often follow an id in the corpus: their discounted shares, and what is left to the attention model."""
+
+    key: np.ndarray  # before * vocabulary + id, sorted
+    share: np.ndarray
+    left: np.ndarray  # by the id before; with the shares it sums to 1
+
+    def mix(self, before: np.ndarray, ids: np.ndarray, log: np.ndarray) -> np.ndarray:
+        """log10 of the interpolation of the shares with probabilities of the given log10."""
+        own = before * len(self.left) + ids
+        at = np.minimum(np.searchsorted(self.key, own), len(self.key) - 1)
+        share = np.where(self.key[at] == own, self.share[at], 0)
+        return np.log10(share + self.left[before] * 10.0**log + 1e-300)
+
+
+def follows(before: np.ndarray, ids: np.ndarray, counts: np.ndarray, total: np.ndarray, discount: float = 0.75, weight: float = 0.3) -> Follows | None:
+    """From pairs and their counts, and how often each id is followed by any (``total``); ``weight`` is the shares' part of the whole."""
+    if not len(ids):
+        return None
+    key = before.astype(np.int64) * len(total) + ids
+    order = np.argsort(key)
+    share = weight * (counts - discount) / total[before]
+    left = 1 - np.bincount(before, share, len(total))
+    return Follows(key[order], share[order], np.clip(left, 1e-12, 1))
 
 
 @dataclass
@@ -41,8 +70,10 @@ class Model:
     end: int
     symbol: np.ndarray  # id -> input symbol
     klass: np.ndarray  # id -> class
-    within: np.ndarray  # id -> log10 of its share of its class
+    within: np.ndarray  # (id, place of the id before it) -> log10 of its share of its class there
+    prior: np.ndarray  # (place of the id before, class) -> log of the class's share there
     p: dict[str, np.ndarray]
+    follows: Follows | None = None
 
     def forward(self, ids: np.ndarray):
         """Hidden states of windows of ids, and what the gradient needs."""
@@ -85,7 +116,7 @@ class Model:
         x, o, d = (np.empty((batch, WINDOW, WIDTH), np.float32) for _ in range(3))
         three, s = np.empty((batch * WINDOW, 3 * WIDTH), np.float32), np.empty((batch, WINDOW, WINDOW), np.float32)
         z = np.empty((batch * STRIDE, CLASSES), np.float32)
-        inputs = self.symbol[rows]
+        inputs, places = self.symbol[rows], place_of(rows)
         for lo in range(0, len(rows), batch):
             n = min(batch, len(rows) - lo)
             if n < batch:  # the last batch is filled up; what it says beyond n isn't read
@@ -105,6 +136,8 @@ class Model:
             x += d
             np.matmul(np.ascontiguousarray(x[:, ctx:]).reshape(-1, WIDTH), p["c"], out=z)
             z += p["b"]
+            before = places[lo : lo + n, ctx:]
+            z[: n * STRIDE] += self.prior[before.ravel()]
             y = wanted[lo : lo + batch]
             ok = y >= 0
             chosen = np.take_along_axis(z[: n * STRIDE], self.klass[y].reshape(-1, 1), 1).reshape(y.shape)
@@ -112,7 +145,9 @@ class Model:
             z -= shift
             np.exp(z, out=z)
             norm = (np.log(z.sum(1)) + shift[:, 0])[: n * STRIDE].reshape(y.shape)
-            log = (chosen - norm) / np.log(10) + self.within[y]
+            log = (chosen - norm) / np.log(10) + self.within[y, before]
+            if self.follows is not None:
+                log = self.follows.mix(rows[lo : lo + n, ctx:], np.maximum(y, 0), log)
             total += np.bincount(owner[lo : lo + batch], np.where(ok, log, 0).sum(1), len(texts))
         return total
 
@@ -139,14 +174,14 @@ def fit(windows: np.ndarray, vocabulary: int, end: int, steps: int = 400, batch:
     counts = contexts.sum(1) + 0.02
     order = np.argsort(-counts, kind="stable")
     klass = classes(contexts)
-    within = np.log10(counts / np.bincount(klass, counts, CLASSES)[klass])
+    within, prior = shares(contexts, klass)
     symbol = np.empty(vocabulary, np.int64)
     symbol[order[: INPUTS - CLASSES]] = np.arange(vocabulary)[: INPUTS - CLASSES]
     symbol[order[INPUTS - CLASSES :]] = INPUTS - CLASSES + klass[order[INPUTS - CLASSES :]]
     init = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
     p = {"e": (rng.standard_normal((INPUTS, WIDTH)) * 0.3).astype(np.float32), "pos": (rng.standard_normal((WINDOW, WIDTH)) * 0.1).astype(np.float32)}
     p |= {n: init(WIDTH, WIDTH) for n in "qkvo"} | {"c": init(WIDTH, CLASSES), "b": np.zeros(CLASSES, np.float32)}
-    model = Model(end, symbol, klass, within, p)
+    model = Model(end, symbol, klass, within, prior, p)
     adam = Adam(p)
     for t in range(1, steps + 1):
         rows = windows[rng.integers(0, len(windows), batch)]
@@ -159,6 +194,7 @@ def gradients(model: Model, ids: np.ndarray, target: np.ndarray) -> dict[str, np
     p = model.p
     h, (x, q, k, v, a, o) = model.forward(ids)
     z = h @ p["c"] + p["b"]
+    z += model.prior[place_of(ids)]
     z -= z.max(2, keepdims=True)
     np.exp(z, out=z)
     z /= z.sum(2, keepdims=True)
@@ -185,7 +221,26 @@ def gradients(model: Model, ids: np.ndarray, target: np.ndarray) -> dict[str, np
 
 def context_keys(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Place of (id, hash of the id before it) in a flat table of CONTEXTS places an id."""
-    return ids.astype(np.int64) * CONTEXTS + (before.astype(np.int64) * 2654435761 >> 7) % CONTEXTS
+    return ids.astype(np.int64) * CONTEXTS + place_of(before)
+
+
+def place_of(ids: np.ndarray) -> np.ndarray:
+    """One of CONTEXTS places of an id, by hash."""
+    return (ids.astype(np.int64) * 2654435761 >> 7) % CONTEXTS
+
+
+def shares(contexts: np.ndarray, klass: np.ndarray, few: float = 32.0) -> tuple[np.ndarray, np.ndarray]:
+    """Model.within and Model.prior from the corpus' counts; rare places fall back to the shares over all places, each as ``few`` counts."""
+    counts = contexts.sum(1) + 0.02
+    alone = counts / np.bincount(klass, counts, CLASSES)[klass]
+    order = np.argsort(klass, kind="stable")
+    first = np.flatnonzero(np.diff(klass[order], prepend=-1))
+    by_class = np.zeros((CLASSES, CONTEXTS))
+    by_class[klass[order[first]]] = np.add.reduceat(contexts[order], first)
+    within = np.log10((contexts + few * alone[:, None]) / (by_class[klass] + few)).astype(np.float32)
+    overall = (by_class.sum(1) + 0.01) / (by_class.sum() + 0.01 * CLASSES)
+    prior = np.log((by_class.T + few * overall) / (by_class.sum(0)[:, None] + few)).astype(np.float32)
+    return within, prior
 
 
 def classes(contexts: np.ndarray) -> np.ndarray:
@@ -214,30 +269,69 @@ def classes(contexts: np.ndarray) -> np.ndarray:
     return klass
 
 
-def id_counts(rows: DataFrame, vocabulary: int, end: int) -> np.ndarray:
-    """How often each id, and the end once a row, occurs in all rows."""
-    return context_counts(rows, vocabulary, end).sum(1)
-
-
-def context_counts(rows: DataFrame, vocabulary: int, end: int) -> np.ndarray:
-    """How often each id, and the end once a row, follows an id of each place in all rows; partial sums per task, at most vocabulary x CONTEXTS numbers."""
-
+def pair_counts(rows: DataFrame, vocabulary: int, end: int) -> DataFrame:
+    """(before, id, c): how often each id, and the end once a row, follows each id in all rows; the end stands before a row."""
     last = int(end).to_bytes(4, "little")
 
     def run(batches):
         import pyarrow as pa
 
-        total = np.zeros(vocabulary * CONTEXTS, np.int64)
+        keys, counts, waiting, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+        def merge():
+            nonlocal keys, counts
+            new, n = np.unique(np.concatenate(waiting), return_counts=True)
+            keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+            waiting.clear()
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(keys // vocabulary), pa.array(keys % vocabulary), pa.array(counts)], ["before", "id", "c"])
+
         for batch in pieces(batches):
-            line = np.concatenate([np.array([end], "<u4"), *[np.frombuffer(ids + last, "<u4") for ids in batch.column(0).to_pylist()]])
-            total += np.bincount(context_keys(line[:-1], line[1:]), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "c"])
+            line = np.concatenate([np.array([end], "<u4"), *[np.frombuffer(ids + last, "<u4") for ids in batch.column(0).to_pylist()]]).astype(np.int64)
+            waiting.append(line[:-1] * vocabulary + line[1:])
+            held += len(line)
+            if held > 2_000_000:
+                merge()
+                held = 0
+                if len(keys) > 2_000_000:
+                    yield out()
+                    keys, counts = keys[:0], counts[:0]
+        if waiting:
+            merge()
+        yield out()
+
+    return rows.select("ids").mapInArrow(run, "before long, id long, c long").groupBy("before", "id").agg(F.sum("c").alias("c"))
+
+
+def context_counts(pairs: DataFrame, vocabulary: int) -> np.ndarray:
+    """How often each id follows an id of each place: at most vocabulary x CONTEXTS numbers."""
+    place = (F.shiftright(F.col("before") * 2654435761, 7) % CONTEXTS).alias("place")  # as place_of
+    got = pairs.groupBy("id", place).agg(F.sum("c").alias("c")).toPandas()
+    counts = np.zeros((vocabulary, CONTEXTS))
+    counts[got["id"].to_numpy(np.int64), got["place"].to_numpy(np.int64)] = got["c"].to_numpy(np.int64)
+    return counts
+
+
+def most_frequent(counts: DataFrame, most: int, least: int = 1) -> DataFrame:
+    """The rows with c of a power of two or more, the least that no more than ``most`` rows reach."""
+    sizes = counts.groupBy(F.floor(F.log2("c")).cast("int").alias("e")).count().orderBy(F.desc("e")).collect()  # at most 64 rows
+    bound, total = None, 0
+    for r in sizes:
+        total += r["count"]
+        if total > most:
+            break
+        bound = 2 ** r["e"]
+    return counts.filter(F.col("c") >= max(bound, least)) if bound else counts.filter("false")
+
 
-    got = rows.select("ids").mapInArrow(run, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).toPandas()
-    counts = np.zeros(vocabulary * CONTEXTS)
-    counts[got["id"].to_numpy(np.int64)] = got["c"].to_numpy(np.int64)
-    return counts.reshape(vocabulary, CONTEXTS)
+def frequent_follows(pairs: DataFrame, vocabulary: int, most: int) -> Follows | None:
+    total = np.ones(vocabulary)
+    sums = pairs.groupBy("before").agg(F.sum("c").alias("c")).toPandas()  # at most vocabulary rows
+    total[sums["before"].to_numpy(np.int64)] = sums["c"].to_numpy(np.int64)
+    got = most_frequent(pairs, most, least=2).toPandas()
+    return follows(*(got[c].to_numpy(np.int64) for c in ("before", "id", "c")), total)
 
 
 def whole_windows(ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -251,7 +345,7 @@ def whole_windows(ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     return line.reshape(-1, WINDOW), target.reshape(-1, WINDOW)
 
 
-def train_on_all(model: Model, rows: DataFrame, batch: int = 256, rate: float = 0.002, held: int = 8192) -> Model:
+def train_on_all(model: Model, rows: DataFrame, batch: int = 64, rate: float = 0.0015, held: int = 8192) -> Model:
     """One pass over all windows of all rows: a model per task from ``model`` on, averaged by the tasks' targets.
 
     Sums are made by parameter in one shuffle, so the driver gets as many numbers as one model has.
@@ -262,7 +356,7 @@ def train_on_all(model: Model, rows: DataFrame, batch: int = 256, rate: float =
         import pyarrow as pa
 
         start = shared.value
-        own = Model(start.end, start.symbol, start.klass, start.within, {n: w.copy() for n, w in start.p.items()})
+        own = Model(start.end, start.symbol, start.klass, start.within, start.prior, {n: w.copy() for n, w in start.p.items()})
         adam, rng, seen, kept, waiting = Adam(own.p), np.random.default_rng(7), 0, [], 0
 
         def learn():
@@ -298,7 +392,7 @@ def train_on_all(model: Model, rows: DataFrame, batch: int = 256, rate: float =
         w = model.p[n]
         p[n] = (got[lo : lo + w.size] / got[-1]).reshape(w.shape).astype(np.float32)
         lo += w.size
-    return Model(model.end, model.symbol, model.klass, model.within, p)
+    return Model(model.end, model.symbol, model.klass, model.within, model.prior, p, model.follows)
 
 
 def encoded(rows: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -307,9 +401,9 @@ def encoded(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        encoder = ChunkEncoder(*rank_encoder(path, pattern), limit=400_000)
+        encoder = rank_encoder(path, pattern)
         for batch in pieces(batches):
-            ids = [np.frombuffer(encoder(t or ""), "<u4").tobytes() for t in batch.column(1).to_pylist()]
+            ids = [encoder(t or "").astype("<u4", copy=False).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], ["doc_id", "text", "held_out", "ids"])
 
     return rows.mapInArrow(run, "doc_id long, text string, held_out boolean, ids binary")
@@ -364,7 +458,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame, path: str, pattern: str, held_out, key: str = "doc_id", text: str = "text", end: int = 50256,
-          common: int = 100_000, max_docs: int = 1024, max_windows: int = 32_768, steps: int = 400) -> DataFrame:
+          common: int = 100_000, max_docs: int = 1024, max_windows: int = 32_768, max_pairs: int = 1_000_000, steps: int = 400) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     held_out: a Column over doc_id; rows where it is false are learned from.
@@ -379,10 +473,13 @@ def score(docs: DataFrame, path: str, pattern: str, held_out, key: str = "doc_id
     ends = training.count()
     sums = counts.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
     n, v = (sums.n or 0) + ends, sums.v + (ends > 0)
-    top = counts.orderBy(F.desc("c"), "h").limit(common).toPandas().sort_values("h")
+    top = most_frequent(counts, common).toPandas().sort_values("h")
     windows = training_windows(training, end, max_docs, max_windows)
     if len(windows):
-        model = train_on_all(fit(windows, end + 1, end, steps, contexts=context_counts(training, end + 1, end)), training)
+        pairs = stored(pair_counts(training, end + 1, end), "pairs")
+        model = fit(windows, end + 1, end, steps, contexts=context_counts(pairs, end + 1))
+        model.follows = frequent_follows(pairs, end + 1, max_pairs)
+        model = train_on_all(model, training)
     else:
         model = fit(np.full((1, WINDOW + 1), end), end + 1, end, 0)
     scale = np.log10(n + 0.1 * (v + 1))
