@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, unused
 
 
 def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", heavy: int = 256, tracked: int = 4096) -> DataFrame:
@@ -49,12 +49,16 @@ def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", heavy: int
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", heavy: int = 256, tracked: int = 4096) -> DataFrame:
-    """The rows that stay, with all their columns; of rows equal in key and text one stays."""
+    """The rows that stay, with all their columns, whatever their names; of rows equal in key and text one stays.
+
+    Null texts count as empty, null keys as smaller than any. An empty table gives no rows.
+    """
+    sha, kept_id, kept_sha, times = unused(docs, "sha", "kept_id", "kept_sha", "kept_times")
     kept = decide(docs, key, text, heavy, tracked).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("times"))
-    kept = kept.filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"), F.col("times").alias("_kept_times"))
+    kept = kept.filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha), F.col("times").alias(times))
     digest = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256)
-    marked = docs.withColumn("_sha", digest)
-    found = marked.join(kept, F.col(f"`{key}`").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")))
-    once = found.filter("_kept_times = 1")
-    repeated = found.filter("_kept_times > 1").dropDuplicates(["_kept_id", "_kept_sha"])
+    marked = docs.withColumn(sha, digest)
+    found = marked.join(kept, F.col(f"`{key}`").cast("long").eqNullSafe(F.col(kept_id)) & (F.col(sha) == F.col(kept_sha)))
+    once = found.filter(F.col(times) == 1)
+    repeated = found.filter(F.col(times) > 1).dropDuplicates([kept_id, kept_sha])
     return once.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])

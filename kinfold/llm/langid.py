@@ -14,17 +14,17 @@ driver; ``landmarks`` of them, or one a language, are landmarks.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import pieces, remainder
 
 BITS = 1 << 15
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")  # as training asks of a text
 
 
 def present(text: str) -> np.ndarray:
@@ -119,7 +119,9 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     """``docs`` with lang_pred and score (0 to 1) appended.
 
     ``und`` with score 0: the text is null or has no letter, or no row was
-    there to learn from. Very long texts are read whole.
+    there to learn from. Very long texts are read whole. Every row is predicted,
+    repeated ones alike; an empty table gives no rows. Input columns called
+    lang_pred or score are replaced, others kept.
     """
     from .common import free_names
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, stored
+from .common import free_names, pieces, split_join, stored, unused
 
 # The base patterns, their least lengths, and the order of kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -63,9 +63,13 @@ def candidates(text: str | None) -> list[tuple[int, int, int, str]]:
     if not text:
         return []
     spans = base_spans(text)
-    taken = sorted((s, e) for s, _, e in spans)
+    taken, at, reach = sorted((s, e) for s, _, e in spans), 0, 0
     for m in GENERIC.finditer(text):
-        if looks_random(m[0]) and not any(s < m.end() and m.start() < e for s, e in taken):
+        # both lists are in order: what starts before the token's end is passed once, and its furthest end kept
+        while at < len(taken) and taken[at][0] < m.end():
+            reach = max(reach, taken[at][1])
+            at += 1
+        if reach <= m.start() and looks_random(m[0]):
             spans.append((m.start(), 3, m.end()))
     return [(s, k, e, hashlib.sha256(_value(text[s:e], k).encode()).hexdigest()) for s, k, e in sorted(spans)]
 
@@ -80,13 +84,13 @@ def scan(docs: DataFrame, owner, repo, text: str = "text", max_owners: int = 2,
 
     owner, repo: Columns over ``docs``. A null text is empty; a null owner or
     repository counts as none. Offsets are code points, ends exclusive. Input
-    columns called spans are replaced. An empty table gives no rows.
+    columns called spans are replaced, all others kept. Repeated rows are
+    scanned each. An empty table gives no rows.
     """
-    from .common import free_names
-
-    docs = free_names(docs, "spans", "_owner", "_repo", "_rid")
+    docs = free_names(docs, "spans")
     names = docs.columns
-    with_keys = docs.withColumns({"_owner": owner.cast("string"), "_repo": repo.cast("string")})
+    own, rep, rid, hits, every = unused(docs, "owner_", "repo_", "row_", "found_", "every_")
+    with_keys = docs.withColumns({own: owner.cast("string"), rep: repo.cast("string")})
     at = names.index(text)
 
     def run(batches):
@@ -95,25 +99,31 @@ def scan(docs: DataFrame, owner, repo, text: str = "text", max_owners: int = 2,
         kind = pa.list_(pa.struct([("start", pa.int32()), ("ord", pa.int32()), ("end", pa.int32()), ("hash", pa.string())]))
         for batch in pieces(batches):
             found = [[dict(zip(("start", "ord", "end", "hash"), c, strict=True)) for c in candidates(t)] for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "_found"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, hits])
 
-    schema = T.StructType([*with_keys.schema.fields, T.StructField("_found", T.ArrayType(T._parse_datatype_string(SPAN)))])
-    rows = stored(with_keys.mapInArrow(run, schema).withColumn("_rid", F.monotonically_increasing_id()), "candidates")
-    one = rows.select("_rid", "_owner", "_repo", F.explode("_found").alias("c")).select("_rid", "_owner", "_repo", "c.start", "c.ord", "c.end", "c.hash")
+    schema = T.StructType([*with_keys.schema.fields, T.StructField(hits, T.ArrayType(T._parse_datatype_string(SPAN)))])
+    rows = stored(with_keys.mapInArrow(run, schema).withColumn(rid, F.monotonically_increasing_id()), "candidates")
+    one = rows.select(F.col(rid).alias("row"), F.col(own).alias("owner"), F.col(rep).alias("repo"), F.explode(hits).alias("c")).select("row", "owner", "repo", "c.start", "c.ord", "c.end", "c.hash")
     # each step sums what a task has before it shuffles: a value in a third of all rows is a few rows here
-    places = one.select("hash", "_owner", "_repo").distinct()
-    spread = places.groupBy("hash").agg(F.countDistinct("_owner").alias("owners"), F.countDistinct("_repo").alias("repos"))
+    places = one.groupBy("hash", "owner", "repo").agg(F.count("*").alias("k"))
+    spread = places.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repos"), F.sum("k").alias("size"))
     verdict = F.when((F.col("owners") > max_owners) | (F.col("repos") > max_repos), "example").otherwise("live")
-    judged = one.join(spread.select("hash", verdict.alias("verdict")), "hash").filter("ord < 3 or verdict = 'live'")
+    # widely copied values are judged where they lie; only the others' rows are shuffled
+    verdicts = stored(spread.select("hash", "size", verdict.alias("verdict")), "verdicts")
+    total = verdicts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    judged = split_join(one.drop("owner", "repo"), verdicts, "hash", total).filter("ord < 3 or verdict = 'live'")
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("ord") + 1)
     span = F.struct("start", "ord", "end", kind.alias("kind"), "verdict")
-    by_row = judged.groupBy("_rid").agg(F.array_sort(F.collect_list(span)).alias("all"))
-    slim = F.transform("all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["verdict"].alias("verdict")))
+    by_row = judged.groupBy(F.col("row").alias(rid)).agg(F.array_sort(F.collect_list(span)).alias("all_spans_"))
+    # in a struct, as a column of the table may have any name
+    by_row = by_row.select(rid, F.struct("all_spans_").alias(every))
+    all_spans = F.col(every)["all_spans_"]
+    slim = F.transform(all_spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["verdict"].alias("verdict")))
     empty = F.array().cast("array<struct<start:int,end:int,kind:string,verdict:string>>")
     columns = [F.col(f"`{c}`") for c in names]
     # rows without candidates, nearly all, aren't shuffled
-    without = rows.filter(F.size("_found") == 0).select(*columns, empty.alias("spans"))
-    having = rows.filter(F.size("_found") > 0).join(by_row, "_rid", "left").select(*columns, F.coalesce(slim, empty).alias("spans"))
+    without = rows.filter(F.size(hits) == 0).select(*columns, empty.alias("spans"))
+    having = rows.filter(F.size(hits) > 0).join(by_row, rid, "left").select(*columns, F.coalesce(slim, empty).alias("spans"))
     return without.unionByName(having)
 
 

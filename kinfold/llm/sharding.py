@@ -5,7 +5,7 @@ puts each bucket in order by a Fisher-Yates shuffle and writes it.
 
 A shard is chosen by rendezvous hashing of (seed, doc_id, shard): the largest
 hash wins, so one more shard takes rows only into itself. Within a shard a
-second hash picks a bucket of about ``bucket_rows`` rows. Pass 1 writes the
+second hash picks a bucket of about ``bucket_bytes`` or ``bucket_rows`` rows, whichever is less. Pass 1 writes the
 buckets to the shared folder; pass 2 reads them one by one.
 """
 
@@ -40,7 +40,7 @@ def fisher_yates(n: Column, seed: int, bucket: Column) -> Column:
     return F.aggregate(steps, start, swap)
 
 
-def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", seed: int = 7, bucket_rows: int = 128) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", seed: int = 7, bucket_rows: int = 512, bucket_bytes: int = 16 << 20) -> DataFrame:
     """All input columns, and shard, slot (gapless from 0 within a shard) and grown_shard (with one more shard).
 
     Law: ``key``; the shard depends on the key and the number of shards alone.
@@ -59,8 +59,8 @@ def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "t
         k.alias("k"),
         F.xxhash64(k, F.col(f"`{text}`")).alias("entry"),
     )
-    rows = docs.count()
-    per_shard = max(1, -(-rows // (shards * bucket_rows)))
+    held = docs.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`").cast("binary")).cast("long")), F.lit(0)).alias("bytes")).first()
+    per_shard = max(1, -(-held["rows"] // (shards * bucket_rows)), -(-held["bytes"] // (shards * bucket_bytes)))
     bucket = F.pmod(F.xxhash64(F.lit(seed + 1), "k", "entry"), F.lit(per_shard)).cast("long")
     entries = scattered.withColumn("bucket", bucket)
     lists = stored(entries.groupBy("shard", "bucket").agg(F.array_sort(F.collect_list(F.struct("entry", "grown_shard", "row"))).alias("rows")).withColumn("n", F.size("rows")), "buckets")

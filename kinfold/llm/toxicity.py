@@ -15,6 +15,7 @@ most ``max_terms`` terms are used to fit; every row is scored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,9 +30,11 @@ WORD = re.compile(r"[^\W\d_]+")
 PATTERNS = {
     "threat": re.compile(r"(?i)\b(?:i will|i'll|going to) (?:kill|hurt|destroy) you\b"),
     "address": re.compile(r"(?i)\byou(?: are|'re) (?:a|an|so|such)\b"),
-    "shout": re.compile(r"\b[A-Z]{4,}\b.*\b[A-Z]{4,}\b[^a-z]*!"),
     "bangs": re.compile(r"!{3,}"),
 }
+VOICES = [*PATTERNS, "shout"]
+LOUD = re.compile(r"\b[A-Z]{4,}\b")
+MARKS = re.compile(r"\b[A-Z]{4,}\b|!|\n|[a-z]+")
 PREFIXES = (4, 5, 6, 7, 8)
 
 
@@ -40,6 +43,25 @@ def terms_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}-" for n in PREFIXES if len(word) > n)]
 
 
+def shouts(text: str) -> bool:
+    """Two words in capitals on a line, and then an exclamation mark before any small letter; in one pass."""
+    if "!" not in text or sum(1 for _, _ in zip(LOUD.finditer(text), range(2))) < 2:
+        return False
+    on_line, armed = 0, False
+    for m in MARKS.finditer(text):
+        c = m[0][0]
+        if c == "!":
+            if armed:
+                return True
+        elif c == "\n":
+            on_line = 0
+        elif c >= "a":
+            armed = False
+        else:
+            armed, on_line = armed or on_line > 0, on_line + 1
+    return False
+
+
 class Counts:
     """Counts of terms and patterns in a text: terms by index, then patterns, then the number of words."""
 
@@ -48,19 +70,20 @@ class Counts:
         self.size = len(terms)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        out = np.zeros(self.size + len(PATTERNS) + 1, np.float32)
-        words = WORD.findall((text or "").lower())
+        out = np.zeros(self.size + len(VOICES) + 1, np.float32)
+        words = Counter(WORD.findall((text or "").lower()))
         if len(self.known) > 300_000:
             self.known.clear()
-        for w in set(words):
+        for w, n in words.items():
             at = self.known.get(w)
             if at is None:
                 at = self.known[w] = tuple(i for t in terms_of(w) if (i := self.index.get(t)) is not None)
             if at:
-                out[list(at)] += words.count(w)
+                out[list(at)] += n
         for j, p in enumerate(PATTERNS.values()):
             out[self.size + j] = bool(text and p.search(text))
-        out[-1] = len(words)
+        out[self.size + len(PATTERNS)] = bool(text) and shouts(text)
+        out[-1] = words.total()
         return out
 
 
@@ -70,14 +93,16 @@ def induce(sample: DataFrame, max_terms: int) -> list[str]:
     def run(batches):
         import pyarrow as pa
 
-        for batch in pieces(batches):
+        for batch in pieces(batches, 64):
+            held: tuple[Counter, Counter] = (Counter(), Counter())
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = list({x for w in set(WORD.findall((t or "").lower())) if len(w) > 2 for x in terms_of(w)})
-                yield pa.RecordBatch.from_arrays([pa.array(got, pa.string()), pa.array([y] * len(got), pa.int32())], ["term", "y"])
+                held[y].update({x for w in set(WORD.findall((t or "").lower())) if len(w) > 2 for x in terms_of(w)})
+            terms = list(held[0] | held[1])
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([held[y][x] for x in terms], pa.int64()) for y in (1, 0))], ["term", "a", "b"])
 
     sizes = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
     one, none = sizes.get(1, 0), sizes.get(0, 0)
-    held = sample.select("text", "y").mapInArrow(run, "term string, y int").groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    held = sample.select("text", "y").mapInArrow(run, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     lift = (F.col("a") / max(one, 1)) / ((F.col("b") + 0.5) / (none + 1))
     best = held.filter((F.col("a") >= max(4, 0.015 * one)) & (lift >= 20)).orderBy(F.desc("a"), "term").limit(max_terms).collect()
     return [r.term for r in best]
@@ -191,10 +216,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], ["c", "y"])
 
     got = sorted((bytes(r.c), r.y) for r in sample.mapInArrow(run, "c binary, y int").collect())
-    size = len(terms) + len(PATTERNS)
+    size = len(terms) + len(VOICES)
     counts = np.frombuffer(b"".join(c for c, _ in got), np.float32).reshape(-1, size + 1) if got else np.zeros((0, size + 1), np.float32)
     if not len(counts):
-        w = np.r_[np.full(len(INSULTS), 2.0), np.full(len(terms) - len(INSULTS), 2.0), np.full(len(PATTERNS), 0.1), 1.0, 1.0]
+        w = np.r_[np.full(len(INSULTS), 2.0), np.full(len(terms) - len(INSULTS), 2.0), np.full(len(VOICES), 0.1), 1.0, 1.0]
         return Model(terms, w, -3.0)
     share = float(np.clip(np.mean([y for _, y in got]), 0.02, 0.98))
     votes = counts[:, :-1] > 0
@@ -209,7 +234,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with score (0 to 1) appended; null and empty texts get the score of a text without any term.
 
-    An input column called score is replaced. Very long texts are read whole.
+    An input column called score is replaced. Very long texts are read whole,
+    repeated rows score alike, an empty table gives no rows.
     """
     from pyspark.sql import types as T
 
