@@ -6,13 +6,11 @@ reread. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import exact, jaccard, langid, packing, secrets
-from kinfold.llm.common import scratch_dir
+from kinfold.llm.common import discard, release, scratch, stored
 from kinfold.llm.queries import tokenizer
 
 
@@ -54,12 +52,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; every result but the last is written to the shared folder and reread."""
+    """All stages over ``documents``; every result but the last is written to the shared folder and reread.
+
+    What a stage stored for itself, and its input, go when its result is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            path = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}/{k}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch():
+            found = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
+        discard(docs)
+        docs = found
+        release(spark)
+    return STAGES[-1][1](spark, docs, sf_dir)
