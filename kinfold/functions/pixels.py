@@ -9,12 +9,47 @@ DCT = np.cos(np.pi * (2 * _I[None] + 1) * np.arange(8)[:, None] / 64)
 PLACES = np.array([1 << i for i in range(64)], dtype=np.uint64)
 
 
-def luma(rgb: np.ndarray) -> np.ndarray:
-    """Integer luma of an array (..., 3)."""
-    r, g, b = (rgb[..., i].astype(np.int64) for i in range(3))
+def luma(pixels: np.ndarray) -> np.ndarray:
+    """Integer luma of gray (h, w) or (h, w, 1), RGB or RGBA pixels; alpha doesn't count, as colours aren't premultiplied."""
+    if pixels.ndim == 2 or pixels.shape[-1] == 1:
+        return pixels.reshape(pixels.shape[:2]).astype(np.int64)
+    r, g, b = (pixels[..., i].astype(np.int64) for i in range(3))
     return (299 * r + 587 * g + 114 * b) // 1000
 
 
+def unmultiplied(rgba: np.ndarray) -> np.ndarray:
+    """RGBA whose colours were multiplied by alpha, as plain colours; those of clear pixels stay."""
+    alpha = rgba[..., 3:].astype(np.int64)
+    part = (alpha > 0) & (alpha < 255)
+    colour = np.where(part, np.minimum(255, rgba[..., :3].astype(np.int64) * 255 // np.maximum(alpha, 1)), rgba[..., :3])
+    return np.concatenate([colour, alpha], -1)
+
+
+def shrunk(pixels: np.ndarray, most: int = 240) -> np.ndarray:
+    """Pixels fitted into a square by nearest samples, in 16-bit fixed point with rounding; never grown."""
+    h, w = pixels.shape[:2]
+    scale = min(1.0, most / max(h, w))
+    size = [max(1, int(x * scale + 0.5)) for x in (h, w)]
+    rows, cols = (np.minimum(old - 1, (np.arange(new) * ((old << 16) // new) + 0x8000) >> 16) for old, new in zip((h, w), size, strict=True))
+    return pixels[rows][:, cols]
+
+
+def png(pixels: np.ndarray) -> bytes:
+    """A PNG file of gray, RGB or RGBA pixels."""
+    import struct
+    import zlib
+
+    pixels = pixels.reshape(*pixels.shape[:2], -1).astype(np.uint8)
+    h, w, channels = pixels.shape
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    lines = np.concatenate([np.zeros((h, 1), np.uint8), pixels.reshape(h, -1)], 1).tobytes()
+    head = struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2, 4: 6}[channels], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines, 6)) + chunk(b"IEND", b"")
+
+
 def sampled(plane: np.ndarray, across: int, down: int) -> np.ndarray:
     """Nearest samples."""
     h, w = plane.shape
@@ -50,6 +85,11 @@ def phash(plane: np.ndarray) -> int:
     return pack(bits)
 
 
+def frame_hash(gray: bytes) -> int:
+    """pHash of a frame of 32 x 32 gray bytes."""
+    return phash(np.frombuffer(gray, np.uint8).reshape(32, 32))
+
+
 HASHES = {"dhash": dhash, "ahash": ahash, "phash": phash}
 
 

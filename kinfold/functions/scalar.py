@@ -76,7 +76,7 @@ def cosine(a: Column, b: Column) -> Column:
 def video_timestamps(duration: Column, n: int = 8) -> Column:
     """Evenly spaced places in 8 % to 92 % of the duration; three for short ones, none if unknown."""
     places = lambda k: F.array(*[duration * (0.08 + 0.84 * i / (k - 1)) if k > 1 else duration * 0.5 for i in range(k)])
-    return F.when(duration <= 0, F.array().cast("array<double>")).when(duration < 10, places(min(n, 3))).otherwise(places(n))
+    return F.when(duration <= 0, F.array().cast("array<double>")).when(duration < 10, places(3)).otherwise(places(n))
 
 
 def poster_time(duration: Column) -> Column:

@@ -72,3 +72,29 @@ def folders(members: DataFrame) -> DataFrame:
 def not_in(rows: DataFrame, taken: DataFrame, key: str = "path") -> DataFrame:
     """Rows whose key isn't among those taken already."""
     return rows.join(taken.select(key).distinct(), key, "left_anti")
+
+
+def pair_similarity(members: DataFrame, similarity, column: str, key: str = "id") -> DataFrame:
+    """(gid, similarity): the mean of similarity(x, y) over the pairs of each group.
+
+    Means that are rounded or aligned pair by pair have no linear form, so the
+    pairs are made; large groups cost their square, in tasks by (gid, key).
+    """
+    other = members.select("gid", F.col(key).alias("key2"), F.col(column).alias("other"))
+    pairs = members.select("gid", F.col(key).alias("key1"), column).join(other, "gid").filter("key1 < key2")
+    return pairs.groupBy("gid").agg(F.avg(similarity(F.col(column), F.col("other"))).alias("similarity"))
+
+
+def inherit(members: DataFrame, value: str, key: str = "id") -> DataFrame:
+    """Members without a ``value`` take that of their group's representative: the first member that has one."""
+    has = F.when(F.col(value).isNotNull() & (F.size(value) > 0), F.struct(F.col(key).alias("k"), F.col(value).alias("v")))
+    rep = members.groupBy("gid").agg(F.min_by(F.col(value), F.when(has.isNotNull(), F.col(key))).alias("rep_value"), F.min(F.when(has.isNotNull(), F.col(key))).alias("rep"))
+    own = F.when(has.isNotNull(), F.col(value))
+    return members.join(rep, "gid", "left").withColumn(value, F.coalesce(own, "rep_value")).drop("rep_value")
+
+
+def page(groups: DataFrame, number: int, size: int) -> DataFrame:
+    """Page ``number`` (from 1) of the groups by waste, with their place ``rank`` (from 1)."""
+    first = groups.orderBy(F.desc("wasted_size"), "gid").limit(number * size)
+    rank = F.row_number().over(Window.orderBy(F.desc("wasted_size"), "gid"))  # over at most number * size rows
+    return first.withColumn("rank", rank).filter(F.col("rank") > (number - 1) * size)

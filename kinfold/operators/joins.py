@@ -2,30 +2,68 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import duration_bucket, duration_close, hamming
+from ..plans.scratch import stored
+
+
+def band_widths(most: int, rows: int) -> list[int]:
+    """Widths of the bands of 64 bits for which probing costs least: probes a hash, which are shuffled, and what random hashes they meet."""
+
+    def cost(n: int) -> float:
+        width = 64 // n
+        masks = sum(comb(width + 1, r) for r in range(most // n + 1))
+        return n * masks * (4 + rows / 2**width) if masks <= 4096 else float("inf")  # they are literals of the plan
+
+    n = min(range(2, 17), key=cost)
+    return [64 // n + (i < 64 % n) for i in range(n)]
 
 
-def hamming_pairs(hashes: DataFrame, most: int, key: str = "id", hash_col: str = "fp", bands: int = 4) -> DataFrame:
+def _probe(band: int, value: Column):
+    return lambda mask: F.struct(F.lit(band).alias("band"), mask.bitwiseXOR(value).alias("value"))
+
+
+def hamming_pairs(hashes: DataFrame, most: int, key: str = "id", hash_col: str = "fp") -> DataFrame:
     """Pairs (a, b, dist) of different keys, a < b, whose 64-bit hashes differ in at most ``most`` bits; exact.
 
-    Of ``bands`` bands of 16 bits one differs in at most most // bands bits
-    (pigeonhole), so one side probes all values that near. Equal hashes are
-    collapsed first: the join runs over distinct hashes, and keys of one hash
-    are paired through it.
+    The bits are cut into bands, of which one differs in at most most // bands
+    bits (pigeonhole), so one side probes all values that near; the masks are
+    made here and are literals of the plan. Equal hashes are collapsed first:
+    the join runs over distinct hashes, stored once, whose number chooses the
+    bands, and keys of one hash are paired through it.
     """
     distinct = hashes.filter(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("h")).agg(F.min(key).alias("rep"))
-    width = 64 // bands
-    near = F.expr(f"filter(sequence(0, {(1 << width) - 1}), x -> bit_count(x) <= {most // bands})")  # folded to a literal
-    band = F.posexplode(F.array(*[F.shiftrightunsigned("h", width * i).bitwiseAND(F.lit((1 << width) - 1)).cast("int") for i in range(bands)])).alias("band", "value")
-    held = distinct.select("h", "rep", band)
-    asked = held.select("band", F.explode(F.transform(near, lambda m: m.bitwiseXOR(F.col("value")))).alias("value"), F.col("h").alias("h2"), F.col("rep").alias("rep2"))
-    close = held.join(asked, ["band", "value"]).filter((F.col("rep") < F.col("rep2")) & (hamming(F.col("h"), F.col("h2")) <= most))
+    distinct = stored(distinct, "hashes")
+    widths = band_widths(most, distinct.count())
+    masks = {w: [sum(1 << i for i in c) for r in range(most // len(widths) + 1) for c in combinations(range(w), r)] for w in set(widths)}
+    held, asked, at = [], [], 0
+    for band, width in enumerate(widths):
+        value = F.shiftrightunsigned("h", at).bitwiseAND(F.lit((1 << width) - 1))
+        held.append(F.struct(F.lit(band).alias("band"), value.alias("value")))
+        near = F.array(*[F.lit(m).cast("long") for m in masks[width]])
+        asked.append(F.transform(near, _probe(band, value)))
+        at += width
+    one = distinct.select("h", "rep", F.explode(F.array(*held)).alias("k")).select("h", "rep", "k.*")
+    other = distinct.select(F.col("h").alias("h2"), F.col("rep").alias("rep2"), F.explode(F.flatten(F.array(*asked))).alias("k")).select("h2", "rep2", "k.*")
+    close = one.join(other, ["band", "value"]).filter((F.col("rep") < F.col("rep2")) & (hamming(F.col("h"), F.col("h2")) <= most))
     return close.select(F.col("rep").alias("a"), F.col("rep2").alias("b"), hamming(F.col("h"), F.col("h2")).alias("dist")).distinct()
 
 
+def close_pairs(hashes: DataFrame, most: int, key: str = "id", hash_col: str = "fp") -> DataFrame:
+    """All pairs (a, b, dist) of keys within ``most`` bits, those of equal hashes too; for reports and votes, not for groups."""
+    near = hamming_pairs(hashes, most, key, hash_col)
+    rep = hashes.filter(F.col(hash_col).isNotNull()).groupBy(hash_col).agg(F.min(key).alias("rep"))
+    held = hashes.join(rep, hash_col).select(F.col(key).alias("id"), "rep")
+    across = near.join(held.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(held.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b")
+    same = held.join(held.select("rep", F.col("id").alias("y")), "rep").filter("id < y").select(F.col("id").alias("a"), F.col("y").alias("b"), F.lit(0).cast("long").alias("dist"))
+    return across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "dist").unionByName(same)
+
+
 def same_hash_links(hashes: DataFrame, key: str = "id", hash_col: str = "fp") -> DataFrame:
     """Star links (a, b) from each key to the least key of its hash."""
     least = hashes.filter(F.col(hash_col).isNotNull()).groupBy(hash_col).agg(F.min(key).alias("a"))

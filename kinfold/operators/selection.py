@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,11 +66,15 @@ class Rules:
         del self.rules[name]
         self._write()
 
+    def list(self) -> list[dict]:
+        return [self.rules[name] for name in sorted(self.rules)]
+
     def apply(self, name: str, members: DataFrame) -> DataFrame:
         r = self.rules[name]
         return keep(members, r["strategy"], r["prefer_dir"] or None, r["min_wasted_mb"])
 
     def _write(self) -> None:
         if self.path:
-            with open(self.path, "w") as f:
+            with open(f"{self.path}.new", "w") as f:
                 json.dump(list(self.rules.values()), f, indent=1)
+            os.replace(f"{self.path}.new", self.path)  # readers see the old rules or the new ones

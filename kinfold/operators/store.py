@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import session
+
 
 def lookup(files: DataFrame, entries: DataFrame, fingerprint: str = "md5") -> DataFrame:
     """Files with the fingerprint stored under the same path, size and time, else null."""
@@ -42,10 +44,43 @@ def stats(looked_up: DataFrame) -> DataFrame:
     return looked_up.agg(F.count("*").alias("files"), hits.alias("hits"), (F.count("*") - hits).alias("misses"), F.round(100.0 * hits / F.count("*"), 6).alias("rate"))
 
 
-def save(entries: DataFrame, path: str) -> None:
-    entries.write.mode("overwrite").parquet(path)
-
-
 def load_journal(spark, path: str, schema: str) -> DataFrame:
     """Journal lines; torn or malformed lines are skipped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def append(entries: DataFrame, folder: str, seq: int) -> None:
+    """Add entries to the store's journal, in a folder named by ``seq``: a retried batch replaces itself."""
+    entries.withColumn("seq", F.lit(seq).cast("long")).write.mode("overwrite").json(f"{folder}/journal/batch={seq}")
+
+
+def load(spark, folder: str, schema: str) -> DataFrame:
+    """Snapshot and journal as one table of the last entry of each path; columns a later entry leaves null keep their value.
+
+    schema: of the entries, with path. A store that isn't there is empty.
+    """
+    empty = spark.createDataFrame([], schema)
+    base = session.load(spark, folder)[0].select(*empty.columns) if session.pointer(spark, folder) else empty
+    files, where = session._files(spark, f"{folder}/journal")
+    if not files.exists(where):
+        return base
+    lines = load_journal(spark, f"{folder}/journal/batch=*", f"{schema}, seq long").filter("path is not null")
+    last = lines.groupBy("path").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in empty.columns if c != "path"])
+    return merged(base, last)
+
+
+def compact(spark, folder: str, schema: str) -> int:
+    """Write a new snapshot of the store, point to it, and only then drop the journal. Returns the entries."""
+    n = session.save(spark, folder, load(spark, folder, schema))
+    session.clear(spark, f"{folder}/journal")
+    return n
+
+
+def clear(spark, folder: str) -> bool:
+    """Forget all entries."""
+    return session.clear(spark, folder)
+
+
+def size(spark, folder: str) -> int:
+    """Bytes of the snapshot and the journal."""
+    return session.size(spark, folder)

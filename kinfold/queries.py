@@ -13,6 +13,8 @@ from .operators import joins as J
 from .operators import selection as K
 from .operators import store as C
 from .operators.components import connected_components
+from .plans.scratch import stored
+from .scan import ScanSpec, scan
 from .sources import media
 from .sources.files import file_filter, virtual_files
 from .sources.sinks import export_rows
@@ -58,6 +60,13 @@ def exact_groups(spark, d):
     return G.by_waste(G.totals(members(spark, d)))
 
 
+@query("""SELECT t, count(*) AS files, count(*) - count(DISTINCT h) AS repeated FROM (SELECT 'pages' AS t, md5(html) AS h FROM pages UNION ALL SELECT 'conversations', md5(text) FROM conversations)
+ GROUP BY t""")
+def exact_repeats(spark, d):
+    rows = [table(spark, d, t).select(F.lit(t).alias("t"), F.md5(F.col(c).cast("binary")).alias("h")) for t, c in (("pages", "html"), ("conversations", "text"))]
+    return rows[0].unionByName(rows[1]).groupBy("t").agg(F.count("*").alias("files"), (F.count("h") - F.countDistinct("h")).alias("repeated"))
+
+
 @query("""SELECT t, count(*) AS groups FROM (SELECT 'pages' AS t, md5(html) AS h FROM pages UNION ALL SELECT 'conversations', md5(text) FROM conversations)
  GROUP BY t, h HAVING count(*) > 1""")
 def exact_no_duplicates(spark, d):
@@ -173,7 +182,10 @@ def _words(t: DataFrame) -> DataFrame:
 
 
 def fingerprints(spark, d, kind: str = "words") -> DataFrame:
-    t = texts(spark, d)
+    return stored(_simhashes(texts(spark, d), kind), "fingerprints")
+
+
+def _simhashes(t: DataFrame, kind: str) -> DataFrame:
     if kind == "chars":
         n = F.length("text")
         units = t.select("id", F.explode(F.when(n >= 4, F.transform(F.sequence(F.lit(1), n - 3), lambda i: F.substring(F.col("text"), i, F.lit(4))))).alias("word"))
@@ -188,18 +200,8 @@ def _pairs_sql(fps: str, t: int) -> str:
     return f"SELECT a.id AS a, b.id AS b, bit_count(xor(a.fp, b.fp))::BIGINT AS dist FROM {fps} a JOIN {fps} b ON a.id < b.id AND bit_count(xor(a.fp, b.fp)) <= {t}"
 
 
-def _close(fps: DataFrame, t: int) -> DataFrame:
-    """All pairs of ids within t: of distinct hashes by the join, expanded to their ids; only for reports of pairs."""
-    near = J.hamming_pairs(fps, t)
-    rep = fps.groupBy("fp").agg(F.min("id").alias("rep"))
-    held = fps.join(rep, "fp").select("id", "rep")
-    across = near.join(held.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(held.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b")
-    same = held.join(held.select("rep", F.col("id").alias("y")), "rep").filter("id < y").select(F.col("id").alias("a"), F.col("y").alias("b"), F.lit(0).cast("long").alias("dist"))
-    return across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "dist").unionByName(same)
-
-
-for _t in (3, 8, 12):
-    query(f"WITH {FP} {_pairs_sql('fps', _t)}", f"hamming_pairs_t{_t}")(lambda spark, d, t=_t: _close(fingerprints(spark, d), t))
+for _t in (3, 5, 8, 10, 12):
+    query(f"WITH {FP} {_pairs_sql('fps', _t)}", f"hamming_pairs_t{_t}")(lambda spark, d, t=_t: J.close_pairs(fingerprints(spark, d), t))
 
 
 def _labels_sql(pairs: str) -> str:
@@ -229,7 +231,7 @@ def perceptual_similarity(spark, d):
 VOTES = f"{TEXTS}, {_fp_sql('f1', WORDS_SQL)}, {_fp_sql('f2', PAIRS_SQL)}, {_fp_sql('f3', CHARS_SQL)}, v AS (" + " UNION ALL ".join(f"SELECT a, b, '{n}' AS algo FROM ({_pairs_sql(n, 8)})" for n in ("f1", "f2", "f3")) + ")"
 for _least in (1, 2):
     query(f"WITH {VOTES} SELECT a, b, count(DISTINCT algo) AS votes FROM v GROUP BY a, b HAVING count(DISTINCT algo) >= {_least}", f"smart_votes_{_least}")(
-        lambda spark, d, n=_least: J.votes({k: _close(fingerprints(spark, d, k), 8) for k in ("words", "pairs", "chars")}, n)
+        lambda spark, d, n=_least: J.votes({k: J.close_pairs(fingerprints(spark, d, k), 8) for k in ("words", "pairs", "chars")}, n)
     )
 
 # pixel kernels over 8 x 8 grids
@@ -310,8 +312,7 @@ def video_groups(spark, d):
     rows = frames(spark, d)
     pairs = J.duration_pairs(rows, where=S.frame_distance(F.col("frames"), F.col("frames2")) <= 8).select(F.col("id").alias("a"), F.col("id2").alias("b"))
     m = G.similar_members(rows, pairs)
-    other = m.select("gid", F.col("id").alias("id2"), F.col("frames").alias("frames2"))
-    similarity = m.join(other, "gid").filter("id < id2").groupBy("gid").agg(F.round(F.avg(1 - S.frame_distance(F.col("frames"), F.col("frames2")) / 64.0), 6).alias("similarity"))
+    similarity = G.pair_similarity(m, lambda x, y: 1 - S.frame_distance(x, y) / 64.0, "frames").withColumn("similarity", F.round("similarity", 6))
     return m.join(similarity, "gid").select("id", "gid", "similarity")
 
 
@@ -320,12 +321,27 @@ AUDIO_SQL = f"""{TEXTS}, aud AS (SELECT id, duration, list_transform(l, lambda w
   FROM aud a JOIN aud b ON a.id < b.id AND {CLOSE.format(a='a', b='b')})"""
 
 
-@query(f"""WITH RECURSIVE {AUDIO_SQL}, {_labels_sql('SELECT a, b FROM ap WHERE sim >= 0.8')} SELECT id, gid FROM g""")
-def audio_groups(spark, d):
+AUDIO_GROUPS = f"WITH RECURSIVE {AUDIO_SQL}, {_labels_sql('SELECT a, b FROM ap WHERE sim >= 0.8')}"
+
+
+def _audio(spark, d) -> tuple[DataFrame, DataFrame]:
     word = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long")
     rows = text_durations(spark, d).filter(F.size("l") >= 10).select("id", "duration", F.transform("l", word).alias("ws"))
     pairs = J.duration_pairs(rows, where=S.audio_similarity(F.col("ws"), F.col("ws2")) >= 0.8)
-    return connected_components(pairs, "id", "id2").select(F.col("node").alias("id"), F.col("component").alias("gid"))
+    return rows, connected_components(pairs, "id", "id2").select(F.col("node").alias("id"), F.col("component").alias("gid"))
+
+
+@query(f"{AUDIO_GROUPS} SELECT id, gid FROM g")
+def audio_groups(spark, d):
+    return _audio(spark, d)[1]
+
+
+@query(f"""{AUDIO_GROUPS}, w AS (SELECT gid, g.id, ws FROM g JOIN aud USING (id))
+ SELECT a.gid, round(avg(1 - list_sum(list_transform(range(1, least(len(a.ws), len(b.ws)) + 1), lambda i: bit_count(xor(a.ws[i], b.ws[i]))::BIGINT))::BIGINT / (32.0 * least(len(a.ws), len(b.ws)))), 6) AS similarity
+ FROM w a JOIN w b ON a.gid = b.gid AND a.id < b.id GROUP BY a.gid""")
+def audio_group_similarity(spark, d):
+    rows, found = _audio(spark, d)
+    return G.pair_similarity(rows.join(found, "id"), S.audio_similarity, "ws").select("gid", F.round("similarity", 6).alias("similarity"))
 
 
 SIG_SQL = f"""{TEXTS}, q AS (SELECT id, text, regexp_extract_all(text, '[^ \\t\\n\\r]+') AS l FROM t), p AS (SELECT id, len(l) AS n, unnest(list_transform(range(0, len(l)), lambda i: {{'i': i, 's': strlen(l[i + 1])}})) AS e FROM q WHERE len(l) >= 64),
@@ -362,6 +378,44 @@ def cluster_representative(spark, d):
     return m.join(rep, "gid").select("id", "gid", "rep")
 
 
+@query(f"""WITH {MEMBERS}, v AS (SELECT gid, id, CASE WHEN id % 3 = 0 THEN [id, id + 1] END AS hashes FROM m),
+ r AS (SELECT gid, min(id) FILTER (hashes IS NOT NULL) AS rep FROM v GROUP BY gid)
+ SELECT v.gid, v.id, r.rep, coalesce(v.hashes[1], q.hashes[1]) AS first_hash FROM v JOIN r USING (gid) LEFT JOIN v q ON q.id = r.rep""")
+def representative_hashes(spark, d):
+    """Members without frame hashes (here: ids no multiple of three) take their representative's."""
+    m = members(spark, d).select("gid", "id", F.when(F.col("id") % 3 == 0, F.array("id", F.col("id") + 1)).alias("hashes"))
+    return G.inherit(m, "hashes").select("gid", "id", "rep", F.get("hashes", 0).alias("first_hash"))
+
+
+@query(f"""WITH {MEMBERS}, t AS ({TOTALS.format('m')}), p AS (SELECT *, row_number() OVER (ORDER BY wasted_size DESC, gid)::INT AS rank FROM t)
+ SELECT gid, wasted_size, rank FROM p WHERE rank BETWEEN 6 AND 10""")
+def group_page(spark, d):
+    return G.page(G.totals(members(spark, d)), 2, 5).select("gid", "wasted_size", "rank")
+
+
+SCAN_SQL = f"""WITH RECURSIVE {VF}, hm AS (SELECT *, md5(text) AS md5 FROM vf WHERE size > 0),
+ em AS (SELECT *, count(*) OVER (PARTITION BY md5) AS k, min(path) OVER (PARTITION BY md5) AS gid FROM hm),
+ t AS (SELECT id, text FROM em WHERE k = 1), {_fp_sql('f1', WORDS_SQL)}, {_fp_sql('f2', PAIRS_SQL)}, {_fp_sql('f3', CHARS_SQL)},
+ c AS (SELECT t.id, coalesce(f1.fp, 0) AS a, coalesce(f2.fp, 0) AS p, coalesce(f3.fp, 0) AS h FROM t LEFT JOIN f1 USING (id) LEFT JOIN f2 USING (id) LEFT JOIN f3 USING (id)),
+ {_labels_sql("SELECT x.id AS a, y.id AS b FROM c x JOIN c y ON x.id < y.id AND (bit_count(xor(x.a, y.a)) <= 8)::INT + (bit_count(xor(x.p, y.p)) <= 8)::INT + (bit_count(xor(x.h, y.h)) <= 8)::INT >= 2")},
+ sm AS (SELECT v.*, min(path) OVER (PARTITION BY g.gid) AS gid FROM g JOIN vf v USING (id)),
+ u AS (SELECT gid, id, path, mod_unix, true AS exact, 'md5' AS algorithm FROM em WHERE k > 1 UNION ALL SELECT gid, id, path, mod_unix, false, 'smart' FROM sm)
+ SELECT gid, id, row_number() OVER (PARTITION BY gid ORDER BY mod_unix, path) - 1 AS pos, exact, algorithm FROM u"""
+
+
+@query(SCAN_SQL)
+def scan_smart(spark, d):
+    """A whole smart scan over virtual files whose three perceptual hashes are SimHashes of their text."""
+    files = vf(spark, d)
+    own = files.select("id", F.col("content").cast("string").alias("text"))
+    for name, kind in (("ahash", "words"), ("phash", "pairs"), ("dhash", "chars")):
+        fp = _simhashes(own, kind).select("id", F.col("fp").alias(name))
+        files = files.join(fp, "id", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    spec = ScanSpec(category="images", mode="smart", threshold=8, extensions=("txt",), min_votes=2, verify_full=True)
+    found = scan(spark, spec, files.withColumn("decoded", F.lit(True)), F.col("content"))
+    return found.members.select("gid", "id", F.col("pos").cast("long").alias("pos"), "exact", "algorithm")
+
+
 # fingerprint store
 
 OLD = VF + """, o AS (SELECT CASE WHEN id % 4 = 1 THEN '/old' || path ELSE path END AS path, CASE WHEN id % 5 = 2 THEN size + 1 ELSE size END AS size, mod_unix,

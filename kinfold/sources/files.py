@@ -93,7 +93,7 @@ def walk(spark: SparkSession, roots: list[str], category: str = "all", skip_hidd
 def file_filter(files: DataFrame, category: str = "all", exts: list[str] | None = None, skip_hidden: bool = True, min_size_kb: int = 0, exclude: list[str] | None = None, root: str = "") -> DataFrame:
     """The walk's filters over a table of files."""
     wanted = [x.lower().lstrip(".") for x in exts] if exts else extensions(category)
-    keep = extension(F.col("name")).isin(wanted) & (F.col("size") >= min_size_kb * 1024)
+    keep = extension(F.col("name")).isin(*wanted) & (F.col("size") >= min_size_kb * 1024)
     if skip_hidden:
         keep = keep & ~F.substring("path", len(root) + 1, 1 << 30).rlike(r"/\.")
     for x in exclude or []:

@@ -13,14 +13,17 @@ def streaming_groups(files: DataFrame) -> DataFrame:
     return files.groupBy("md5").agg(F.count("*").alias("members"), F.sum("size").alias("total_size"), F.max("size").alias("largest")).filter("members > 1")
 
 
-def upsert_fingerprints(stream: DataFrame, journal_path: str, checkpoint: str):
-    """Append each micro-batch to a journal; ``replay`` of the journal is the store."""
+def batch_writer(journal_path: str):
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("seq", F.lit(epoch).cast("long")).write.mode("overwrite").json(f"{journal_path}/batch={epoch}")
+
+    return write
 
-    def append(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("seq", F.lit(epoch).cast("long")).write.mode("append").json(journal_path)
 
-    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def upsert_fingerprints(stream: DataFrame, journal_path: str, checkpoint: str):
+    """Write each micro-batch to the journal in a folder of its own, so that a retried batch replaces itself; ``snapshot`` is the store."""
+    return stream.writeStream.foreachBatch(batch_writer(journal_path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def snapshot(spark, journal_path: str, schema: str) -> DataFrame:
-    return replay(spark.read.schema(schema).option("mode", "DROPMALFORMED").json(journal_path))
+    return replay(spark.read.schema(schema).option("mode", "DROPMALFORMED").json(f"{journal_path}/batch=*"))
