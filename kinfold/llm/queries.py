@@ -100,4 +100,16 @@ def oracle_sql() -> dict[str, str]:
                    row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
                    sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+        "op8_ngram_jaccard": r"""
+            WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
+            s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 4 THEN [array_to_string(l, ' ')]
+                ELSE list_transform(range(1, len(l) - 2), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2] || ' ' || l[i + 3]) END) AS g FROM w),
+            n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+            c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_have FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+            e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_have >= 85 * (x.n + y.n - both_have)),
+            r AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
+            reach AS (SELECT x, y FROM r UNION SELECT reach.x, r.y FROM reach JOIN r ON reach.y = r.x),
+            g AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+            SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least(g.component_id, d.doc_id), d.doc_id) AS component_id
+            FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)""",
     }
