@@ -1,9 +1,9 @@
 """Language-model scoring: a causal self-attention model in numpy, and word counts of the whole corpus.
 
 Model: subword ids; embedding plus position, one masked attention head with a
-residual, and a softmax over id classes times the share of an id within its
-class. Classes hold ids that follow similar ids, in about equal shares of the
-training mass. Which id follows which is counted over all training rows; from
+residual, and a softmax over groups of id classes, one over the classes of the
+group, and the share of an id within its class. Classes hold ids that follow similar
+ids, in about equal shares of the training mass. Which id follows which is counted over all training rows; from
 that come classes, input symbols, and the shares of classes and ids after the
 ids of each of ``CONTEXTS`` hashed places. The attention model's probability is
 interpolated with the discounted share of the id after the one before it, for
@@ -35,23 +35,43 @@ from pyspark.sql import functions as F
 from .bpe import rank_encoder
 from .common import pieces, release, remainder, stored
 
-WINDOW, STRIDE, WIDTH, CLASSES, INPUTS, CONTEXTS = 32, 24, 16, 256, 4096, 64
+WINDOW, STRIDE, WIDTH, GROUPS, BRANCHES, INPUTS, CONTEXTS = 32, 24, 16, 16, 16, 4096, 64
+CLASSES = GROUPS * BRANCHES  # class = group * BRANCHES + branch
+CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
-@dataclass
 class Follows:
-    """Ids that often follow an id in the corpus: their discounted shares, and what is left to the attention model."""
+    """Ids that often follow an id in the corpus: their discounted shares, and what is left to the attention model.
+
+    Pairs stand by the hash of their key, so that few are compared for each one looked up.
+    """
 
-    key: np.ndarray  # before * vocabulary + id, sorted
-    share: np.ndarray
-    left: np.ndarray  # by the id before; with the shares it sums to 1
+    def __init__(self, key: np.ndarray, share: np.ndarray, left: np.ndarray):
+        """key: before * vocabulary + id; left: by the id before, with the shares it sums to 1."""
+        self.bits = max(1, int(2 * len(key)).bit_length())
+        at = self.bucket(key)
+        order = np.argsort(at, kind="stable")
+        self.key, self.share, self.left = np.append(key[order], -1), np.append(share[order], 0), left
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=1 << self.bits))]).astype(np.int32)
+        self.most = int(np.diff(self.begin).max())
+
+    def bucket(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def mix(self, before: np.ndarray, ids: np.ndarray, log: np.ndarray) -> np.ndarray:
         """log10 of the interpolation of the shares with probabilities of the given log10."""
-        own = before * len(self.left) + ids
-        at = np.minimum(np.searchsorted(self.key, own), len(self.key) - 1)
-        share = np.where(self.key[at] == own, self.share[at], 0)
-        return np.log10(share + self.left[before] * 10.0**log + 1e-300)
+        own = (before * len(self.left) + ids).ravel()
+        slot = self.bucket(own)
+        at, end, share = self.begin[slot], self.begin[slot + 1], np.zeros(len(own))
+        waiting = np.flatnonzero(at < end)
+        for step in range(self.most):
+            place = at[waiting] + step
+            found = self.key[place] == own[waiting]
+            share[waiting[found]] = self.share[place[found]]
+            waiting = waiting[~found & (place + 1 < end[waiting])]
+            if not len(waiting):
+                break
+        return np.log10(share.reshape(log.shape) + self.left[before] * 10.0**log + 1e-300)
 
 
 def follows(before: np.ndarray, ids: np.ndarray, counts: np.ndarray, total: np.ndarray, discount: float = 0.75, weight: float = 0.3) -> Follows | None:
@@ -59,10 +79,9 @@ def follows(before: np.ndarray, ids: np.ndarray, counts: np.ndarray, total: np.n
     if not len(ids):
         return None
     key = before.astype(np.int64) * len(total) + ids
-    order = np.argsort(key)
     share = weight * (counts - discount) / total[before]
     left = 1 - np.bincount(before, share, len(total))
-    return Follows(key[order], share[order], np.clip(left, 1e-12, 1))
+    return Follows(key, share, np.clip(left, 1e-12, 1))
 
 
 @dataclass
@@ -71,26 +90,60 @@ class Model:
     symbol: np.ndarray  # id -> input symbol
     klass: np.ndarray  # id -> class
     within: np.ndarray  # (id, place of the id before it) -> log10 of its share of its class there
-    prior: np.ndarray  # (place of the id before, class) -> log of the class's share there
+    prior: np.ndarray  # (place of the id before, group) -> log of the group's share there
+    inner: np.ndarray  # (place * GROUPS + group, branch) -> log of the class's share of its group there
     p: dict[str, np.ndarray]
     follows: Follows | None = None
 
+    def joint(self) -> np.ndarray:
+        """The three attention products as one, queries scaled."""
+        return np.concatenate([self.p["q"] * np.float32(WIDTH**-0.5), self.p["k"], self.p["v"]], 1)
+
     def forward(self, ids: np.ndarray):
         """Hidden states of windows of ids, and what the gradient needs."""
-        p = self.p
-        x = p["e"][self.symbol[ids]] + p["pos"][: ids.shape[1]]
-        flat = x.reshape(-1, WIDTH)  # one product for all windows
-        q, k, v = (y.reshape(x.shape) for y in (flat @ (p["q"] * np.float32(WIDTH**-0.5)), flat @ p["k"], flat @ p["v"]))
+        p, n = self.p, ids.shape[1]
+        x = np.take(p["e"], self.symbol[ids], axis=0)
+        x += p["pos"][:n]
+        three = (x.reshape(-1, WIDTH) @ self.joint()).reshape(len(ids), n, 3 * WIDTH)
+        q, k, v = three[:, :, :WIDTH], three[:, :, WIDTH : 2 * WIDTH], three[:, :, 2 * WIDTH :]
         s = q @ k.transpose(0, 2, 1)
         np.minimum(s, np.float32(60), out=s)  # exp stays finite
         np.exp(s, out=s)
-        s *= np.tril(np.ones(s.shape[1:], np.float32))  # causal: later places get no weight
-        s += np.float32(1e-30) * np.eye(s.shape[1], dtype=np.float32)
-        s /= s.sum(2, keepdims=True)
+        s *= CAUSAL[:n, :n]  # later places get no weight
+        s /= (s.reshape(-1, n) @ np.ones(n, np.float32)).reshape(*s.shape[:2], 1) + np.float32(1e-30)
         o = s @ v
-        return x + (o.reshape(-1, WIDTH) @ p["o"]).reshape(x.shape), (x, q, k, v, s, o)
+        h = (o.reshape(-1, WIDTH) @ p["o"]).reshape(x.shape)
+        h += x
+        return h, (x, q, k, v, s, o)
+
+    def outputs(self, h: np.ndarray, places: np.ndarray, klass: np.ndarray, cuts: np.ndarray):
+        """Weights of all groups and their sums, and the same of the classes of each row's group.
 
-    def score(self, texts: list[np.ndarray], batch: int = 64) -> np.ndarray:
+        Rows are in order of their classes' groups, which begin at cuts.
+        """
+        p = self.p
+        outer = h @ p["c"]
+        outer += np.take(self.prior + p["b"], places, axis=0)
+        inner = np.empty((len(h), BRANCHES), np.float32)
+        for g in range(GROUPS):
+            np.matmul(h[cuts[g] : cuts[g + 1]], p["d"][g], out=inner[cuts[g] : cuts[g + 1]])
+        inner += np.take((self.inner.reshape(-1, GROUPS, BRANCHES) + p["f"]).reshape(-1, BRANCHES), places * GROUPS + klass // BRANCHES, axis=0)
+        for z in (outer, inner):
+            np.clip(z, -60, 60, out=z)  # exp stays finite
+            np.exp(z, out=z)
+        return outer, outer @ np.ones(GROUPS, np.float32), inner, inner @ np.ones(BRANCHES, np.float32)
+
+    def log_class(self, h: np.ndarray, places: np.ndarray, klass: np.ndarray) -> np.ndarray:
+        """log10 probability of each row's class."""
+        order, cuts = by_group(klass)
+        klass = klass[order]
+        outer, all_outer, inner, all_inner = self.outputs(h[order], places[order], klass, cuts)
+        chosen = outer.ravel()[spots(klass // BRANCHES, GROUPS)] / all_outer * (inner.ravel()[spots(klass % BRANCHES, BRANCHES)] / all_inner)
+        log = np.empty(len(h), np.float32)
+        log[order] = np.log10(np.maximum(chosen, np.float32(1e-37)))
+        return log
+
+    def score(self, texts: list[np.ndarray], batch: int = 256) -> np.ndarray:
         """log10 probability of each text's ids and the end after them."""
         ctx = WINDOW - STRIDE
         rows, wanted, owner = [], [], []
@@ -110,12 +163,10 @@ class Model:
             return total
         rows, wanted, owner = np.concatenate(rows), np.concatenate(wanted), np.concatenate(owner)
         p = self.p
-        qkv = np.concatenate([p["q"] * np.float32(WIDTH**-0.5), p["k"], p["v"]], 1)
-        causal = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+        qkv = self.joint()
         # buffers are kept from batch to batch: fresh memory costs more than the products
         x, o, d = (np.empty((batch, WINDOW, WIDTH), np.float32) for _ in range(3))
         three, s = np.empty((batch * WINDOW, 3 * WIDTH), np.float32), np.empty((batch, WINDOW, WINDOW), np.float32)
-        z = np.empty((batch * STRIDE, CLASSES), np.float32)
         inputs, places = self.symbol[rows], place_of(rows)
         for lo in range(0, len(rows), batch):
             n = min(batch, len(rows) - lo)
@@ -129,25 +180,17 @@ class Model:
             np.matmul(q, k.transpose(0, 2, 1), out=s)
             np.minimum(s, np.float32(60), out=s)
             np.exp(s, out=s)
-            s *= causal
+            s *= CAUSAL
             np.matmul(s, v, out=o)
-            o /= s.sum(2, keepdims=True) + np.float32(1e-30)
+            o /= (s.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)).reshape(batch, WINDOW, 1) + np.float32(1e-30)
             np.matmul(o.reshape(-1, WIDTH), p["o"], out=d.reshape(-1, WIDTH))
             x += d
-            np.matmul(np.ascontiguousarray(x[:, ctx:]).reshape(-1, WIDTH), p["c"], out=z)
-            z += p["b"]
-            before = places[lo : lo + n, ctx:]
-            z[: n * STRIDE] += self.prior[before.ravel()]
-            y = wanted[lo : lo + batch]
+            before, y = places[lo : lo + n, ctx:], wanted[lo : lo + batch]
             ok = y >= 0
-            chosen = np.take_along_axis(z[: n * STRIDE], self.klass[y].reshape(-1, 1), 1).reshape(y.shape)
-            shift = z.max(1, keepdims=True) if max(z.max(), -z.min()) > 60 else np.zeros((1, 1), np.float32)  # rarely: exp could overflow
-            z -= shift
-            np.exp(z, out=z)
-            norm = (np.log(z.sum(1)) + shift[:, 0])[: n * STRIDE].reshape(y.shape)
-            log = (chosen - norm) / np.log(10) + self.within[y, before]
+            y = np.maximum(y, 0)
+            log = self.log_class(x[:n, ctx:].reshape(-1, WIDTH), before.ravel(), self.klass[y].ravel()).reshape(y.shape) + self.within[y, before]
             if self.follows is not None:
-                log = self.follows.mix(rows[lo : lo + n, ctx:], np.maximum(y, 0), log)
+                log = self.follows.mix(rows[lo : lo + n, ctx:], y, log)
             total += np.bincount(owner[lo : lo + batch], np.where(ok, log, 0).sum(1), len(texts))
         return total
 
@@ -174,14 +217,15 @@ def fit(windows: np.ndarray, vocabulary: int, end: int, steps: int = 400, batch:
     counts = contexts.sum(1) + 0.02
     order = np.argsort(-counts, kind="stable")
     klass = classes(contexts)
-    within, prior = shares(contexts, klass)
+    within, prior, inner = shares(contexts, klass)
     symbol = np.empty(vocabulary, np.int64)
     symbol[order[: INPUTS - CLASSES]] = np.arange(vocabulary)[: INPUTS - CLASSES]
     symbol[order[INPUTS - CLASSES :]] = INPUTS - CLASSES + klass[order[INPUTS - CLASSES :]]
     init = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
     p = {"e": (rng.standard_normal((INPUTS, WIDTH)) * 0.3).astype(np.float32), "pos": (rng.standard_normal((WINDOW, WIDTH)) * 0.1).astype(np.float32)}
-    p |= {n: init(WIDTH, WIDTH) for n in "qkvo"} | {"c": init(WIDTH, CLASSES), "b": np.zeros(CLASSES, np.float32)}
-    model = Model(end, symbol, klass, within, prior, p)
+    p |= {n: init(WIDTH, WIDTH) for n in "qkvo"} | {"c": init(WIDTH, GROUPS), "b": np.zeros(GROUPS, np.float32)}
+    p |= {"d": init(WIDTH, GROUPS, BRANCHES).swapaxes(0, 1).copy(), "f": np.zeros((GROUPS, BRANCHES), np.float32)}
+    model = Model(end, symbol, klass, within, prior, inner, p)
     adam = Adam(p)
     for t in range(1, steps + 1):
         rows = windows[rng.integers(0, len(windows), batch)]
@@ -193,32 +237,57 @@ def gradients(model: Model, ids: np.ndarray, target: np.ndarray) -> dict[str, np
     """Gradients of the mean cross-entropy of the target classes; targets under 0 don't count."""
     p = model.p
     h, (x, q, k, v, a, o) = model.forward(ids)
-    z = h @ p["c"] + p["b"]
-    z += model.prior[place_of(ids)]
-    z -= z.max(2, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(2, keepdims=True)
-    at = np.maximum(target, 0)[:, :, None]
-    np.put_along_axis(z, at, np.take_along_axis(z, at, 2) - 1, 2)
-    z *= ((target >= 0) / np.float32(max(1, (target >= 0).sum())))[:, :, None].astype(np.float32)
     flat = lambda y: y.reshape(-1, y.shape[-1])
-    g = {"c": flat(h).T @ flat(z), "b": flat(z).sum(0)}
-    dh = z @ p["c"].T
-    g["o"] = flat(o).T @ flat(dh)
-    do = dh @ p["o"].T
-    da = do @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    dq, dk, dv = ds @ k * np.float32(WIDTH**-0.5), ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do
-    dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-    g |= {"q": flat(x).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv), "pos": dx.sum(0)}
+    wanted = np.flatnonzero(target.ravel() >= 0)
+    order, cuts = by_group(target.ravel()[wanted])
+    wanted = wanted[order]
+    klass, own = target.ravel()[wanted], flat(h)[wanted]
+    outer, all_outer, inner, all_inner = model.outputs(own, place_of(ids).ravel()[wanted], klass, cuts)
+    part, one = np.float32(1 / max(1, len(own))), np.ones(max(len(own), WINDOW), np.float32)
+    outer *= (part / all_outer)[:, None]
+    inner *= (part / all_inner)[:, None]
+    outer.ravel()[spots(klass // BRANCHES, GROUPS)] -= part
+    inner.ravel()[spots(klass % BRANCHES, BRANCHES)] -= part
+    g = {"c": own.T @ outer, "b": one[: len(own)] @ outer, "d": np.empty_like(p["d"]), "f": np.empty_like(p["f"])}
+    back = outer @ p["c"].T
+    for i in range(GROUPS):
+        some = slice(cuts[i], cuts[i + 1])
+        g["d"][i], g["f"][i] = own[some].T @ inner[some], one[: cuts[i + 1] - cuts[i]] @ inner[some]
+        back[some] += inner[some] @ p["d"][i].T
+    dx = np.zeros_like(h)
+    flat(dx)[wanted] = back
+    g["o"] = flat(o).T @ flat(dx)
+    do = (flat(dx) @ p["o"].T).reshape(dx.shape)
+    ds = do @ v.transpose(0, 2, 1)
+    ds -= (flat(do * o) @ one[:WIDTH]).reshape(*ds.shape[:2], 1)  # o is a @ v, so this is the row sum of a * ds
+    ds *= a
+    three = np.empty((*ids.shape, 3 * WIDTH), np.float32)
+    np.matmul(ds, k, out=three[:, :, :WIDTH])
+    np.matmul(ds.transpose(0, 2, 1), q, out=three[:, :, WIDTH : 2 * WIDTH])
+    np.matmul(a.transpose(0, 2, 1), do, out=three[:, :, 2 * WIDTH :])
+    dx += (flat(three) @ model.joint().T).reshape(dx.shape)
+    g["q"], g["k"], g["v"] = np.split(flat(x).T @ flat(three), 3, axis=1)
+    g["q"] = g["q"] * np.float32(WIDTH**-0.5)
+    g["pos"] = dx.sum(0)
     g["e"] = np.zeros_like(p["e"])
     symbols = model.symbol[ids].ravel()
-    order = np.argsort(symbols, kind="stable")
+    order = np.argsort(symbols.astype(np.uint16), kind="stable")
     first = np.flatnonzero(np.diff(symbols[order], prepend=-1))
     g["e"][symbols[order[first]]] = np.add.reduceat(flat(dx)[order], first)
     return g
 
 
+def by_group(klass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows by their classes' groups, and where each group begins and ends."""
+    group = (klass // BRANCHES).astype(np.uint8)
+    return np.argsort(group, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))])
+
+
+def spots(column: np.ndarray, width: int) -> np.ndarray:
+    """Flat places of one column a row."""
+    return np.arange(len(column)) * width + column
+
+
 def context_keys(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Place of (id, hash of the id before it) in a flat table of CONTEXTS places an id."""
     return ids.astype(np.int64) * CONTEXTS + place_of(before)
@@ -229,27 +298,40 @@ def place_of(ids: np.ndarray) -> np.ndarray:
     return (ids.astype(np.int64) * 2654435761 >> 7) % CONTEXTS
 
 
-def shares(contexts: np.ndarray, klass: np.ndarray, few: float = 32.0) -> tuple[np.ndarray, np.ndarray]:
-    """Model.within and Model.prior from the corpus' counts; rare places fall back to the shares over all places, each as ``few`` counts."""
+def shares(contexts: np.ndarray, klass: np.ndarray, few: float = 32.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Model.within, prior and inner from the corpus' counts; rare places fall back to the shares over all places, each as ``few`` counts."""
     counts = contexts.sum(1) + 0.02
-    alone = counts / np.bincount(klass, counts, CLASSES)[klass]
+    sizes = np.bincount(klass, counts, CLASSES)
+    alone = counts / sizes[klass]
     order = np.argsort(klass, kind="stable")
     first = np.flatnonzero(np.diff(klass[order], prepend=-1))
     by_class = np.zeros((CLASSES, CONTEXTS))
     by_class[klass[order[first]]] = np.add.reduceat(contexts[order], first)
     within = np.log10((contexts + few * alone[:, None]) / (by_class[klass] + few)).astype(np.float32)
-    overall = (by_class.sum(1) + 0.01) / (by_class.sum() + 0.01 * CLASSES)
-    prior = np.log((by_class.T + few * overall) / (by_class.sum(0)[:, None] + few)).astype(np.float32)
-    return within, prior
+    sizes, by_class = sizes.reshape(GROUPS, BRANCHES), by_class.T.reshape(CONTEXTS, GROUPS, BRANCHES)
+    groups, by_group = sizes.sum(1), by_class.sum(2)
+    prior = (by_group + few * groups / groups.sum()) / (by_group.sum(1, keepdims=True) + few)
+    inner = (by_class + few * sizes / np.maximum(groups, 1e-30)[:, None]) / (by_group[:, :, None] + few)
+    log = lambda share: np.log(np.maximum(share, 1e-26)).astype(np.float32)  # noqa: E731  (classes without ids)
+    return within, log(prior), log(inner).reshape(-1, BRANCHES)
 
 
 def classes(contexts: np.ndarray) -> np.ndarray:
-    """A class for each id: the heaviest class is halved across its ids' main direction until there are CLASSES or only single ids."""
+    """A class for each id: ids are split into GROUPS parts, and each of these into BRANCHES."""
     n, mean = contexts.sum(1, keepdims=True), contexts.sum(0) / max(1, contexts.sum())
     x = np.sqrt((contexts + 2 * mean) / (n + 2))  # few counts shrink to the mean
     weight = n[:, 0] + 0.02
-    heap, ready, made = [(-weight.sum(), 0, np.arange(len(x)))], [], 0
-    while heap and len(heap) + len(ready) < CLASSES:
+    klass = np.empty(len(x), np.int64)
+    for g, group in enumerate(split(x, weight, np.arange(len(x)), GROUPS)):
+        for b, own in enumerate(split(x, weight, group, BRANCHES)):
+            klass[own] = g * BRANCHES + b
+    return klass
+
+
+def split(x: np.ndarray, weight: np.ndarray, ids: np.ndarray, most: int) -> list[np.ndarray]:
+    """The heaviest part is halved across its ids' main direction until there are ``most`` or only single ids."""
+    heap, ready, made = [(-weight[ids].sum(), 0, ids)], [], 0
+    while heap and len(heap) + len(ready) < most:
         own = heapq.heappop(heap)[2]
         if len(own) == 1:
             ready.append(own)
@@ -263,10 +345,7 @@ def classes(contexts: np.ndarray) -> np.ndarray:
         for part in (order[:cut], order[cut:]):
             made += 1
             heapq.heappush(heap, (-weight[part].sum(), made, part))
-    klass = np.empty(len(x), np.int64)
-    for k, own in enumerate(ready + [h[2] for h in heap]):
-        klass[own] = k
-    return klass
+    return ready + [h[2] for h in heap]
 
 
 def pair_counts(rows: DataFrame, vocabulary: int, end: int) -> DataFrame:
@@ -345,7 +424,7 @@ def whole_windows(ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     return line.reshape(-1, WINDOW), target.reshape(-1, WINDOW)
 
 
-def train_on_all(model: Model, rows: DataFrame, batch: int = 64, rate: float = 0.0015, held: int = 8192) -> Model:
+def train_on_all(model: Model, rows: DataFrame, batch: int = 256, rate: float = 0.003, held: int = 8192) -> Model:
     """One pass over all windows of all rows: a model per task from ``model`` on, averaged by the tasks' targets.
 
     Sums are made by parameter in one shuffle, so the driver gets as many numbers as one model has.
@@ -356,7 +435,7 @@ def train_on_all(model: Model, rows: DataFrame, batch: int = 64, rate: float = 0
         import pyarrow as pa
 
         start = shared.value
-        own = Model(start.end, start.symbol, start.klass, start.within, start.prior, {n: w.copy() for n, w in start.p.items()})
+        own = Model(start.end, start.symbol, start.klass, start.within, start.prior, start.inner, {n: w.copy() for n, w in start.p.items()})
         adam, rng, seen, kept, waiting = Adam(own.p), np.random.default_rng(7), 0, [], 0
 
         def learn():
@@ -392,7 +471,7 @@ def train_on_all(model: Model, rows: DataFrame, batch: int = 64, rate: float = 0
         w = model.p[n]
         p[n] = (got[lo : lo + w.size] / got[-1]).reshape(w.shape).astype(np.float32)
         lo += w.size
-    return Model(model.end, model.symbol, model.klass, model.within, model.prior, p, model.follows)
+    return Model(model.end, model.symbol, model.klass, model.within, model.prior, model.inner, p, model.follows)
 
 
 def encoded(rows: DataFrame, path: str, pattern: str) -> DataFrame:

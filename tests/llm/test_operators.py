@@ -299,6 +299,37 @@ def test_lm_counts_and_windows_cover_all_ids(spark):
     assert any((grown.p[n] != w).any() for n, w in start.p.items())
 
 
+def class_shares(model, h, place):
+    """Probabilities of all classes: a softmax over groups times one over the classes of each group."""
+    p, h = model.p, h.astype(float)
+    outer = np.exp(h @ p["c"] + p["b"] + model.prior[place])
+    inner = np.exp(np.einsum("...w,gwb->...gb", h, p["d"]) + p["f"] + model.inner.reshape(-1, lm.GROUPS, lm.BRANCHES)[place])
+    both = (outer / outer.sum(-1, keepdims=True))[..., None] * (inner / inner.sum(-1, keepdims=True))
+    return both.reshape(*both.shape[:-2], lm.CLASSES)
+
+
+def test_lm_gradients_are_those_of_the_cross_entropy():
+    rng = np.random.default_rng(3)
+    windows = rng.integers(0, 60, (40, lm.WINDOW + 1))
+    model = lm.fit(windows, 61, 60, steps=3)
+    ids, target = windows[:, :-1], model.klass[windows[:, 1:]]
+    target[:, ::5] = -1
+
+    def loss():
+        share = class_shares(model, model.forward(ids)[0], lm.place_of(ids))
+        return -np.log(np.take_along_axis(share, np.maximum(target, 0)[:, :, None], 2)[:, :, 0])[target >= 0].mean()
+
+    for name, g in lm.gradients(model, ids, target).items():
+        direction, own = rng.standard_normal(g.shape), model.p[name]
+        slope = []
+        for step in (1e-2, -1e-2):
+            model.p[name] = (own + step * direction / np.sqrt(g.size)).astype(np.float32)
+            slope.append(loss())
+        model.p[name] = own
+        want = (slope[0] - slope[1]) / 2e-2
+        assert abs((g * direction).sum() / np.sqrt(g.size) - want) < 1e-4 + 0.03 * abs(want), name
+
+
 def test_lm_beats_the_unigram_on_two_languages():
     rng = np.random.default_rng(5)
     p = 1 / (np.arange(1000) + 5)
@@ -308,9 +339,9 @@ def test_lm_beats_the_unigram_on_two_languages():
     held = windows[2500:]
     unigram = np.log10(np.bincount(windows[:2500].ravel(), minlength=2001) + 0.02)
     unigram -= np.log10((10**unigram).sum())
-    z = (model.forward(held[:, :-1])[0] @ model.p["c"] + model.p["b"] + model.prior[lm.place_of(held[:, :-1])])[:, 8:].astype(float)
+    z = class_shares(model, model.forward(held[:, :-1])[0][:, 8:], lm.place_of(held[:, 8:-1]))
     y = held[:, 9:]
-    own = (np.take_along_axis(z, model.klass[y][:, :, None], 2)[:, :, 0] - np.log(np.exp(z).sum(2))) / np.log(10) + model.within[y, lm.place_of(held[:, 8:-1])]
+    own = np.log10(np.take_along_axis(z, model.klass[y][:, :, None], 2)[:, :, 0]) + model.within[y, lm.place_of(held[:, 8:-1])]
     assert own.mean() > unigram[y].mean(), (own.mean(), unigram[y].mean())
 
 
@@ -330,8 +361,7 @@ def test_lm_scores_each_id_once_with_its_context():
             h, _ = model.forward(line[start : ctx + i + 1][None])
             last, y = line[ctx + i], line[ctx + i + 1]
             place = lm.place_of(np.array([last]))[0]
-            z = (h[0, -1] @ model.p["c"] + model.p["b"] + model.prior[place]).astype(float)
-            share = np.exp(z - np.log(np.exp(z).sum()))[model.klass] * 10.0 ** model.within[:, place]
+            share = class_shares(model, h[0, -1], place)[model.klass] * 10.0 ** model.within[:, place]
             mixed = model.follows.left[last] * share
             for a, b in zip(before, after):
                 mixed[b] += 0.3 * (3 - 0.75) / 60 if a == last else 0
