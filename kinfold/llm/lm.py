@@ -348,9 +348,15 @@ def split(x: np.ndarray, weight: np.ndarray, ids: np.ndarray, most: int) -> list
     return ready + [h[2] for h in heap]
 
 
+def id_type(end: int) -> str:
+    """How ids up to ``end`` are stored: little-endian, in two bytes if they fit."""
+    return "<u2" if end < 1 << 16 else "<u4"
+
+
 def pair_counts(rows: DataFrame, vocabulary: int, end: int) -> DataFrame:
     """(before, id, c): how often each id, and the end once a row, follows each id in all rows; the end stands before a row."""
-    last = int(end).to_bytes(4, "little")
+    kind = id_type(end)
+    last = np.array([end], kind).tobytes()
 
     def run(batches):
         import pyarrow as pa
@@ -368,7 +374,7 @@ def pair_counts(rows: DataFrame, vocabulary: int, end: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(keys // vocabulary), pa.array(keys % vocabulary), pa.array(counts)], ["before", "id", "c"])
 
         for batch in pieces(batches):
-            line = np.concatenate([np.array([end], "<u4"), *[np.frombuffer(ids + last, "<u4") for ids in batch.column(0).to_pylist()]]).astype(np.int64)
+            line = np.concatenate([np.array([end], kind), *[np.frombuffer(ids + last, kind) for ids in batch.column(0).to_pylist()]]).astype(np.int64)
             waiting.append(line[:-1] * vocabulary + line[1:])
             held += len(line)
             if held > 2_000_000:
@@ -452,7 +458,7 @@ def train_on_all(model: Model, rows: DataFrame, batch: int = 256, rate: float =
 
         for part in pieces(batches):
             for ids in part.column(0).to_pylist():
-                kept.append(whole_windows(np.frombuffer(ids, "<u4"), own.end))
+                kept.append(whole_windows(np.frombuffer(ids, id_type(own.end)), own.end))
                 waiting += len(kept[-1][0])
                 if waiting >= held:
                     learn()
@@ -474,15 +480,17 @@ def train_on_all(model: Model, rows: DataFrame, batch: int = 256, rate: float =
     return Model(model.end, model.symbol, model.klass, model.within, model.prior, model.inner, p, model.follows)
 
 
-def encoded(rows: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``rows`` (doc_id, text, held_out) with their ids, little-endian and four bytes each."""
+def encoded(rows: DataFrame, path: str, pattern: str, end: int) -> DataFrame:
+    """``rows`` (doc_id, text, held_out) with their ids as ``id_type`` says."""
 
     def run(batches):
         import pyarrow as pa
 
-        encoder = rank_encoder(path, pattern)
+        encoder, kind = rank_encoder(path, pattern), id_type(end)
+        if len(encoder.sizes) > end:
+            raise ValueError(f"ids of {path} reach the end's, {end}")
         for batch in pieces(batches):
-            ids = [encoder(t or "").astype("<u4", copy=False).tobytes() for t in batch.column(1).to_pylist()]
+            ids = [encoder(t or "").astype(kind, copy=False).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], ["doc_id", "text", "held_out", "ids"])
 
     return rows.mapInArrow(run, "doc_id long, text string, held_out boolean, ids binary")
@@ -502,7 +510,7 @@ def training_windows(rows: DataFrame, end: int, max_docs: int, max_windows: int)
         for batch in pieces(batches):
             out = []
             for ids in batch.column(1).to_pylist():
-                line = np.concatenate([np.full(WINDOW - STRIDE + 1, end), np.frombuffer(ids, "<u4"), np.full(WINDOW, end)])
+                line = np.concatenate([np.full(WINDOW - STRIDE + 1, end), np.frombuffer(ids, id_type(end)), np.full(WINDOW, end)])
                 starts = np.unique(np.linspace(0, max(0, len(line) - 2 * WINDOW), each).astype(int))
                 out.append(np.stack([line[s : s + WINDOW + 1] for s in starts]).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["windows"])
@@ -546,7 +554,7 @@ def score(docs: DataFrame, path: str, pattern: str, held_out, key: str = "doc_id
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("held_out", held_out)
-    rows = stored(encoded(rows, path, pattern), "ids")
+    rows = stored(encoded(rows, path, pattern, end), "ids")
     training = rows.filter(~F.col("held_out"))
     counts = stored(word_counts(training), "words")
     ends = training.count()
@@ -576,7 +584,7 @@ def score(docs: DataFrame, path: str, pattern: str, held_out, key: str = "doc_id
             ids, cols = [], ([], [], [], [], [])
             for t, coded in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 t = t or ""
-                ids.append(np.frombuffer(coded, "<u4"))
+                ids.append(np.frombuffer(coded, id_type(end)))
                 words = Counter(t.encode().lower().split())
                 if len(hashes) > 300_000:
                     hashes.clear()

@@ -275,7 +275,7 @@ def test_lm_learns_from_all_training_rows(spark):
 
 def test_lm_counts_and_windows_cover_all_ids(spark):
     rng = np.random.default_rng(2)
-    texts = [rng.integers(0, 60, n).astype("<u4") for n in (0, 1, 24, 31, 32, 33, 500)]
+    texts = [rng.integers(0, 60, n).astype(lm.id_type(60)) for n in (0, 1, 24, 31, 32, 33, 500)]
     table = spark.createDataFrame([(bytearray(t.tobytes()),) for t in texts], "ids binary")
     pairs = {}
     for t in texts:
