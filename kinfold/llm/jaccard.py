@@ -23,7 +23,9 @@ hash in ``PLACES`` places), and one more. Linked sets share one of these,
 whatever the order, and a passage that many share is posted only by documents
 of little else. What is left after the rounds is compared pair by pair: as rows
 in short lists; in longer ones, of documents that nearly link, over blocks
-of a list, where bitmaps of the sets rule out what differs too much. So every linked pair of sets ends up in one
+of a list. Sketches, bitmaps of one to two bits an item that were made with the
+postings, travel first and rule out what differs too much, so that texts go only
+where they may link. So every linked pair of sets ends up in one
 component, at about one comparison per set for groups of near copies.
 """
 
@@ -44,7 +46,7 @@ WORDS_KEPT = 400_000
 #: Places in which shingles are counted by hash: their rarity, at most this many numbers whatever the corpus.
 PLACES_LOG = 20
 PLACES = 1 << PLACES_LOG
-POSTED = "id long, node long, n long, sigs array<long>"
+POSTED = "id long, node long, n long, sigs array<long>, sketch binary"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -98,6 +100,35 @@ def place_of(items: np.ndarray) -> np.ndarray:
     return (items >> np.uint64(64 - PLACES_LOG)).astype(np.int64)
 
 
+def sketch(items: np.ndarray) -> bytes:
+    """Bitmap of one to two bits an item: whether a place, the low bits of a hash, holds an odd number of items.
+
+    Two sketches, the larger folded to the other's size, differ in no more places than the sets in items.
+    """
+    log = max(6, int(len(items) - 1).bit_length())
+    odd = np.bincount((items & np.uint64((1 << log) - 1)).astype(np.int64), minlength=1 << log) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Rows of 64-bit words as sketches of so many words."""
+    while maps.shape[1] > words:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
+def maps_of(column) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Words of each sketch of an Arrow column, and by their number the rows and their matrix."""
+    sketches = column.to_pylist()
+    words = np.array([len(x) // 8 for x in sketches], np.int64)
+    by = {}
+    for w in np.unique(words).tolist():
+        at = np.flatnonzero(words == w)
+        by[w] = at, np.frombuffer(b"".join(sketches[i] for i in at), np.uint64).reshape(-1, w)
+    return words, by
+
+
 class Signatures:
     """Signatures of sets, such that two different linked sets share one."""
 
@@ -240,11 +271,11 @@ def post(width: int, percent: int, shared=None):
                 if node not in seen and name_of(words) == node:
                     seen.add(node)
                     items = shingles.of(words)
-                    rows.append((i, node, len(items), signatures(items)))
-            ids, nodes, n, sigs = zip(*rows, strict=True) if rows else ((), (), (), ())
+                    rows.append((i, node, len(items), signatures(items), sketch(items)))
+            ids, nodes, n, sigs, sketches = zip(*rows, strict=True) if rows else ((), (), (), (), ())
             offsets = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array(n, pa.int64()), lists], ["id", "node", "n", "sigs"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array(n, pa.int64()), lists, pa.array(sketches, pa.binary())], ["id", "node", "n", "sigs", "sketch"])
 
     return run
 
@@ -270,6 +301,66 @@ def compare(width: int, percent: int):
     return run
 
 
+def alike(percent: int):
+    """mapInArrow function: (a, b, n and sketch of a, n and sketch of b) to the (a, b) whose sketches let them link."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            n, n2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 4))
+            (words, one), (words2, other) = maps_of(batch.column(3)), maps_of(batch.column(5))
+            hit = np.zeros(batch.num_rows, bool)
+            for w, (at, maps) in one.items():
+                for w2, (at2, maps2) in other.items():
+                    rows = np.flatnonzero((words == w) & (words2 == w2))
+                    x, y = maps[np.searchsorted(at, rows)], maps2[np.searchsorted(at2, rows)]
+                    differ = np.bitwise_count(folded(x, min(w, w2)) ^ folded(y, min(w, w2))).sum(1, dtype=np.int64)
+                    hit[rows] = differ * (100 + percent) <= (n[rows] + n2[rows]) * (100 - percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(hit))
+
+    return run
+
+
+def close(percent: int, many: int = 64):
+    """applyInArrow function: a group's (name, x, y, id, comp, n, sketch) to pairs (a, b) of two components that may link;
+    of a group with more than ``many`` a row only its (name, x, y), with null ids.
+    """
+
+    def run(table):
+        import pyarrow as pa
+
+        def out(a, b, keys=()):
+            of = [pa.array([k] * len(a), kind) for k, kind in zip(keys or (None,) * 3, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+            return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *of], ["a", "b", "name", "x", "y"])
+
+        table = table.combine_chunks()
+        ids, comp, n = (table[c].to_numpy() for c in ("id", "comp", "n"))
+        if (comp == comp[0]).all():
+            return out([], [])
+        _, by = maps_of(table["sketch"])
+        first, second, held = [], [], 0
+        for w, (rows, maps) in by.items():
+            for w2, (rows2, maps2) in by.items():
+                if w > w2 or w2 > w and w2 * percent >= 200 * w:
+                    continue  # done the other way round, or sets too different in size
+                maps2 = folded(maps2, w)
+                for k in range(len(rows)):
+                    i = rows[k]
+                    differ = np.bitwise_count(maps2 ^ maps[k]).sum(1, dtype=np.int64)
+                    ok = (differ * (100 + percent) <= (n[rows2] + n[i]) * (100 - percent)) & (comp[rows2] != comp[i])
+                    js = rows2[ok & (rows2 > i)] if w == w2 else rows2[ok]
+                    first.append(np.full(len(js), ids[i]))
+                    second.append(ids[js])
+                    held += len(js)
+                if held > many * len(ids):
+                    return out([None], [None], [table[c][0].as_py() for c in ("name", "x", "y")])
+        a, b = np.concatenate(first), np.concatenate(second)
+        return out(np.minimum(a, b), np.maximum(a, b))
+
+    return run
+
+
 def within(width: int, percent: int):
     """applyInArrow function: a group's (id, comp, text) to links (a, b) that join its components, all pairs compared exactly."""
 
@@ -344,17 +435,35 @@ def do_link(sets: list[np.ndarray], n: np.ndarray, rest: np.ndarray, percent: in
     return 100 * both.astype(np.int64) >= percent * (n[rest, None] + n - both.astype(np.int64))
 
 
-def verify_blocks(lists: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 256) -> DataFrame:
-    """Links (a, b) that join components within lists (name, id, comp, size); no pair becomes a row.
-
-    A list is dealt by hash into blocks of about ``block``, and every two blocks
-    meet in one group of about 2 * ``block`` texts.
+def blocks_of(lists: DataFrame, block: int) -> DataFrame:
+    """(name, x, y, id, comp): a list (name, id, comp, size) is dealt by hash into blocks of about ``block``, and every two
+    blocks meet in one group of about 2 * ``block`` rows.
     """
     blocks = F.ceil(F.col("size") / block).cast("int")
     x = F.pmod(F.xxhash64(F.lit(5), "id"), blocks).cast("int")
     cut = lists.withColumn("x", x).withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1))).filter((F.col("x") != F.col("y")) | (F.col("size") <= block))
-    meet = cut.select("name", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "id", "comp").join(texts, "id")
-    return meet.groupBy("name", "x", "y").applyInArrow(within(width, percent), "a long, b long")
+    return cut.select("name", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "id", "comp")
+
+
+def verify_blocks(lists: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 256, only: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) that join components within lists, or within ``only`` some groups (name, x, y) of them; no pair becomes a row."""
+    meet = blocks_of(lists, block)
+    if only is not None:
+        meet = meet.join(only, ["name", "x", "y"], "left_semi")
+    return meet.join(texts, "id").groupBy("name", "x", "y").applyInArrow(within(width, percent), "a long, b long")
+
+
+def sifted(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may link by their sketches (id, n, sketch): none that link is missed."""
+    with_a = pairs.join(sketches.select(F.col("id").alias("a"), "n", "sketch"), "a")
+    both = with_a.join(sketches.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2")), "b")
+    return both.select("a", "b", "n", "sketch", "n2", "sketch2").mapInArrow(alike(percent), "a long, b long").distinct()
+
+
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components."""
+    of = [labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
+    return pairs.join(of[0], "a", "left").join(of[1], "b", "left").filter("coalesce(ca, a) != coalesce(cb, b)").select("a", "b")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -431,6 +540,8 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     posted = stored(of_class.unionByName(nameless).mapInArrow(post(width, percent), POSTED), "posted")
     release(spark)
     facts = stored(posted.groupBy("node").agg(F.max("n").alias("n")), "facts")
+    sketches = stored(posted.filter("n > 0 and id is not null").select("id", "node", "n", "sketch").dropDuplicates(["id", "node"]), "sketches")
+    release(spark)
     lists = _lists(posted.filter("id is not null"))
     discard(posted)
     release(spark)
@@ -448,7 +559,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
         pivots = mixed.groupBy("name").agg(F.min(F.struct(F.xxhash64(F.lit(r), "id").alias("h"), "id", "comp", "n")).alias("p"))
         near = mixed.join(pivots, "name").filter(f"p.comp != comp and 100 * least(p.n, n) >= {percent} * greatest(p.n, n)")
         pairs = near.groupBy(F.col("id").alias("a")).agg(F.min("p").alias("p")).select("a", F.col("p.id").alias("b"))
-        found = stored(verify(pairs, texts, width, percent), "links")
+        found = stored(verify(sifted(pairs, sketches, percent), texts, width, percent), "links")
         labels = _joined(labels, found)
         fresh = _mixed(mixed.select("name", "id", "n"), labels)
         discard(found, mixed)
@@ -463,7 +574,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
             again = True
             some = stored(texts.join(mixed.select("id").distinct(), "id", "left_semi"), "some")
             weight = spark.sparkContext.broadcast(rarity_of(some, width, kept))
-            posted = stored(some.select("id", "node", "text").mapInArrow(post(width, percent, weight), POSTED), "posted")
+            posted = stored(some.select("id", "node", "text").mapInArrow(post(width, percent, weight), POSTED).drop("sketch"), "posted")
             lists = _lists(posted)
             discard(mixed, posted, some)
             mixed = _mixed(lists, labels)
@@ -473,10 +584,23 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     # lists of documents that nearly link, but don't, stay long; shorter lists share many pairs, of which one row is compared
     a, b = (mixed.filter(F.col("size") <= short).select("name", F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("comp").alias(f"{x}c")) for x in "ab")
     rest = a.join(b, "name").filter(f"a < b and ac != bc and 100 * least(an, bn) >= {percent} * greatest(an, bn)").select("a", "b").distinct()
-    found = verify(rest, texts, width, percent).unionByName(verify_blocks(mixed.filter(F.col("size") > short), texts, width, percent, block))
-    found = stored(found, "links")
+    near = stored(sifted(rest, sketches, percent), "pairs")
+    release(spark)
+    long = mixed.filter(F.col("size") > short)
+    some = stored(blocks_of(long, block).join(sketches, "id").groupBy("name", "x", "y").applyInArrow(close(percent), "a long, b long, name long, x int, y int"), "close")
+    release(spark)
+    rows = near.unionByName(some.filter("a is not null").select("a", "b")).distinct()
+    # one pair of a document first: most of the others lie in one component then
+    firsts = rows.groupBy("a").agg(F.min("b").alias("b"))
+    found = stored(verify(firsts, texts, width, percent), "links")
+    labels = _joined(labels, found)
+    discard(found)
+    release(spark)
+    others = stored(apart(rows.join(firsts, ["a", "b"], "left_anti"), labels), "pairs")
+    dense = some.filter("a is null").select("name", "x", "y")
+    found = stored(verify(others, texts, width, percent).unionByName(verify_blocks(long, texts, width, percent, block, dense)), "links")
     labels = _joined(labels, found)
-    discard(found, mixed, texts)
+    discard(found, mixed, texts, sketches, near, some, others)
     named = classes.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").join(facts, "node", "left")
     named = stored(named.select("node", "size", "n", F.coalesce("component", "id").alias("component")), "named")
     discard(classes, labels, facts)

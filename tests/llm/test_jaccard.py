@@ -141,3 +141,36 @@ def test_bitmaps_miss_no_link():
         want = [[100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y)) for y in sets] for x in sets]
         np.fill_diagonal(do, True)
         assert do.tolist() == want and not (do & ~may).any() and may.sum() < 0.9 * may.size
+
+
+def test_texts_go_only_where_sketches_let_them_link(spark, monkeypatch):
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, passage + " " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(30))) for i in range(24)]
+    rows += [(100 + i, t + " tail") for i, t in rows[:6]]
+    sent, verify = [], jaccard.verify
+    monkeypatch.setattr(jaccard, "verify", lambda pairs, *more: sent.append(pairs.count()) or verify(pairs, *more))
+    for short in (2, 64):
+        sent.clear()
+        got = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), rounds=0, short=short).collect()
+        assert {tuple(r) for r in got} == brute(rows)
+        assert sum(sent) <= 12  # of 435 pairs
+
+
+def test_sketches_miss_no_link():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(10)
+    for size in (1, 3, 70, 120, 700):
+        base = rng.integers(0, 1 << 64, size, dtype=np.uint64)
+        most = size // 4 + 1
+        sets = [np.unique(np.concatenate([rng.permutation(base)[int(rng.integers(0, most)) :], rng.integers(0, 1 << 64, int(rng.integers(0, most)), dtype=np.uint64)])) for _ in range(30)]
+        link = [(i, j) for i in range(30) for j in range(i + 1, 30) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+        n, maps = [*map(len, sets)], [*map(jaccard.sketch, sets)]
+        a, b = zip(*[(i, j) for i in range(30) for j in range(i + 1, 30)], strict=True)
+        rows = pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.array([of[i] for i in x]) for x in (a, b) for of in (n, maps))], ["a", "b", "n", "sketch", "n2", "sketch2"])
+        kept = {(r["a"], r["b"]) for out in jaccard.alike(80)([rows]) for r in out.to_pylist()}
+        assert {*link} <= kept
+        group = pa.table({"name": [1] * 30, "x": [0] * 30, "y": [0] * 30, "id": range(30), "comp": range(30), "n": n, "sketch": maps})
+        assert {(r["a"], r["b"]) for r in jaccard.close(80)(group).to_pylist()} == kept
+        assert jaccard.close(80, 0)(group).to_pylist() == [{"a": None, "b": None, "name": 1, "x": 0, "y": 0}]
