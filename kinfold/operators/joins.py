@@ -1,65 +1,80 @@
-"""Similarity joins as explode, equi-join and exact post-filter."""
+"""Similarity joins: blocks or buckets that meet, and an exact filter."""
 
 from __future__ import annotations
 
-from itertools import combinations
 from math import comb
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import duration_bucket, duration_close, hamming
+from ..functions.near import Forest, near
+from ..functions.scalar import duration_bucket, duration_close
 from ..plans.scratch import stored
 
 
 def band_widths(most: int, rows: int) -> list[int]:
-    """Widths of the bands of 64 bits for which probing costs least: probes a hash, which are shuffled, and what random hashes they meet."""
+    """Widths of the bands of 64 bits for which a join by probing rows costs least: probes a hash, which are shuffled, and what random hashes they meet."""
 
     def cost(n: int) -> float:
         width = 64 // n
         masks = sum(comb(width + 1, r) for r in range(most // n + 1))
-        return n * masks * (4 + rows / 2**width) if masks <= 4096 else float("inf")  # they are literals of the plan
+        return n * masks * (4 + rows / 2**width) if masks <= 4096 else float("inf")
 
     n = min(range(2, 17), key=cost)
     return [64 // n + (i < 64 % n) for i in range(n)]
 
 
-def _probe(band: int, value: Column):
-    return lambda mask: F.struct(F.lit(band).alias("band"), mask.bitwiseXOR(value).alias("value"))
+def _near(most: int, forest: bool):
+    """applyInArrow function: (x, y, block, h, rep) of two blocks to pairs (a, b, dist) across them, or within one if x = y."""
 
+    def run(table):
+        import pyarrow as pa
 
-def hamming_pairs(hashes: DataFrame, most: int, key: str = "id", hash_col: str = "fp") -> DataFrame:
+        table = table.combine_chunks()
+        block, h, rep = (table[c].to_numpy() for c in ("block", "h", "rep"))
+        first = block == table["x"][0].as_py()
+        second = first if table["x"][0] == table["y"][0] else ~first
+        own, left, right = second is first, np.flatnonzero(first), np.flatnonzero(second)
+        h, held, joined = h.view(np.uint64), [np.zeros(0, np.int64)], Forest(len(h))
+        for i, j in near(h[left], h[right], most):
+            i, j = left[i], right[j]
+            if own:
+                i, j = i[i < j], j[i < j]
+            code = i * len(h) + j
+            held.append(code[[joined.joins(*x) for x in zip(i.tolist(), j.tolist(), strict=True)]] if forest and len(code) else code)
+        i, j = np.divmod(np.unique(np.concatenate(held)), max(1, len(h)))
+        dist = np.bitwise_count(h[i] ^ h[j]).astype(np.int64)
+        return pa.table({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j]), "dist": dist})
+
+    return run
+
+
+def hamming_pairs(hashes: DataFrame, most: int, key: str = "id", hash_col: str = "fp", forest: bool = False, block: int = 1 << 15) -> DataFrame:
     """Pairs (a, b, dist) of different keys, a < b, whose 64-bit hashes differ in at most ``most`` bits; exact.
 
-    The bits are cut into bands, of which one differs in at most most // bands
-    bits (pigeonhole), so one side probes all values that near; the masks are
-    made here and are literals of the plan. Equal hashes are collapsed first:
-    the join runs over distinct hashes, stored once, whose number chooses the
-    bands, and keys of one hash are paired through it.
+    Equal hashes are collapsed first, to their least key. The distinct ones are
+    dealt into blocks, and every two blocks meet in one task, which probes bands
+    of the bits or, if many bits may differ, compares all. Its memory is that of
+    two blocks and their pairs. forest: of the links of two blocks only so many
+    as join the same keys, for components.
     """
-    distinct = hashes.filter(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("h")).agg(F.min(key).alias("rep"))
+    distinct = hashes.filter(F.col(hash_col).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(hash_col).cast("long").alias("h")).agg(F.min(key).cast("long").alias("rep"))
     distinct = stored(distinct, "hashes")
-    widths = band_widths(most, distinct.count())
-    masks = {w: [sum(1 << i for i in c) for r in range(most // len(widths) + 1) for c in combinations(range(w), r)] for w in set(widths)}
-    held, asked, at = [], [], 0
-    for band, width in enumerate(widths):
-        value = F.shiftrightunsigned("h", at).bitwiseAND(F.lit((1 << width) - 1))
-        held.append(F.struct(F.lit(band).alias("band"), value.alias("value")))
-        near = F.array(*[F.lit(m).cast("long") for m in masks[width]])
-        asked.append(F.transform(near, _probe(band, value)))
-        at += width
-    one = distinct.select("h", "rep", F.explode(F.array(*held)).alias("k")).select("h", "rep", "k.*")
-    other = distinct.select(F.col("h").alias("h2"), F.col("rep").alias("rep2"), F.explode(F.flatten(F.array(*asked))).alias("k")).select("h2", "rep2", "k.*")
-    close = one.join(other, ["band", "value"]).filter((F.col("rep") < F.col("rep2")) & (hamming(F.col("h"), F.col("h2")) <= most))
-    return close.select(F.col("rep").alias("a"), F.col("rep2").alias("b"), hamming(F.col("h"), F.col("h2")).alias("dist")).distinct()
+    n = distinct.count()
+    blocks = max(-(-n // block), min(12, 1 + n // 1024))  # several tasks for small tables too
+    dealt = distinct.withColumn("block", F.pmod(F.xxhash64("h"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    meet = dealt.select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "h", "rep")
+    tasks = min(blocks * (blocks + 1) // 2, 2000)
+    return meet.repartition(tasks, "x", "y").groupBy("x", "y").applyInArrow(_near(most, forest), "a long, b long, dist long")
 
 
 def close_pairs(hashes: DataFrame, most: int, key: str = "id", hash_col: str = "fp") -> DataFrame:
     """All pairs (a, b, dist) of keys within ``most`` bits, those of equal hashes too; for reports and votes, not for groups."""
-    near = hamming_pairs(hashes, most, key, hash_col)
+    across = hamming_pairs(hashes, most, key, hash_col)
     rep = hashes.filter(F.col(hash_col).isNotNull()).groupBy(hash_col).agg(F.min(key).alias("rep"))
     held = hashes.join(rep, hash_col).select(F.col(key).alias("id"), "rep")
-    across = near.join(held.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(held.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b")
+    across = across.join(held.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(held.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b")
     same = held.join(held.select("rep", F.col("id").alias("y")), "rep").filter("id < y").select(F.col("id").alias("a"), F.col("y").alias("b"), F.lit(0).cast("long").alias("dist"))
     return across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "dist").unionByName(same)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalar as S
 from .functions.pixels import hash_rows
-from .functions.simhash import simhash
+from .functions.simhash import simhash, text_simhashes
 from .operators import groups as G
 from .operators import joins as J
 from .operators import selection as K
@@ -182,10 +182,20 @@ def _words(t: DataFrame) -> DataFrame:
 
 
 def fingerprints(spark, d, kind: str = "words") -> DataFrame:
-    return stored(_simhashes(texts(spark, d), kind), "fingerprints")
+    return _simhashes(texts(spark, d), kind)
 
 
 def _simhashes(t: DataFrame, kind: str) -> DataFrame:
+    """(id, fp) of rows (id, text); texts of one id count as one."""
+    text = "text" if kind == "chars" else F.lower("text").alias("text")
+    found = stored(t.select("id", text).mapInArrow(text_simhashes(kind), "id long, fp long"), "simhashes")
+    several = found.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    if several.isEmpty():
+        return found
+    return found.join(several, "id", "left_anti").unionByName(_simhashes_of_units(t.join(several, "id"), kind))
+
+
+def _simhashes_of_units(t: DataFrame, kind: str) -> DataFrame:
     if kind == "chars":
         n = F.length("text")
         units = t.select("id", F.explode(F.when(n >= 4, F.transform(F.sequence(F.lit(1), n - 3), lambda i: F.substring(F.col("text"), i, F.lit(4))))).alias("word"))
@@ -212,7 +222,7 @@ def _labels_sql(pairs: str) -> str:
 
 def linked(fps: DataFrame, t: int) -> DataFrame:
     """(id, gid) by links between distinct hashes and star links within a hash."""
-    links = J.hamming_pairs(fps, t).select("a", "b").unionByName(J.same_hash_links(fps))
+    links = J.hamming_pairs(fps, t, forest=True).select("a", "b").unionByName(J.same_hash_links(fps))
     return connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("gid"))
 
 

@@ -114,7 +114,7 @@ def links(rows: DataFrame, kinds: list[str], most: int, spec: ScanSpec) -> DataF
     if spec.mode != "smart" or spec.min_votes < 2:
         out = None
         for h in kinds:
-            one = J.hamming_pairs(rows, most, hash_col=h).select("a", "b").unionByName(J.same_hash_links(rows, hash_col=h))
+            one = J.hamming_pairs(rows, most, hash_col=h, forest=True).select("a", "b").unionByName(J.same_hash_links(rows, hash_col=h))
             out = one if out is None else out.unionByName(one)
         return out
     all_hashes = F.struct(*kinds)
