@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .constants import SIGNATURE_BINS
 from .functions import scalar as S
 from .functions.pixels import hash_rows
 from .functions.simhash import simhash, text_simhashes
+from .operators import close as D
 from .operators import groups as G
 from .operators import joins as J
 from .operators import selection as K
 from .operators import store as C
 from .operators.components import connected_components
-from .plans.scratch import stored
+from .plans.scratch import release, stored
 from .scan import ScanSpec, scan
 from .sources import media
 from .sources.files import file_filter, virtual_files
@@ -290,7 +294,7 @@ TEXTDUR = "(SELECT id, length(text) / 10.0 AS duration, regexp_extract_all(lower
 
 
 def text_durations(spark, d) -> DataFrame:
-    return _words(texts(spark, d)).join(texts(spark, d).select("id", (F.length("text") / 10.0).alias("duration")), "id")
+    return texts(spark, d).select("id", F.regexp_extract_all(F.lower("text"), F.lit(r"\w+"), F.lit(0)).alias("l"), (F.length("text") / 10.0).alias("duration"))
 
 
 @query(f"WITH {TEXTS}, d AS (SELECT id, length(text) / 10.0 AS duration FROM t) SELECT a.id AS a, b.id AS b FROM d a JOIN d b ON a.id < b.id AND {CLOSE.format(a='a', b='b')}")
@@ -335,9 +339,11 @@ AUDIO_GROUPS = f"WITH RECURSIVE {AUDIO_SQL}, {_labels_sql('SELECT a, b FROM ap W
 
 
 def _audio(spark, d) -> tuple[DataFrame, DataFrame]:
-    word = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long")
-    rows = text_durations(spark, d).filter(F.size("l") >= 10).select("id", "duration", F.transform("l", word).alias("ws"))
-    pairs = J.duration_pairs(rows, where=S.audio_similarity(F.col("ws"), F.col("ws2")) >= 0.8)
+    word = lambda w: F.substring(F.md5(w.cast("binary")), 1, 8)
+    words = F.unhex(F.array_join(F.transform("l", word), ""))
+    rows = stored(text_durations(spark, d).filter(F.size("l") >= 10).select("id", "duration", words.alias("ws")), "audio")
+    release(spark)
+    pairs = D.close_pairs(rows, F.octet_length("ws") / 4, D.alike_words(0.8), "id long, id2 long")
     return rows, connected_components(pairs, "id", "id2").select(F.col("node").alias("id"), F.col("component").alias("gid"))
 
 
@@ -351,7 +357,7 @@ def audio_groups(spark, d):
  FROM w a JOIN w b ON a.gid = b.gid AND a.id < b.id GROUP BY a.gid""")
 def audio_group_similarity(spark, d):
     rows, found = _audio(spark, d)
-    return G.pair_similarity(rows.join(found, "id"), S.audio_similarity, "ws").select("gid", F.round("similarity", 6).alias("similarity"))
+    return D.word_similarity(rows.join(found, "id")).select("gid", F.round("similarity", 6).alias("similarity"))
 
 
 SIG_SQL = f"""{TEXTS}, q AS (SELECT id, text, regexp_extract_all(text, '[^ \\t\\n\\r]+') AS l FROM t), p AS (SELECT id, len(l) AS n, unnest(list_transform(range(0, len(l)), lambda i: {{'i': i, 's': strlen(l[i + 1])}})) AS e FROM q WHERE len(l) >= 64),
@@ -361,29 +367,41 @@ SIG_SQL = f"""{TEXTS}, q AS (SELECT id, text, regexp_extract_all(text, '[^ \\t\\
  cos AS (SELECT a, b, sum(x.s * y.s / x.norm / y.norm) AS cosine FROM cand JOIN sig x ON x.id = a JOIN sig y ON y.id = b AND y.bin = x.bin GROUP BY a, b)"""
 
 
+def text_signatures(batches):
+    """mapInArrow function: (id, text, size, duration) to (id, size, duration, psig) by the sizes of a text's words, as media.packet_signature has it."""
+    import pyarrow as pa
+
+    for batch in batches:
+        out = []
+        for i, text, size, duration in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            sizes = [len(w.encode()) for w in re.findall(r"[^ \t\n\r]+", text or "")]
+            if len(sizes) >= SIGNATURE_BINS:
+                found = media.packet_bins(sizes)
+                out.append((i, size, duration, found))
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float32()))
+        columns = zip(*out, strict=True) if out else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "size", "duration", "psig"])
+
+
 def signatures(spark, d) -> DataFrame:
-    t = texts(spark, d)
-    lists = t.select("id", F.regexp_extract_all("text", F.lit(r"[^ \t\n\r]+"), F.lit(0)).alias("l"))
-    sizes = lists.select("id", F.posexplode("l").alias("i", "w")).select("id", "i", F.octet_length("w").alias("s"))
-    sig = media.packet_signature(sizes, ["id"], "i", "s")
-    return sig.join(t.select("id", F.octet_length(F.col("text").cast("binary")).alias("size"), (F.length("text") / 10.0).alias("duration")), "id")
+    rows = texts(spark, d).select("id", "text", F.octet_length(F.col("text").cast("binary")).cast("long").alias("size"), (F.length("text") / 10.0).alias("duration"))
+    return rows.mapInArrow(text_signatures, "id long, size long, duration double, psig array<float>")
 
 
-def _signature_pairs(spark, d, least: float) -> DataFrame:
-    ok = S.bytes_within(F.col("size"), F.col("size2"), 0.02) & (S.cosine(F.col("psig"), F.col("psig2")) >= least)
-    return J.duration_pairs(signatures(spark, d), where=ok)
+def _signature_pairs(spark, d, least: float, forest: bool = False) -> DataFrame:
+    return D.close_pairs(signatures(spark, d), F.lit(128), D.alike_signatures(least, 0.02, forest), "id long, id2 long, cosine double")
 
 
 @query(f"WITH {SIG_SQL} SELECT a, b, round(cosine, 4) AS cosine FROM cos WHERE cosine >= 0.999")
 def packet_cosine_pairs(spark, d):
     pairs = _signature_pairs(spark, d, 0.999)
-    return pairs.select(F.col("id").alias("a"), F.col("id2").alias("b"), F.round(S.cosine(F.col("psig"), F.col("psig2")), 4).alias("cosine"))
+    return pairs.select(F.col("id").alias("a"), F.col("id2").alias("b"), F.round("cosine", 4).alias("cosine"))
 
 
 @query(f"""WITH RECURSIVE {SIG_SQL}, {_labels_sql('SELECT a, b FROM cos WHERE cosine >= 0.99')} SELECT id, gid, arg_min(id, (id % 2) * 1000000000000 + id) OVER (PARTITION BY gid) AS rep FROM g""")
 def cluster_representative(spark, d):
     """The representative of a cluster: the first member that has cached frames (here: an even id), else the first."""
-    m = connected_components(_signature_pairs(spark, d, 0.99), "id", "id2").select(F.col("node").alias("id"), F.col("component").alias("gid"))
+    m = connected_components(_signature_pairs(spark, d, 0.99, forest=True), "id", "id2").select(F.col("node").alias("id"), F.col("component").alias("gid"))
     rep = m.groupBy("gid").agg(F.min_by("id", F.struct(F.col("id") % 2, "id")).alias("rep"))
     return m.join(rep, "gid").select("id", "gid", "rep")
 
