@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import discard, release, scratch, scratch_dir, stored
 
-__all__ = ["discard", "free_names", "pieces", "release", "remainder", "scratch", "scratch_dir", "split_join", "stored", "unused"]
+__all__ = ["discard", "free_names", "pieces", "release", "remainder", "scratch", "scratch_dir", "split_join", "stored", "trim", "unused"]
 
 
 def free_names(df: DataFrame, *added: str) -> DataFrame:
@@ -28,6 +28,17 @@ def pieces(batches, rows: int = 256):
             yield batch.slice(at, rows)
 
 
+def trim() -> None:
+    """Give what a Python worker has freed back to the system: workers stay for later tasks, beside the JVM."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def unused(df: DataFrame, *wanted: str) -> list[str]:
     """Column names like the wanted ones that no column of ``df`` has, in any case of letters."""
     taken, out = {name.lower() for name in df.columns}, []

@@ -40,9 +40,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import discard, pieces, release, split_join, stored
+from .common import discard, pieces, release, split_join, stored, trim
 
-WORDS_KEPT = 400_000
+WORDS_KEPT = 100_000
 #: Places in which shingles are counted by hash: their rarity, at most this many numbers whatever the corpus.
 PLACES_LOG = 20
 PLACES = 1 << PLACES_LOG
@@ -240,6 +240,8 @@ def common_places(width: int, kept: int):
                 rarity.add(shingles(text))
         place, k = rarity.common()
         yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(k, pa.int64())], ["place", "k"])
+        del shingles, rarity
+        trim()
 
     return run
 
@@ -276,6 +278,8 @@ def post(width: int, percent: int, shared=None):
             offsets = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array(n, pa.int64()), lists, pa.array(sketches, pa.binary())], ["id", "node", "n", "sigs", "sketch"])
+        shingles = signatures = seen = None
+        trim()
 
     return run
 
@@ -297,6 +301,8 @@ def compare(width: int, percent: int):
                 both = len(np.intersect1d(one, other, assume_unique=True))
                 hit.append(100 * both >= percent * (len(one) + len(other) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
+        shingles = last = None
+        trim()
 
     return run
 
@@ -307,7 +313,7 @@ def alike(percent: int):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches, 1024):
             n, n2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 4))
             (words, one), (words2, other) = maps_of(batch.column(3)), maps_of(batch.column(5))
             hit = np.zeros(batch.num_rows, bool)
