@@ -22,8 +22,10 @@ shingles: the 100 - percent hundredths that are rarest among them (counted by
 hash in ``PLACES`` places), and one more. Linked sets share one of these,
 whatever the order, and a passage that many share is posted only by documents
 of little else. What is left after the rounds is compared pair by pair: as rows
-in short lists; in longer ones, of documents that nearly link, over blocks
-of a list. Sketches, bitmaps of one to two bits an item that were made with the
+in short lists; in longer ones over blocks of a list. Where more than one a
+document may link in a block, no pair becomes a row: the block gives a forest of
+those that may, whose trees over all blocks are lists without a document in
+common, and each of these is compared as a whole. Sketches, bitmaps of one to two bits an item that were made with the
 postings, travel first and rule out what differs too much, so that texts go only
 where they may link. So every linked pair of sets ends up in one
 component, at about one comparison per set for groups of near copies.
@@ -367,6 +369,47 @@ def close(percent: int, many: int = 64):
     return run
 
 
+def reach(percent: int):
+    """applyInArrow function: a group's (id, comp, n, sketch) to pairs (a, b) of rows that may link, less than one a row:
+    over them each row reaches all rows of other components that it may link with, and what these reach.
+    """
+
+    def run(table):
+        import pyarrow as pa
+
+        table = table.combine_chunks()
+        ids, comp, n = (table[c].to_numpy() for c in ("id", "comp", "n"))
+        words, by = maps_of(table["sketch"])
+        met = [(w, w2, min(w, w2)) for w in by for w2 in by if max(w, w2) * percent < 200 * min(w, w2)]  # others are too different in size
+        views = {(w, low): folded(by[w][1], low) for pair in met for w, low in ((pair[0], pair[2]), (pair[1], pair[2]))}
+        place = np.empty(len(ids), np.int64)
+        for rows, maps in by.values():
+            place[rows] = np.arange(len(maps))
+        left = {w: np.arange(len(rows)) for w, (rows, _) in by.items()}  # not reached yet
+        first, second, seen = [], [], np.zeros(len(ids), bool)
+        for start in range(len(ids)):
+            if seen[start]:
+                continue
+            seen[start], ahead = True, [start]
+            while ahead:
+                i = ahead.pop()
+                for w, w2, low in met:
+                    if w != words[i]:
+                        continue
+                    at = left[w2] = left[w2][~seen[by[w2][0][left[w2]]]]
+                    rows = by[w2][0][at]
+                    differ = np.bitwise_count(views[w2, low][at] ^ views[w, low][place[i]]).sum(1, dtype=np.int64)
+                    js = rows[(differ * (100 + percent) <= (n[rows] + n[i]) * (100 - percent)) & (comp[rows] != comp[i])]
+                    seen[js] = True
+                    ahead += js.tolist()
+                    first.append(np.full(len(js), ids[i]))
+                    second.append(ids[js])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first, second))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def within(width: int, percent: int):
     """applyInArrow function: a group's (id, comp, text) to links (a, b) that join its components, all pairs compared exactly."""
 
@@ -451,12 +494,24 @@ def blocks_of(lists: DataFrame, block: int) -> DataFrame:
     return cut.select("name", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "id", "comp")
 
 
-def verify_blocks(lists: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 256, only: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) that join components within lists, or within ``only`` some groups (name, x, y) of them; no pair becomes a row."""
-    meet = blocks_of(lists, block)
-    if only is not None:
-        meet = meet.join(only, ["name", "x", "y"], "left_semi")
-    return meet.join(texts, "id").groupBy("name", "x", "y").applyInArrow(within(width, percent), "a long, b long")
+def verify_blocks(lists: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 256) -> DataFrame:
+    """Links (a, b) that join components within lists; no pair becomes a row."""
+    return blocks_of(lists, block).join(texts, "id").groupBy("name", "x", "y").applyInArrow(within(width, percent), "a long, b long")
+
+
+def clumps(meet: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Lists (name, id, n) without a document in common: two documents of a group (name, x, y) of ``meet`` that may link
+    by their sketches are in one of them.
+    """
+    pairs = meet.join(sketches, "id").groupBy("name", "x", "y").applyInArrow(reach(percent), "a long, b long")
+    found = connected_components(pairs).select(F.col("component").alias("name"), F.col("node").alias("id"))
+    return stored(found.join(sketches.groupBy("id").agg(F.max("n").alias("n")), "id").select("name", "id", "n"), "clumps")
+
+
+def weighed(lists: DataFrame, rows: int = 4, items: int = 600) -> DataFrame:
+    """The lists with, as their size, their documents over ``rows`` or their items over ``items``, if that is more."""
+    sizes = lists.groupBy("name").agg(F.ceil(F.greatest(F.count("*") / rows, F.sum("n") / items)).alias("size"))
+    return lists.drop("size").join(sizes, "name")
 
 
 def sifted(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -526,7 +581,7 @@ def _mixed(lists: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85,
-               rounds: int = 4, short: int = 16, kept: int = 8192, block: int = 256) -> DataFrame:
+               rounds: int = 4, short: int = 16, kept: int = 8192, block: int = 256, wide: int = 2048, many: int = 1) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
     Words are lower-cased (A-Z) and split at ASCII white space. Texts that are
@@ -592,8 +647,8 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     rest = a.join(b, "name").filter(f"a < b and ac != bc and 100 * least(an, bn) >= {percent} * greatest(an, bn)").select("a", "b").distinct()
     near = stored(sifted(rest, sketches, percent), "pairs")
     release(spark)
-    long = mixed.filter(F.col("size") > short)
-    some = stored(blocks_of(long, block).join(sketches, "id").groupBy("name", "x", "y").applyInArrow(close(percent), "a long, b long, name long, x int, y int"), "close")
+    long = blocks_of(mixed.filter(F.col("size") > short), wide)
+    some = stored(long.join(sketches, "id").groupBy("name", "x", "y").applyInArrow(close(percent, many), "a long, b long, name long, x int, y int"), "close")
     release(spark)
     rows = near.unionByName(some.filter("a is not null").select("a", "b")).distinct()
     # one pair of a document first: most of the others lie in one component then
@@ -603,10 +658,14 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     discard(found)
     release(spark)
     others = stored(apart(rows.join(firsts, ["a", "b"], "left_anti"), labels), "pairs")
-    dense = some.filter("a is null").select("name", "x", "y")
-    found = stored(verify(others, texts, width, percent).unionByName(verify_blocks(long, texts, width, percent, block, dense)), "links")
+    # where more than ``many`` a document may link, only which of them do over others is asked; texts meet once then, whatever the lists they share
+    dense = long.join(some.filter("a is null").select("name", "x", "y"), ["name", "x", "y"], "left_semi")
+    gathered = clumps(dense, sketches, percent)
+    release(spark)
+    met = _mixed(gathered, labels)
+    found = stored(verify(others, texts, width, percent).unionByName(verify_blocks(weighed(met), texts, width, percent, block)), "links")
     labels = _joined(labels, found)
-    discard(found, mixed, texts, sketches, near, some, others)
+    discard(found, mixed, texts, sketches, near, some, others, gathered, met)
     named = classes.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").join(facts, "node", "left")
     named = stored(named.select("node", "size", "n", F.coalesce("component", "id").alias("component")), "named")
     discard(classes, labels, facts)

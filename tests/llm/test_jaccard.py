@@ -174,3 +174,49 @@ def test_sketches_miss_no_link():
         group = pa.table({"name": [1] * 30, "x": [0] * 30, "y": [0] * 30, "id": range(30), "comp": range(30), "n": n, "sketch": maps})
         assert {(r["a"], r["b"]) for r in jaccard.close(80)(group).to_pylist()} == kept
         assert jaccard.close(80, 0)(group).to_pylist() == [{"a": None, "b": None, "name": 1, "x": 0, "y": 0}]
+
+
+def test_rows_of_a_dense_group_grow_with_its_documents(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        copy = list(base)
+        for j in rng.sample(range(0, 60, 5), rng.choice([0, 1, 2, 3])):
+            copy[j] = f"x{rng.randrange(400)}"
+        rows.append((i, " ".join(copy)))
+    sent, compared, verify, blocks = [], [], jaccard.verify, jaccard.verify_blocks
+    monkeypatch.setattr(jaccard, "verify", lambda pairs, *more: sent.append(pairs.count()) or verify(pairs, *more))
+    monkeypatch.setattr(jaccard, "verify_blocks", lambda lists, *more: compared.append(lists.count()) or blocks(lists, *more))
+    got = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), rounds=0).collect()
+    assert {tuple(r) for r in got} == brute(rows)
+    assert sum(sent) <= 120 and 0 < sum(compared) <= 120  # of 7140 pairs, and of the many lists that share documents
+
+
+def test_reach_is_a_forest_of_what_may_link():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(13)
+    sets = []
+    for size in (30, 60, 110, 700):
+        base = rng.integers(0, 1 << 64, size, dtype=np.uint64)
+        sets += [np.unique(np.concatenate([rng.permutation(base)[int(rng.integers(0, size // 4)) :], rng.integers(0, 1 << 64, int(rng.integers(0, size // 4)), dtype=np.uint64)])) for _ in range(25)]
+    comp = rng.integers(0, 60, len(sets)).tolist()
+    group = pa.table({"name": [1] * 100, "x": [0] * 100, "y": [0] * 100, "id": range(100), "comp": comp, "n": [*map(len, sets)], "sketch": [*map(jaccard.sketch, sets)]})
+
+    def trees(pairs):
+        top = list(range(100))
+
+        def root(i):
+            while top[i] != i:
+                i = top[i]
+            return i
+
+        for a, b in pairs:
+            top[root(a)] = root(b)
+        return [{j for j in range(100) if root(j) == root(i)} for i in range(100)]
+
+    may = [(r["a"], r["b"]) for r in jaccard.close(80)(group).to_pylist()]
+    got = [(r["a"], r["b"]) for r in jaccard.reach(80)(group).to_pylist()]
+    assert len(may) > 120 and len(got) < 100 and {tuple(sorted(p)) for p in got} <= {*may}
+    assert trees(got) == trees(may)
