@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import discard, release, scratch, scratch_dir, stored
 
-__all__ = ["discard", "free_names", "pieces", "release", "remainder", "scratch", "scratch_dir", "split_join", "stored", "trim", "unused"]
+__all__ = ["discard", "free_names", "hold", "pieces", "release", "remainder", "scratch", "scratch_dir", "split_join", "stored", "trim", "unused"]
 
 
 def free_names(df: DataFrame, *added: str) -> DataFrame:
@@ -28,6 +28,16 @@ def pieces(batches, rows: int = 256):
             yield batch.slice(at, rows)
 
 
+def hold() -> None:
+    """Let a Python worker keep what it frees, up to 128 MB, until ``trim``: where arrays of the same sizes are made
+    again and again, fresh pages can cost as much as the work on them."""
+    import ctypes
+
+    if hasattr(libc := ctypes.CDLL(None), "mallopt"):
+        libc.mallopt(-3, 1 << 25)  # the size from which each array gets pages of its own (at most 32 MB)
+        libc.mallopt(-1, 1 << 27)  # what is kept
+
+
 def trim() -> None:
     """Give what a Python worker has freed back to the system: workers stay for later tasks, beside the JVM."""
     import ctypes

@@ -33,45 +33,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import rank_encoder
-from .common import pieces, release, remainder, stored
+from .common import hold, pieces, release, remainder, stored, trim
 
 WINDOW, STRIDE, WIDTH, GROUPS, BRANCHES, INPUTS, CONTEXTS = 32, 24, 16, 16, 16, 4096, 64
 CLASSES = GROUPS * BRANCHES  # class = group * BRANCHES + branch
 CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
-class Follows:
-    """Ids that often follow an id in the corpus: their discounted shares, and what is left to the attention model.
-
-    Pairs stand by the hash of their key, so that few are compared for each one looked up.
-    """
+class Table:
+    """Values by key: a key stands in the first free slot from that of its hash on, and at most half of the slots are taken."""
 
-    def __init__(self, key: np.ndarray, share: np.ndarray, left: np.ndarray):
-        """key: before * vocabulary + id; left: by the id before, with the shares it sums to 1."""
+    def __init__(self, key: np.ndarray, value: np.ndarray):
         self.bits = max(1, int(2 * len(key)).bit_length())
-        at = self.bucket(key)
+        at, rank = self.bucket(key), np.arange(len(key))
         order = np.argsort(at, kind="stable")
-        self.key, self.share, self.left = np.append(key[order], -1), np.append(share[order], 0), left
-        self.begin = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=1 << self.bits))]).astype(np.int32)
-        self.most = int(np.diff(self.begin).max())
+        place = np.maximum.accumulate(at[order] - rank) + rank
+        size = max(1 << self.bits, int(place.max(initial=0)) + 1) + 1  # the last slot stays free
+        self.key, self.value, self.full = np.zeros(size, np.int64), np.zeros(size, value.dtype), np.zeros(size, bool)
+        self.key[place], self.value[place], self.full[place] = key[order], value[order], True
 
     def bucket(self, key: np.ndarray) -> np.ndarray:
         return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def mix(self, before: np.ndarray, ids: np.ndarray, log: np.ndarray) -> np.ndarray:
-        """log10 of the interpolation of the shares with probabilities of the given log10."""
-        own = (before * len(self.left) + ids).ravel()
+    def find(self, own: np.ndarray) -> np.ndarray:
+        """The slots of keys; a free one, whose value is 0, of a key that isn't there."""
         slot = self.bucket(own)
-        at, end, share = self.begin[slot], self.begin[slot + 1], np.zeros(len(own))
-        waiting = np.flatnonzero(at < end)
-        for step in range(self.most):
-            place = at[waiting] + step
-            found = self.key[place] == own[waiting]
-            share[waiting[found]] = self.share[place[found]]
-            waiting = waiting[~found & (place + 1 < end[waiting])]
-            if not len(waiting):
-                break
-        return np.log10(share.reshape(log.shape) + self.left[before] * 10.0**log + 1e-300)
+        miss = np.flatnonzero(self.key.take(slot) != own)
+        while len(miss):
+            miss = miss[self.full[slot[miss]]]
+            slot[miss] += 1
+            miss = miss[self.key[slot[miss]] != own[miss]]
+        return slot
+
+
+class Follows:
+    """Ids that often follow an id in the corpus: their discounted shares, and what is left to the attention model."""
+
+    def __init__(self, key: np.ndarray, share: np.ndarray, left: np.ndarray):
+        """key: before * vocabulary + id; left: by the id before, with the shares it sums to 1."""
+        self.shares, self.left = Table(key, share.astype(np.float32)), left
+
+    def mix(self, before: np.ndarray, ids: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """The interpolation of the shares with other probabilities, all of them flat."""
+        return self.shares.value.take(self.shares.find(before * len(self.left) + ids)) + self.left.take(before) * share
 
 
 def follows(before: np.ndarray, ids: np.ndarray, counts: np.ndarray, total: np.ndarray, discount: float = 0.75, weight: float = 0.3) -> Follows | None:
@@ -102,19 +106,20 @@ class Model:
     def forward(self, ids: np.ndarray):
         """Hidden states of windows of ids, and what the gradient needs."""
         p, n = self.p, ids.shape[1]
-        x = np.take(p["e"], self.symbol[ids], axis=0)
+        x = np.take(p["e"], self.symbol.take(ids), axis=0)
         x += p["pos"][:n]
         three = (x.reshape(-1, WIDTH) @ self.joint()).reshape(len(ids), n, 3 * WIDTH)
         q, k, v = three[:, :, :WIDTH], three[:, :, WIDTH : 2 * WIDTH], three[:, :, 2 * WIDTH :]
-        s = q @ k.transpose(0, 2, 1)
+        s = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
         np.minimum(s, np.float32(60), out=s)  # exp stays finite
         np.exp(s, out=s)
         s *= CAUSAL[:n, :n]  # later places get no weight
-        s /= (s.reshape(-1, n) @ np.ones(n, np.float32)).reshape(*s.shape[:2], 1) + np.float32(1e-30)
+        part = 1 / ((s.reshape(-1, n) @ np.ones(n, np.float32)).reshape(*s.shape[:2], 1) + np.float32(1e-30))
         o = s @ v
+        o *= part
         h = (o.reshape(-1, WIDTH) @ p["o"]).reshape(x.shape)
         h += x
-        return h, (x, q, k, v, s, o)
+        return h, (x, q, k, v, s, part, o)
 
     def outputs(self, h: np.ndarray, places: np.ndarray, klass: np.ndarray, cuts: np.ndarray):
         """Weights of all groups and their sums, and the same of the classes of each row's group.
@@ -133,80 +138,86 @@ class Model:
             np.exp(z, out=z)
         return outer, outer @ np.ones(GROUPS, np.float32), inner, inner @ np.ones(BRANCHES, np.float32)
 
-    def log_class(self, h: np.ndarray, places: np.ndarray, klass: np.ndarray) -> np.ndarray:
-        """log10 probability of each row's class."""
+    def class_share(self, h: np.ndarray, places: np.ndarray, klass: np.ndarray) -> np.ndarray:
+        """Probability of each row's class."""
         order, cuts = by_group(klass)
-        klass = klass[order]
-        outer, all_outer, inner, all_inner = self.outputs(h[order], places[order], klass, cuts)
-        chosen = outer.ravel()[spots(klass // BRANCHES, GROUPS)] / all_outer * (inner.ravel()[spots(klass % BRANCHES, BRANCHES)] / all_inner)
-        log = np.empty(len(h), np.float32)
-        log[order] = np.log10(np.maximum(chosen, np.float32(1e-37)))
-        return log
+        klass = klass.take(order)
+        outer, all_outer, inner, all_inner = self.outputs(h.take(order, axis=0), places.take(order), klass, cuts)
+        share = np.empty(len(h), np.float32)
+        share[order] = outer.ravel().take(spots(klass // BRANCHES, GROUPS)) / all_outer * (inner.ravel().take(spots(klass % BRANCHES, BRANCHES)) / all_inner)
+        return np.maximum(share, np.float32(1e-37), out=share)
 
     def score(self, texts: list[np.ndarray], batch: int = 256) -> np.ndarray:
         """log10 probability of each text's ids and the end after them."""
-        ctx = WINDOW - STRIDE
-        rows, wanted, owner = [], [], []
-        for i, ids in enumerate(texts):
-            n = len(ids) + 1
-            count = -(-n // STRIDE)
-            line = np.full(ctx + count * STRIDE + 1, self.end, np.int64)
-            line[ctx + 1 : ctx + n] = ids
-            at = np.arange(count)[:, None] * STRIDE + np.arange(WINDOW)
-            rows.append(line[at])
-            target = line[at[:, ctx:] + 1]
-            target[-1, n - (count - 1) * STRIDE :] = -1
-            wanted.append(target)
-            owner.append(np.full(count, i))
-        total = np.zeros(len(texts))
-        if not rows:
+        ctx, total = WINDOW - STRIDE, np.zeros(len(texts))
+        if not texts:
             return total
-        rows, wanted, owner = np.concatenate(rows), np.concatenate(wanted), np.concatenate(owner)
-        p = self.p
-        qkv = self.joint()
+        n = np.array([len(ids) + 1 for ids in texts])
+        count = -(-n // STRIDE)
+        begin = np.cumsum(ctx + 1 + count * STRIDE) - (ctx + 1 + count * STRIDE)
+        line = np.full(begin[-1] + ctx + 1 + count[-1] * STRIDE, self.end, np.int64)
+        for lo, ids in zip((begin + ctx + 1).tolist(), texts, strict=True):
+            line[lo : lo + len(ids)] = ids
+        owner = np.repeat(np.arange(len(texts)), count)
+        at = (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
+        start, left, p = begin[owner] + at, n[owner] - at, self.p
+        q, k, v = np.split(self.joint(), 3, axis=1)
+        qv, k = np.concatenate([q, v], 1), np.ascontiguousarray(k.T)
         # buffers are kept from batch to batch: fresh memory costs more than the products
-        x, o, d = (np.empty((batch, WINDOW, WIDTH), np.float32) for _ in range(3))
-        three, s = np.empty((batch * WINDOW, 3 * WIDTH), np.float32), np.empty((batch, WINDOW, WINDOW), np.float32)
-        inputs, places = self.symbol[rows], place_of(rows)
-        for lo in range(0, len(rows), batch):
-            n = min(batch, len(rows) - lo)
-            if n < batch:  # the last batch is filled up; what it says beyond n isn't read
-                inputs = np.concatenate([inputs, np.zeros((batch - n, WINDOW), inputs.dtype)])
-            np.take(p["e"], inputs[lo : lo + batch], axis=0, out=x)
+        buffers = [np.empty((batch, *shape), np.float32) for shape in ((WINDOW, WIDTH), (WINDOW, 2 * WIDTH), (WIDTH, WINDOW), (STRIDE, WINDOW), (STRIDE, WIDTH), (STRIDE, WIDTH))]
+        one, mask = np.ones(WINDOW, np.float32), CAUSAL[ctx:]
+        for lo in range(0, len(owner), batch):
+            hi = min(lo + batch, len(owner))
+            rows = line.take(start[lo:hi, None] + np.arange(WINDOW + 1))
+            x, two, keys, s, o, h = (b[: hi - lo] for b in buffers)
+            np.take(p["e"], self.symbol.take(rows[:, :-1]), axis=0, out=x, mode="clip")  # other modes buffer their result
             x += p["pos"]
-            np.matmul(x.reshape(-1, WIDTH), qkv, out=three)
-            parts = three.reshape(batch, WINDOW, 3 * WIDTH)
-            q, k, v = parts[:, :, :WIDTH], parts[:, :, WIDTH : 2 * WIDTH], parts[:, :, 2 * WIDTH :]
-            np.matmul(q, k.transpose(0, 2, 1), out=s)
+            np.matmul(x.reshape(-1, WIDTH), qv, out=two.reshape(-1, 2 * WIDTH))
+            np.matmul(k, x.transpose(0, 2, 1), out=keys)
+            np.matmul(two[:, ctx:, :WIDTH], keys, out=s)  # of the places before ctx nothing is scored
             np.minimum(s, np.float32(60), out=s)
             np.exp(s, out=s)
-            s *= CAUSAL
-            np.matmul(s, v, out=o)
-            o /= (s.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)).reshape(batch, WINDOW, 1) + np.float32(1e-30)
-            np.matmul(o.reshape(-1, WIDTH), p["o"], out=d.reshape(-1, WIDTH))
-            x += d
-            before, y = places[lo : lo + n, ctx:], wanted[lo : lo + batch]
-            ok = y >= 0
-            y = np.maximum(y, 0)
-            log = self.log_class(x[:n, ctx:].reshape(-1, WIDTH), before.ravel(), self.klass[y].ravel()).reshape(y.shape) + self.within[y, before]
+            s *= mask
+            np.matmul(s, two[:, :, WIDTH:], out=o)
+            o /= (s.reshape(-1, WINDOW) @ one).reshape(-1, STRIDE, 1) + np.float32(1e-30)
+            np.matmul(o.reshape(-1, WIDTH), p["o"], out=h.reshape(-1, WIDTH))
+            h += x[:, ctx:]
+            last, y = rows[:, ctx:-1].ravel(), rows[:, ctx + 1 :].ravel()
+            places = place_of(last)
+            share = self.class_share(h.reshape(-1, WIDTH), places, self.klass.take(y)) * np.exp(self.within.ravel().take(y * CONTEXTS + places) * np.log(10.0), dtype=np.float64)
             if self.follows is not None:
-                log = self.follows.mix(rows[lo : lo + n, ctx:], y, log)
-            total += np.bincount(owner[lo : lo + batch], np.where(ok, log, 0).sum(1), len(texts))
-        return total
+                share = self.follows.mix(last, y, share)
+            log = np.log(share + 1e-300).reshape(-1, STRIDE)
+            log *= np.arange(STRIDE) < left[lo:hi, None]
+            total += np.bincount(owner[lo:hi], log.sum(1), len(texts))
+        return total / np.log(10.0)
 
 
 class Adam:
+    """Adam over all parameters as one vector, of which those of ``p`` become views."""
+
     def __init__(self, p: dict[str, np.ndarray]):
-        self.p, self.t = p, 0
-        self.m, self.v = ({n: np.zeros_like(w) for n, w in p.items()} for _ in range(2))
+        self.w, self.t, lo = np.concatenate([w.ravel() for w in p.values()]), 0, 0
+        self.g, self.m, self.v, self.spare = (np.zeros_like(self.w) for _ in range(4))
+        self.grads = {}
+        for n, w in p.items():
+            p[n], self.grads[n] = (x[lo : lo + w.size].reshape(w.shape) for x in (self.w, self.g))
+            lo += w.size
 
     def step(self, grads: dict[str, np.ndarray], rate: float) -> None:
         self.t += 1
         for n, g in grads.items():
-            m, v = self.m[n], self.v[n]
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            self.p[n] -= (rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
+            self.grads[n][...] = g
+        g, m, v, s = self.g, self.m, self.v, self.spare
+        m *= np.float32(0.9)
+        m += np.multiply(g, np.float32(0.1), out=s)
+        v *= np.float32(0.99)
+        np.multiply(g, g, out=s)
+        v += np.multiply(s, np.float32(0.01), out=s)
+        np.sqrt(np.multiply(v, np.float32(1 / (1 - 0.99**self.t)), out=s), out=s)
+        s += np.float32(1e-8)
+        np.divide(m, s, out=s)
+        self.w -= np.multiply(s, np.float32(rate / (1 - 0.9**self.t)), out=s)
 
 
 def fit(windows: np.ndarray, vocabulary: int, end: int, steps: int = 400, batch: int = 96, seed: int = 1, contexts: np.ndarray | None = None) -> Model:
@@ -236,13 +247,13 @@ def fit(windows: np.ndarray, vocabulary: int, end: int, steps: int = 400, batch:
 def gradients(model: Model, ids: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of the mean cross-entropy of the target classes; targets under 0 don't count."""
     p = model.p
-    h, (x, q, k, v, a, o) = model.forward(ids)
+    h, (x, q, k, v, s, part_of, o) = model.forward(ids)
     flat = lambda y: y.reshape(-1, y.shape[-1])
     wanted = np.flatnonzero(target.ravel() >= 0)
     order, cuts = by_group(target.ravel()[wanted])
     wanted = wanted[order]
-    klass, own = target.ravel()[wanted], flat(h)[wanted]
-    outer, all_outer, inner, all_inner = model.outputs(own, place_of(ids).ravel()[wanted], klass, cuts)
+    klass, own = target.ravel()[wanted], flat(h).take(wanted, axis=0)
+    outer, all_outer, inner, all_inner = model.outputs(own, place_of(ids.ravel().take(wanted)), klass, cuts)
     part, one = np.float32(1 / max(1, len(own))), np.ones(max(len(own), WINDOW), np.float32)
     outer *= (part / all_outer)[:, None]
     inner *= (part / all_inner)[:, None]
@@ -258,22 +269,23 @@ def gradients(model: Model, ids: np.ndarray, target: np.ndarray) -> dict[str, np
     flat(dx)[wanted] = back
     g["o"] = flat(o).T @ flat(dx)
     do = (flat(dx) @ p["o"].T).reshape(dx.shape)
+    do *= part_of  # weights are s times this, so s needn't be divided
     ds = do @ v.transpose(0, 2, 1)
-    ds -= (flat(do * o) @ one[:WIDTH]).reshape(*ds.shape[:2], 1)  # o is a @ v, so this is the row sum of a * ds
-    ds *= a
+    ds -= (flat(do * o) @ one[:WIDTH]).reshape(*ds.shape[:2], 1)  # o is the weights @ v, so this is what their row sum takes off
+    ds *= s
     three = np.empty((*ids.shape, 3 * WIDTH), np.float32)
     np.matmul(ds, k, out=three[:, :, :WIDTH])
     np.matmul(ds.transpose(0, 2, 1), q, out=three[:, :, WIDTH : 2 * WIDTH])
-    np.matmul(a.transpose(0, 2, 1), do, out=three[:, :, 2 * WIDTH :])
+    np.matmul(s.transpose(0, 2, 1), do, out=three[:, :, 2 * WIDTH :])
     dx += (flat(three) @ model.joint().T).reshape(dx.shape)
     g["q"], g["k"], g["v"] = np.split(flat(x).T @ flat(three), 3, axis=1)
     g["q"] = g["q"] * np.float32(WIDTH**-0.5)
     g["pos"] = dx.sum(0)
     g["e"] = np.zeros_like(p["e"])
-    symbols = model.symbol[ids].ravel()
+    symbols = model.symbol.take(ids).ravel()
     order = np.argsort(symbols.astype(np.uint16), kind="stable")
-    first = np.flatnonzero(np.diff(symbols[order], prepend=-1))
-    g["e"][symbols[order[first]]] = np.add.reduceat(flat(dx)[order], first)
+    first = np.flatnonzero(np.diff(symbols.take(order), prepend=-1))
+    g["e"][symbols[order[first]]] = np.add.reduceat(flat(dx).take(order, axis=0), first)
     return g
 
 
@@ -440,6 +452,7 @@ def train_on_all(model: Model, rows: DataFrame, batch: int = 256, rate: float =
     def run(batches):
         import pyarrow as pa
 
+        hold()
         start = shared.value
         own = Model(start.end, start.symbol, start.klass, start.within, start.prior, start.inner, {n: w.copy() for n, w in start.p.items()})
         adam, rng, seen, kept, waiting = Adam(own.p), np.random.default_rng(7), 0, [], 0
@@ -468,6 +481,7 @@ def train_on_all(model: Model, rows: DataFrame, batch: int = 256, rate: float =
         flat = np.concatenate([own.p[n].ravel() for n in sorted(own.p)] + [np.ones(1)]).astype(np.float64) * seen
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["at", "w"])
+        trim()
 
     got = rows.select("ids").mapInArrow(run, "at long, w double").groupBy("at").agg(F.sum("w").alias("w")).toPandas().sort_values("at")["w"].to_numpy()
     if not len(got):
@@ -544,6 +558,42 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def words_of(texts: list[str | None], logs: Table, held: int = 1 << 18):
+    """By text: its words, how many of them ``logs`` has, the sum of their logs; lists of the other words' hashes and counts.
+
+    About ``held`` words are looked up at a time.
+    """
+    import pyarrow as pa
+    import xxhash
+
+    size, known, base = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts))
+    waiting, others, first = [], [], 0
+
+    def look_up(end: int):
+        h, owner = np.concatenate(waiting), np.repeat(np.arange(first, end), size[first:end])
+        slot = logs.find(h)
+        hit = logs.full.take(slot)
+        np.add(known, np.bincount(owner, hit, len(texts)).astype(np.int64), out=known)
+        np.add(base, np.bincount(owner, logs.value.take(slot), len(texts)), out=base)
+        others.append((owner[~hit], h[~hit]))
+        waiting.clear()
+
+    for i, t in enumerate(texts):
+        words = (t or "").encode().lower().split()
+        size[i] = len(words)
+        waiting.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64))
+        if i + 1 == len(texts) or size[first : i + 1].sum() >= held:
+            look_up(i + 1)
+            first = i + 1
+    owner, h = (np.concatenate(c) for c in zip(*others, strict=True)) if others else (np.zeros(0, np.int64),) * 2
+    order = np.lexsort((h, owner))
+    owner, h = owner[order], h[order]
+    start = np.flatnonzero(np.diff(owner, prepend=-1).astype(bool) | np.diff(h, prepend=0).astype(bool))
+    tf = np.diff(start, append=len(h))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[start], minlength=len(texts)))]).astype(np.int32))
+    return size, known, base, [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (h[start], tf)]
+
+
 def score(docs: DataFrame, path: str, pattern: str, held_out, key: str = "doc_id", text: str = "text", end: int = 50256,
           common: int = 100_000, max_docs: int = 1024, max_windows: int = 32_768, max_pairs: int = 1_000_000, steps: int = 400) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
@@ -571,34 +621,20 @@ def score(docs: DataFrame, path: str, pattern: str, held_out, key: str = "doc_id
         model = fit(np.full((1, WINDOW + 1), end), end + 1, end, 0)
     scale = np.log10(n + 0.1 * (v + 1))
     end_log = float(np.log10(ends + 0.1) - scale)
-    shared = spark.sparkContext.broadcast((model, top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64)))  # bounded by ``common``
+    logs = Table(top["h"].to_numpy(np.int64), np.log10(top["c"].to_numpy(np.int64) + 0.1) - scale)
+    shared = spark.sparkContext.broadcast((model, logs))  # bounded by ``common`` and ``max_pairs``
 
     def run(batches):
         import pyarrow as pa
-        import xxhash
 
-        lm, known, count = shared.value
-        hashes: dict = {}
-        log = np.log10(count + 0.1) - scale
+        hold()
+        lm, logs = shared.value
         for batch in pieces(batches, 64):
-            ids, cols = [], ([], [], [], [], [])
-            for t, coded in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                t = t or ""
-                ids.append(np.frombuffer(coded, id_type(end)))
-                words = Counter(t.encode().lower().split())
-                if len(hashes) > 300_000:
-                    hashes.clear()
-                h = np.fromiter((hashes.get(w) or hashes.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in words), np.uint64, len(words)).view(np.int64)
-                tf = np.fromiter(words.values(), np.int64, len(words))
-                at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-                hit = known[at] == h if len(known) else np.zeros(len(h), bool)
-                cols[0].append(int(tf.sum()) + 1)
-                cols[1].append(int(tf[hit].sum()) + (ends > 0))
-                cols[2].append(float((tf[hit] * log[at[hit]]).sum()) + end_log)
-                cols[3].append(h[~hit])
-                cols[4].append(tf[~hit])
-            arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(lm.score(ids), pa.float64()), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *arrays], ["doc_id", "held_out", "n_tokens", "known", "base", "score", "h", "tf"])
+            ids = [np.frombuffer(coded, id_type(end)) for coded in batch.column(3).to_pylist()]
+            n_tokens, known, base, rest = words_of(batch.column(1).to_pylist(), logs)
+            columns = [pa.array(n_tokens + 1), pa.array(known + (ends > 0)), pa.array(base + end_log), pa.array(lm.score(ids), pa.float64()), *rest]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "held_out", "n_tokens", "known", "base", "score", "h", "tf"])
+        trim()
 
     out = stored(rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, h array<long>, tf array<long>").withColumn("rid", F.monotonically_increasing_id()), "scores")
     rest = out.select("rid", F.explode(F.arrays_zip("h", "tf")).alias("w")).select("rid", "w.h", "w.tf")

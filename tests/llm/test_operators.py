@@ -370,6 +370,27 @@ def test_lm_scores_each_id_once_with_its_context():
         assert abs(total - got) < 1e-2
 
 
+def test_lm_tables_find_each_key_and_words_are_counted_by_text():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 1000):
+        key = np.unique(rng.integers(-(2**63), 2**63 - 1, n)) if n != 2 else np.array([0, -1])
+        table = lm.Table(key, -np.arange(1.0, len(key) + 1))
+        assert table.value[table.find(key)].tolist() == (-np.arange(1.0, len(key) + 1)).tolist() and table.full[table.find(key)].all()
+        other = np.setdiff1d(np.concatenate([rng.integers(-(2**63), 2**63 - 1, 1000), np.arange(-5, 5)]), key)
+        assert not table.full[table.find(other)].any() and not table.value[table.find(other)].any()
+    import xxhash
+
+    code = lambda w: int(np.uint64(xxhash.xxh3_64_intdigest(w)).view(np.int64))
+    logs = lm.Table(np.array([code(b"a"), code(b"cat")]), np.array([-1.0, -2.5]))
+    texts = ["A cat a  dog DOG", None, "", "dog", "\u00c9t\u00e9 a\x0bCat \u00c9t\u00e9 bird"] * 3
+    for held in (1, 4, 1 << 18):  # words are looked up text by text, in some parts, at once
+        size, known, base, (h, tf) = lm.words_of(texts, logs, held)
+        for i, t in enumerate(texts):
+            words = (t or "").encode().lower().split()
+            assert (size[i], known[i], base[i]) == (len(words), sum(w in (b"a", b"cat") for w in words), -1.0 * words.count(b"a") - 2.5 * words.count(b"cat"))
+            assert dict(zip(h[i].as_py(), tf[i].as_py(), strict=True)) == {code(w): words.count(w) for w in words if w not in (b"a", b"cat")}
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     words = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)]
