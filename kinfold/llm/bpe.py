@@ -37,8 +37,9 @@ class Encoder:
         self.own = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.special)
         self.known = frozenset(self.special)
         self.sizes = np.zeros(1 + max([*ranks.values(), *self.special.values()]), np.int64)
+        self.spaced = np.zeros(len(self.sizes), bool)  # ids that begin with a space
         for raw, i in ranks.items():
-            self.sizes[i] = len(raw)
+            self.sizes[i], self.spaced[i] = len(raw), raw[:1] == b" "
         for said, i in self.special.items():
             self.sizes[i] = len(said.encode())
 

@@ -16,6 +16,8 @@ Scoring: a text is read in overlapping windows of ``WINDOW`` ids that start
 ``STRIDE`` apart; each id is scored once, with at least WINDOW - STRIDE ids
 before it, and windows of many texts are one batch.
 
+Texts are cut at spaces into parts, whose ids and words are made once while a
+task keeps them; ids of texts and counts of parts come from them in one pass.
 Base score: words are counted over all training rows (partial sums per task,
 one shuffle). The most frequent words, at most ``common``, are broadcast;
 other words join their counts by hash, so no list of counts that grows with
@@ -25,26 +27,30 @@ the corpus leaves the cluster.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from dataclasses import dataclass
+from functools import cache, cached_property
+from itertools import compress
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import rank_encoder
+from .bpe import _boundary, rank_encoder
 from .common import hold, pieces, release, remainder, stored, trim
 
 WINDOW, STRIDE, WIDTH, GROUPS, BRANCHES, INPUTS, CONTEXTS = 32, 24, 16, 16, 16, 4096, 64
-CLASSES = GROUPS * BRANCHES  # class = group * BRANCHES + branch
+CLASSES, SHIFT = GROUPS * BRANCHES, BRANCHES.bit_length() - 1  # class = group * BRANCHES + branch
 CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+BITS = np.float32(np.log2(np.e))  # powers are of two, which numpy makes faster than those of e
+TOP = np.float32(60 * BITS)  # the greatest exponent: sums stay finite
+ONES = np.ones(1 << 16, np.float32)
 
 
 class Table:
     """Values by key: a key stands in the first free slot from that of its hash on, and at most half of the slots are taken."""
 
     def __init__(self, key: np.ndarray, value: np.ndarray):
-        self.bits = max(1, int(2 * len(key)).bit_length())
+        self.bits, self.words = max(1, int(2 * len(key)).bit_length()), None
         at, rank = self.bucket(key), np.arange(len(key))
         order = np.argsort(at, kind="stable")
         place = np.maximum.accumulate(at[order] - rank) + rank
@@ -100,51 +106,62 @@ class Model:
     follows: Follows | None = None
 
     def joint(self) -> np.ndarray:
-        """The three attention products as one, queries scaled."""
-        return np.concatenate([self.p["q"] * np.float32(WIDTH**-0.5), self.p["k"], self.p["v"]], 1)
+        """The three attention products as one, queries scaled, for powers of two."""
+        return np.concatenate([self.p["q"] * (np.float32(WIDTH**-0.5) * BITS), self.p["k"], self.p["v"]], 1)
 
     def forward(self, ids: np.ndarray):
         """Hidden states of windows of ids, and what the gradient needs."""
         p, n = self.p, ids.shape[1]
         x = np.take(p["e"], self.symbol.take(ids), axis=0)
         x += p["pos"][:n]
-        three = (x.reshape(-1, WIDTH) @ self.joint()).reshape(len(ids), n, 3 * WIDTH)
-        q, k, v = three[:, :, :WIDTH], three[:, :, WIDTH : 2 * WIDTH], three[:, :, 2 * WIDTH :]
+        flat = x.reshape(-1, WIDTH)
+        q, k, v = (product(flat, w).reshape(x.shape) for w in np.split(self.joint(), 3, axis=1))
         s = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
-        np.minimum(s, np.float32(60), out=s)  # exp stays finite
-        np.exp(s, out=s)
+        np.exp2(bounded(s), out=s)
         s *= CAUSAL[:n, :n]  # later places get no weight
-        part = 1 / ((s.reshape(-1, n) @ np.ones(n, np.float32)).reshape(*s.shape[:2], 1) + np.float32(1e-30))
+        part = (1 / (s.reshape(-1, n) @ ONES[:n] + np.float32(1e-30))).reshape(*x.shape[:2], 1)
         o = s @ v
         o *= part
-        h = (o.reshape(-1, WIDTH) @ p["o"]).reshape(x.shape)
+        h = product(o.reshape(-1, WIDTH), p["o"]).reshape(x.shape)
         h += x
         return h, (x, q, k, v, s, part, o)
 
-    def outputs(self, h: np.ndarray, places: np.ndarray, klass: np.ndarray, cuts: np.ndarray):
-        """Weights of all groups and their sums, and the same of the classes of each row's group.
+    @cached_property
+    def first(self) -> np.ndarray:
+        """By place and group: logs of the shares of the groups, and beside them of the group's classes, for powers of two."""
+        prior = np.broadcast_to(self.prior[:, None], (CONTEXTS, GROUPS, GROUPS))
+        return np.concatenate([prior, self.inner.reshape(-1, GROUPS, BRANCHES)], 2).reshape(CONTEXTS, -1) * BITS
+
+    def heads(self) -> tuple[np.ndarray, np.ndarray]:
+        """By group, the products for all groups and for its classes side by side; by place and group, what is added to them. For powers of two."""
+        p, both, added = self.p, np.empty((GROUPS, WIDTH, GROUPS + BRANCHES), np.float32), np.empty((GROUPS, GROUPS + BRANCHES), np.float32)
+        both[:, :, :GROUPS], both[:, :, GROUPS:], added[:, :GROUPS], added[:, GROUPS:] = p["c"], p["d"], p["b"], p["f"]
+        both *= BITS
+        added *= BITS
+        return both, (self.first + added.ravel()).reshape(-1, GROUPS + BRANCHES)
+
+    def outputs(self, h: np.ndarray, places: np.ndarray, klass: np.ndarray, cuts: list[int], heads: tuple[np.ndarray, np.ndarray]):
+        """Weights of all groups and, beside them, of the classes of each row's group, and the sums of both.
 
         Rows are in order of their classes' groups, which begin at cuts.
         """
-        p = self.p
-        outer = h @ p["c"]
-        outer += np.take(self.prior + p["b"], places, axis=0)
-        inner = np.empty((len(h), BRANCHES), np.float32)
+        both, added = heads
+        z = np.empty((len(h), GROUPS + BRANCHES), np.float32)
         for g in range(GROUPS):
-            np.matmul(h[cuts[g] : cuts[g + 1]], p["d"][g], out=inner[cuts[g] : cuts[g + 1]])
-        inner += np.take((self.inner.reshape(-1, GROUPS, BRANCHES) + p["f"]).reshape(-1, BRANCHES), places * GROUPS + klass // BRANCHES, axis=0)
-        for z in (outer, inner):
-            np.clip(z, -60, 60, out=z)  # exp stays finite
-            np.exp(z, out=z)
-        return outer, outer @ np.ones(GROUPS, np.float32), inner, inner @ np.ones(BRANCHES, np.float32)
-
-    def class_share(self, h: np.ndarray, places: np.ndarray, klass: np.ndarray) -> np.ndarray:
+            np.matmul(h[cuts[g] : cuts[g + 1]], both[g], out=z[cuts[g] : cuts[g + 1]])
+        z += np.take(added, places * GROUPS + (klass >> SHIFT), axis=0)
+        np.exp2(bounded(z, -TOP), out=z)
+        return z, (z.reshape(-1, BRANCHES) @ ONES[:BRANCHES]).reshape(-1, 2)
+
+    def class_share(self, h: np.ndarray, places: np.ndarray, klass: np.ndarray, heads: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """Probability of each row's class."""
         order, cuts = by_group(klass)
         klass = klass.take(order)
-        outer, all_outer, inner, all_inner = self.outputs(h.take(order, axis=0), places.take(order), klass, cuts)
+        z, sums = self.outputs(h.take(order, axis=0), places.take(order), klass, cuts, heads)
+        own, other = spots(klass)
+        z = z.ravel()
         share = np.empty(len(h), np.float32)
-        share[order] = outer.ravel().take(spots(klass // BRANCHES, GROUPS)) / all_outer * (inner.ravel().take(spots(klass % BRANCHES, BRANCHES)) / all_inner)
+        share[order] = z.take(own) * z.take(other) / (sums[:, 0] * sums[:, 1])
         return np.maximum(share, np.float32(1e-37), out=share)
 
     def score(self, texts: list[np.ndarray], batch: int = 256) -> np.ndarray:
@@ -162,29 +179,27 @@ class Model:
         at = (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
         start, left, p = begin[owner] + at, n[owner] - at, self.p
         q, k, v = np.split(self.joint(), 3, axis=1)
-        qv, k = np.concatenate([q, v], 1), np.ascontiguousarray(k.T)
+        qv, k, heads = np.concatenate([q, v @ p["o"]], 1), np.ascontiguousarray(k.T), self.heads()
         # buffers are kept from batch to batch: fresh memory costs more than the products
-        buffers = [np.empty((batch, *shape), np.float32) for shape in ((WINDOW, WIDTH), (WINDOW, 2 * WIDTH), (WIDTH, WINDOW), (STRIDE, WINDOW), (STRIDE, WIDTH), (STRIDE, WIDTH))]
-        one, mask = np.ones(WINDOW, np.float32), CAUSAL[ctx:]
+        buffers = [np.empty((batch, *shape), np.float32) for shape in ((WINDOW, WIDTH), (WINDOW, 2 * WIDTH), (WIDTH, WINDOW), (STRIDE, WINDOW), (STRIDE, WIDTH))]
+        one, mask = ONES[:WINDOW], CAUSAL[ctx:]
         for lo in range(0, len(owner), batch):
             hi = min(lo + batch, len(owner))
             rows = line.take(start[lo:hi, None] + np.arange(WINDOW + 1))
-            x, two, keys, s, o, h = (b[: hi - lo] for b in buffers)
+            x, two, keys, s, h = (b[: hi - lo] for b in buffers)
             np.take(p["e"], self.symbol.take(rows[:, :-1]), axis=0, out=x, mode="clip")  # other modes buffer their result
             x += p["pos"]
-            np.matmul(x.reshape(-1, WIDTH), qv, out=two.reshape(-1, 2 * WIDTH))
+            product(x.reshape(-1, WIDTH), qv, two.reshape(-1, 2 * WIDTH))
             np.matmul(k, x.transpose(0, 2, 1), out=keys)
             np.matmul(two[:, ctx:, :WIDTH], keys, out=s)  # of the places before ctx nothing is scored
-            np.minimum(s, np.float32(60), out=s)
-            np.exp(s, out=s)
+            np.exp2(bounded(s), out=s)
             s *= mask
-            np.matmul(s, two[:, :, WIDTH:], out=o)
-            o /= (s.reshape(-1, WINDOW) @ one).reshape(-1, STRIDE, 1) + np.float32(1e-30)
-            np.matmul(o.reshape(-1, WIDTH), p["o"], out=h.reshape(-1, WIDTH))
+            np.matmul(s, two[:, :, WIDTH:], out=h)
+            h *= (1 / (s.reshape(-1, WINDOW) @ one + np.float32(1e-30))).reshape(-1, STRIDE, 1)
             h += x[:, ctx:]
             last, y = rows[:, ctx:-1].ravel(), rows[:, ctx + 1 :].ravel()
             places = place_of(last)
-            share = self.class_share(h.reshape(-1, WIDTH), places, self.klass.take(y)) * np.exp(self.within.ravel().take(y * CONTEXTS + places) * np.log(10.0), dtype=np.float64)
+            share = self.class_share(h.reshape(-1, WIDTH), places, self.klass.take(y), heads) * np.exp(self.within.ravel().take(y * CONTEXTS + places) * np.log(10.0), dtype=np.float64)
             if self.follows is not None:
                 share = self.follows.mix(last, y, share)
             log = np.log(share + 1e-300).reshape(-1, STRIDE)
@@ -209,15 +224,15 @@ class Adam:
         for n, g in grads.items():
             self.grads[n][...] = g
         g, m, v, s = self.g, self.m, self.v, self.spare
-        m *= np.float32(0.9)
-        m += np.multiply(g, np.float32(0.1), out=s)
+        m *= np.float32(0.9)  # the means' weights of 0.1 and 0.01 are left to the last lines
+        m += g
         v *= np.float32(0.99)
-        np.multiply(g, g, out=s)
-        v += np.multiply(s, np.float32(0.01), out=s)
-        np.sqrt(np.multiply(v, np.float32(1 / (1 - 0.99**self.t)), out=s), out=s)
-        s += np.float32(1e-8)
+        v += np.multiply(g, g, out=s)
+        scale = (0.01 / (1 - 0.99**self.t)) ** 0.5
+        np.sqrt(v, out=s)
+        s += np.float32(1e-8 / scale)
         np.divide(m, s, out=s)
-        self.w -= np.multiply(s, np.float32(rate / (1 - 0.9**self.t)), out=s)
+        self.w -= np.multiply(s, np.float32(rate * 0.1 / (1 - 0.9**self.t) / scale), out=s)
 
 
 def fit(windows: np.ndarray, vocabulary: int, end: int, steps: int = 400, batch: int = 96, seed: int = 1, contexts: np.ndarray | None = None) -> Model:
@@ -250,54 +265,84 @@ def gradients(model: Model, ids: np.ndarray, target: np.ndarray) -> dict[str, np
     h, (x, q, k, v, s, part_of, o) = model.forward(ids)
     flat = lambda y: y.reshape(-1, y.shape[-1])
     wanted = np.flatnonzero(target.ravel() >= 0)
-    order, cuts = by_group(target.ravel()[wanted])
-    wanted = wanted[order]
-    klass, own = target.ravel()[wanted], flat(h).take(wanted, axis=0)
-    outer, all_outer, inner, all_inner = model.outputs(own, place_of(ids.ravel().take(wanted)), klass, cuts)
-    part, one = np.float32(1 / max(1, len(own))), np.ones(max(len(own), WINDOW), np.float32)
-    outer *= (part / all_outer)[:, None]
-    inner *= (part / all_inner)[:, None]
-    outer.ravel()[spots(klass // BRANCHES, GROUPS)] -= part
-    inner.ravel()[spots(klass % BRANCHES, BRANCHES)] -= part
-    g = {"c": own.T @ outer, "b": one[: len(own)] @ outer, "d": np.empty_like(p["d"]), "f": np.empty_like(p["f"])}
-    back = outer @ p["c"].T
+    order, cuts = by_group(target.ravel().take(wanted))
+    wanted = wanted.take(order)
+    klass, own = target.ravel().take(wanted), flat(h).take(wanted, axis=0)
+    heads = model.heads()
+    z, sums = model.outputs(own, place_of(ids.ravel().take(wanted)), klass, cuts, heads)
+    part = np.float32(1 / max(1, len(own)))
+    both = z.reshape(-1, BRANCHES)
+    both *= (part / sums).reshape(-1, 1)
+    for at in spots(klass):
+        z.ravel()[at] -= part
+    g = {"c": np.zeros_like(p["c"]), "b": np.zeros_like(p["b"]), "d": np.empty_like(p["d"]), "f": np.empty_like(p["f"])}
+    back, turned = np.zeros((len(own) + 1, WIDTH), np.float32), np.ascontiguousarray(heads[0].transpose(0, 2, 1)) / BITS
     for i in range(GROUPS):
         some = slice(cuts[i], cuts[i + 1])
-        g["d"][i], g["f"][i] = own[some].T @ inner[some], one[: cuts[i + 1] - cuts[i]] @ inner[some]
-        back[some] += inner[some] @ p["d"][i].T
-    dx = np.zeros_like(h)
-    flat(dx)[wanted] = back
-    g["o"] = flat(o).T @ flat(dx)
-    do = (flat(dx) @ p["o"].T).reshape(dx.shape)
+        np.matmul(z[some], turned[i], out=back[some])
+        w, sums = own[some].T @ z[some], ONES[: cuts[i + 1] - cuts[i]] @ z[some] if cuts[i + 1] - cuts[i] <= len(ONES) else z[some].sum(0)
+        g["c"] += w[:, :GROUPS]
+        g["b"] += sums[:GROUPS]
+        g["d"][i], g["f"][i] = w[:, GROUPS:], sums[GROUPS:]
+    place = np.full(target.size, len(own))  # of places that don't count: the last row, zeros
+    place[wanted] = np.arange(len(own))
+    dx = back.take(place, axis=0)
+    # of a power of two, the slope is 1 / BITS of its own
+    scale = np.repeat(np.array([1 / BITS, 1 / BITS, 1], np.float32), WIDTH)
+    turned, joint = np.ascontiguousarray(p["o"].T), np.ascontiguousarray((model.joint() * scale).T)
+    g["o"] = crossed(flat(o), dx)
+    do = product(dx, turned).reshape(x.shape)
     do *= part_of  # weights are s times this, so s needn't be divided
-    ds = do @ v.transpose(0, 2, 1)
-    ds -= (flat(do * o) @ one[:WIDTH]).reshape(*ds.shape[:2], 1)  # o is the weights @ v, so this is what their row sum takes off
+    ds = do @ np.ascontiguousarray(v.transpose(0, 2, 1))
+    ds -= (flat(do * o) @ ONES[:WIDTH]).reshape(*x.shape[:2], 1)  # o is the weights @ v, so this is what their row sum takes off
     ds *= s
-    three = np.empty((*ids.shape, 3 * WIDTH), np.float32)
+    three = np.empty((*x.shape[:2], 3 * WIDTH), np.float32)
     np.matmul(ds, k, out=three[:, :, :WIDTH])
     np.matmul(ds.transpose(0, 2, 1), q, out=three[:, :, WIDTH : 2 * WIDTH])
     np.matmul(s.transpose(0, 2, 1), do, out=three[:, :, 2 * WIDTH :])
-    dx += (flat(three) @ model.joint().T).reshape(dx.shape)
-    g["q"], g["k"], g["v"] = np.split(flat(x).T @ flat(three), 3, axis=1)
-    g["q"] = g["q"] * np.float32(WIDTH**-0.5)
-    g["pos"] = dx.sum(0)
-    g["e"] = np.zeros_like(p["e"])
-    symbols = model.symbol.take(ids).ravel()
-    order = np.argsort(symbols.astype(np.uint16), kind="stable")
-    first = np.flatnonzero(np.diff(symbols.take(order), prepend=-1))
-    g["e"][symbols[order[first]]] = np.add.reduceat(flat(dx).take(order, axis=0), first)
+    dx += product(flat(three), joint)
+    qkv = crossed(flat(x), flat(three))
+    g["pos"] = dx.reshape(x.shape).sum(0)
+    g["q"], g["k"], g["v"] = np.split(qkv * scale, 3, axis=1)
+    g["q"] = g["q"] * (np.float32(WIDTH**-0.5) * BITS)
+    g["e"] = np.zeros(p["e"].shape, np.float32)
+    np.add.at(g["e"].ravel(), (model.symbol.take(ids).reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel(), dx.ravel())
     return g
 
 
-def by_group(klass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bounded(z: np.ndarray, least: np.float32 | None = None) -> np.ndarray:
+    """Exponents at most TOP, and not under ``least``: they seldom are, which one look tells."""
+    if z.size and z.max() > TOP:
+        np.minimum(z, TOP, out=z)
+    if least is not None and z.size and z.min() < least:
+        np.maximum(z, least, out=z)
+    return z
+
+
+def product(x: np.ndarray, w: np.ndarray, out: np.ndarray | None = None, block: int = 1024) -> np.ndarray:
+    """x @ w in blocks of rows: BLAS takes small products as they are, without copies."""
+    out, cut = np.empty((len(x), w.shape[1]), np.float32) if out is None else out, len(x) // block * block
+    np.matmul(x[:cut].reshape(-1, block, x.shape[1]), w, out=out[:cut].reshape(-1, block, w.shape[1]))
+    np.matmul(x[cut:], w, out=out[cut:])
+    return out
+
+
+def crossed(x: np.ndarray, y: np.ndarray, block: int = 512) -> np.ndarray:
+    """x.T @ y, as ``product``."""
+    cut = len(x) // block * block
+    return np.matmul(x[:cut].reshape(-1, block, x.shape[1]).transpose(0, 2, 1), y[:cut].reshape(-1, block, y.shape[1])).sum(0) + x[cut:].T @ y[cut:]
+
+
+def by_group(klass: np.ndarray) -> tuple[np.ndarray, list[int]]:
     """Order of rows by their classes' groups, and where each group begins and ends."""
-    group = (klass // BRANCHES).astype(np.uint8)
-    return np.argsort(group, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))])
+    group = (klass >> SHIFT).astype(np.uint8)
+    return np.argsort(group, kind="stable"), [0, *np.cumsum(np.bincount(group, minlength=GROUPS)).tolist()]
 
 
-def spots(column: np.ndarray, width: int) -> np.ndarray:
-    """Flat places of one column a row."""
-    return np.arange(len(column)) * width + column
+def spots(klass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Flat places of each row's group and class in what ``outputs`` makes."""
+    lo = np.arange(0, len(klass) * (GROUPS + BRANCHES), GROUPS + BRANCHES)
+    return lo + (klass >> SHIFT), lo + ((klass & BRANCHES - 1) + GROUPS)
 
 
 def context_keys(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -455,6 +500,7 @@ def train_on_all(model: Model, rows: DataFrame, batch: int = 256, rate: float =
         hold()
         start = shared.value
         own = Model(start.end, start.symbol, start.klass, start.within, start.prior, start.inner, {n: w.copy() for n, w in start.p.items()})
+        klass = np.append(own.klass, -1)  # the last one is that of no target
         adam, rng, seen, kept, waiting = Adam(own.p), np.random.default_rng(7), 0, [], 0
 
         def learn():
@@ -463,9 +509,9 @@ def train_on_all(model: Model, rows: DataFrame, batch: int = 256, rate: float =
             order = rng.permutation(len(x))
             for lo in range(0, len(x), batch):
                 some = order[lo : lo + batch]
-                want = y[some]
+                want = klass[y.take(some, axis=0)]
                 # a last, small batch moves the model by its share
-                adam.step(gradients(own, x[some], np.where(want >= 0, own.klass[want], -1)), rate * len(some) / batch)
+                adam.step(gradients(own, x.take(some, axis=0), want), rate * len(some) / batch)
                 seen += int((want >= 0).sum())
             kept.clear()
 
@@ -494,8 +540,181 @@ def train_on_all(model: Model, rows: DataFrame, batch: int = 256, rate: float =
     return Model(model.end, model.symbol, model.klass, model.within, model.prior, model.inner, p, model.follows)
 
 
-def encoded(rows: DataFrame, path: str, pattern: str, end: int) -> DataFrame:
-    """``rows`` (doc_id, text, held_out) with their ids as ``id_type`` says."""
+class Seen:
+    """Numbers of byte strings, in the order in which they are met, by 64-bit hashes: up to ``LONG`` bytes sums of random numbers by place and byte, else xxh3."""
+
+    LONG, FREE, BITS = 64, -1, 21  # 2 ** BITS slots
+    RANDOM = np.random.default_rng(11).integers(0, 2**64, LONG * 256, np.uint64)
+
+    def clear(self) -> None:
+        self.known, slots = 0, (1 << self.BITS) + (1 << self.BITS - 1)  # no string is looked for beyond the last
+        self.keys, self.places = np.zeros(slots, np.uint64), np.full(slots, self.FREE, np.int32)
+
+    def hashes_of(self, raw: bytes, first: np.ndarray, size: np.ndarray, random: np.ndarray) -> np.ndarray:
+        """Hashes of strings that begin at ``first``, from where to the next one's begin nothing else has a random number."""
+        import xxhash
+
+        b = np.frombuffer(raw, np.uint8)[first[0] :]
+        at = np.arange(len(b)) - np.repeat(first - first[0], np.diff(first, append=len(raw)))
+        at &= self.LONG - 1
+        at <<= 8
+        at += b
+        h = np.add.reduceat(random.take(at), first - first[0])
+        for i in np.flatnonzero(size > self.LONG).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(raw[first[i] : first[i] + size[i]])
+        return h
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The slots of hashes, free ones if they aren't there."""
+        slot = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
+        miss = np.flatnonzero(self.keys.take(slot) != h)
+        while len(miss):
+            miss = miss[self.places.take(slot.take(miss)) != self.FREE]
+            slot[miss] += 1
+            miss = miss[self.keys.take(slot.take(miss)) != h.take(miss)]
+        return slot
+
+    def number(self, raw: bytes, first: np.ndarray, size: np.ndarray, random: np.ndarray) -> np.ndarray:
+        """Numbers of strings; ``fill`` gets those that are new."""
+        h = self.hashes_of(raw, first, size, random)
+        slot = self.find(h)
+        if len(miss := np.flatnonzero(self.places.take(slot) == self.FREE)):
+            new, at = np.unique(h[miss], return_index=True)
+            place, left = np.arange(self.known, self.known + len(new), dtype=np.int32), np.arange(len(new))
+            while len(left):
+                free = self.find(new[left])
+                self.keys[free], self.places[free] = new[left], place[left]
+                left = left[self.places[free] != place[left]]  # of several for one slot, one has it
+            begin = first[miss[at]]
+            self.fill([raw[lo:hi] for lo, hi in zip(begin.tolist(), (begin + size[miss[at]]).tolist(), strict=True)])
+            slot[miss] = self.find(h[miss])
+        return self.places.take(slot)
+
+
+class Parts(Seen):
+    """Ids and word counts of texts by their parts between certain boundaries (see ``bpe``), each encoded once while it is kept.
+
+    A part begins with its space, the first of a text with a line feed in front of it.
+    What can be seen from the bytes around a space decides whether it is taken for a
+    certain boundary; a part may hold others.
+    """
+
+    BEFORE, AFTER = np.arange(256) > 32, np.arange(256) > 32
+    AFTER[[0xC2, 0xE1, 0xE2, 0xE3]] = False  # what may begin a white letter
+
+    def __init__(self, encoder, kind: str, most: int = 1_000_000):
+        self.encoder, self.kind, self.most = encoder, kind, most
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.n_ids, self.n_words, self.ids = 0, 0, np.zeros(0, self.kind)
+        self.first, self.size, self.counts, self.owner, self.hashes = (np.zeros(0, np.int64) for _ in range(5))  # the last two: words
+
+    def cut(self, raw: bytes, starts: np.ndarray) -> np.ndarray:
+        """Where parts begin."""
+        b = np.frombuffer(raw, np.uint8)
+        p = np.flatnonzero(b[:-1] == 32)  # not the first byte, which is a line feed
+        last, lead = b.take(p - 1), b.take(np.maximum(p - 2, 0))
+        two = (lead >= 0xC3) & (lead < 0xE0)  # a letter of two bytes, of which those with 0xC2 may be white
+        p = p[self.BEFORE.take(last) & ((last < 128) | two) & self.AFTER.take(b.take(p + 1))]
+        begins = np.zeros(len(b), bool)
+        begins[p] = begins[starts] = True
+        return np.flatnonzero(begins)
+
+    def encode(self, texts: list[str], counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one after the other, and how many each has; words are counted in texts where ``counted`` is true."""
+        coded = [t.encode() for t in texts]
+        raw, sizes = b"\n" + b"\n".join(coded), np.array([len(t) + 1 for t in coded])
+        starts = np.cumsum(sizes) - sizes
+        first = self.cut(raw, starts)
+        parts = self.number(raw, first, np.diff(first, append=len(raw)), self.RANDOM)
+        texts_first = np.searchsorted(first, starts)
+        owner = np.repeat(np.arange(len(texts)), np.diff(texts_first, append=len(first)))
+        counts = np.bincount(parts[counted[owner]], minlength=self.known)
+        counts[: len(self.counts)] += self.counts
+        self.counts = counts
+        size = self.size.take(parts)
+        return self.ids.take(stretches(self.first.take(parts), size)), np.bincount(owner, size, len(texts)).astype(np.int64)
+
+    def fill(self, new: list[bytes]) -> None:
+        """Encode new parts."""
+        import xxhash
+
+        keys = [key.decode() for key in new]
+        white, plain, single = [i for i, key in enumerate(keys) if key.split() != [key[1:]] or key[0] != " "], np.ones(len(keys), bool), np.ones(len(keys), bool)
+        single[white], alone, ids_alone, words, owner = False, [], [], [], []
+        for i in white:
+            if (key := keys[i])[0] != " " or " " in key[1:] or key[-1].isspace():
+                alone.append(i)
+                ids_alone.append(self.encoder(key.removeprefix("\n")))
+            words += (own := key.encode().lower().split())
+            owner += [i] * len(own)
+        plain[alone] = False
+        ids = self.encoder("".join(compress(keys, plain.tolist())))  # each begins with a space and has no other
+        words += "".join(compress(keys, single.tolist())).encode().lower().split()
+        size = np.zeros(len(keys), np.int64)
+        size[plain] = np.diff(np.flatnonzero(self.encoder.spaced[ids]), append=len(ids))
+        size[alone] = [len(own) for own in ids_alone]
+        first, new = np.cumsum(size) - size, np.empty(size.sum(), self.kind)
+        new[stretches(first[plain], size[plain])] = ids
+        if alone:
+            new[stretches(first[alone], size[alone])] = np.concatenate(ids_alone)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+        owner = np.concatenate([np.array(owner, np.int64), np.flatnonzero(single)])
+        self.first, self.size = put(self.first, self.known, first + self.n_ids), put(self.size, self.known, size)
+        self.owner, self.hashes = put(self.owner, self.n_words, owner + self.known), put(self.hashes, self.n_words, hashes)
+        self.ids = put(self.ids, self.n_ids, new)
+        self.known, self.n_ids, self.n_words = self.known + len(keys), self.n_ids + len(new), self.n_words + len(words)
+
+    def full(self) -> bool:
+        return self.known > self.most or self.n_ids > 16 * self.most
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and counts of the words counted since the last call; where there are too many parts, they are forgotten."""
+        self.counts = put(self.counts, len(self.counts), np.zeros(self.known - len(self.counts), np.int64))[: self.known]
+        c = self.counts[self.owner[: self.n_words]]
+        h, at = np.unique(self.hashes[: self.n_words][c > 0], return_inverse=True)
+        counts = np.bincount(at, c[c > 0], len(h)).astype(np.int64)
+        self.counts = np.zeros(0, np.int64)
+        if self.full():
+            self.clear()
+        return h, counts
+
+
+@cache
+def kept_parts(path: str, pattern: str, kind: str) -> Parts:
+    """Made once in a Python worker, as the encoder: later tasks find the parts that earlier ones met."""
+    return Parts(rank_encoder(path, pattern), kind)
+
+
+def put(array: np.ndarray, at: int, new: np.ndarray) -> np.ndarray:
+    """The array with ``new`` from ``at`` on; one that is too short gets twice the room."""
+    if at + len(new) > len(array):
+        array = np.concatenate([array[:at], np.zeros(at + 2 * len(new), array.dtype)])
+    array[at : at + len(new)] = new
+    return array
+
+
+def stretches(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of stretches, one after the other."""
+    return np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+
+
+def short(text: str, held: int) -> list[str]:
+    """A text cut at certain boundaries, after ``held`` characters or more each."""
+    out, lo = [], 0
+    while len(text) - lo > held and (p := _boundary(text, lo + held, len(text), last=False)) >= 0:
+        out.append(text[lo:p])
+        lo = p
+    return [*out, text[lo:]]
+
+
+def encoded(rows: DataFrame, path: str, pattern: str, end: int, held: int = 1 << 19) -> DataFrame:
+    """``rows`` (doc_id, text, held_out) with their ids as ``id_type`` says, and rows of words (h, c) of those to learn from.
+
+    Both are made in one pass over the texts, about ``held`` characters at a time.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -503,11 +722,35 @@ def encoded(rows: DataFrame, path: str, pattern: str, end: int) -> DataFrame:
         encoder, kind = rank_encoder(path, pattern), id_type(end)
         if len(encoder.sizes) > end:
             raise ValueError(f"ids of {path} reach the end's, {end}")
+        parts, names = kept_parts(path, pattern, kind), ["doc_id", "text", "held_out", "ids", "h", "c"]
+        nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.bool_(), pa.binary())]
+
+        parts.counts = np.zeros(0, np.int64)  # a task that failed may have left some
+
+        def counts():
+            h, c = parts.words()
+            for lo in range(0, len(h), 1 << 16):
+                yield pa.RecordBatch.from_arrays([*nothing, *[pa.array([x[lo : lo + (1 << 16)].astype("<i8").tobytes()], pa.binary()) for x in (h, c)]], names)
+
         for batch in pieces(batches):
-            ids = [encoder(t or "").astype(kind, copy=False).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], ["doc_id", "text", "held_out", "ids"])
+            cut = [short(t or "", held) for t in batch.column(1).to_pylist()]
+            texts, owner = [t for own in cut for t in own], np.repeat(np.arange(len(cut)), [len(own) for own in cut])
+            counted = np.array([on is False for on in batch.column(2).to_pylist()])[owner]
+            ends, coded, lo = np.cumsum([len(t) for t in texts]), [], 0
+            while lo < len(texts):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + held, "right")))
+                coded.append(parts.encode(texts[lo:hi], counted[lo:hi]))
+                if parts.full():
+                    yield from counts()
+                lo = hi
+            ids, sizes = (np.concatenate(c) for c in zip(*coded, strict=True))
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, sizes, len(cut)).astype(np.int64))]) * ids.itemsize
+            column = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, column, *[pa.nulls(len(cut), pa.binary())] * 2], names)
+        yield from counts()
+        trim()
 
-    return rows.mapInArrow(run, "doc_id long, text string, held_out boolean, ids binary")
+    return rows.mapInArrow(run, "doc_id long, text string, held_out boolean, ids binary, h binary, c binary")
 
 
 def training_windows(rows: DataFrame, end: int, max_docs: int, max_windows: int) -> np.ndarray:
@@ -533,59 +776,76 @@ def training_windows(rows: DataFrame, end: int, max_docs: int, max_windows: int)
     return np.frombuffer(b"".join(sorted(bytes(r.windows) for r in got)), "<u4").reshape(-1, WINDOW + 1).astype(np.int64)
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """(h, c): hash and count of every word of the rows."""
+def word_counts(coded: DataFrame) -> DataFrame:
+    """(h, c): hash and count of every word, of the rows of words that ``encoded`` made."""
 
     def run(batches):
         import pyarrow as pa
-        import xxhash
 
-        counts: Counter = Counter()
+        for batch in batches:
+            for own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, "<i8")) for x in own], ["h", "c"])
 
-        def out():
-            h = np.fromiter(map(xxhash.xxh3_64_intdigest, counts), np.uint64, len(counts)).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(counts.values(), pa.int64())], ["h", "c"])
+    return coded.filter("h is not null").select("h", "c").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
-        for batch in pieces(batches):
-            for t in batch.column(0).to_pylist():
-                if t:
-                    counts.update(t.encode().lower().split())
-            if len(counts) > 300_000:
-                yield out()
-                counts.clear()
-        yield out()
 
-    return rows.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+class Words(Seen):
+    """What a table of logs by hash says of words, looked up once while they are kept."""
+
+    WHITE = np.isin(np.arange(256), [32, *range(9, 14)])
+    RANDOM = np.where(WHITE[np.arange(len(Seen.RANDOM)) % 256], np.uint64(0), Seen.RANDOM)
+
+    def __init__(self, logs: Table, most: int = 500_000):
+        self.logs, self.most = logs, most
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.codes, self.values, self.hits = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool)
+
+    def fill(self, new: list[bytes]) -> None:
+        import xxhash
+
+        codes = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new)).view(np.int64)
+        slot = self.logs.find(codes)
+        self.codes, self.values, self.hits = (put(old, self.known, x) for old, x in ((self.codes, codes), (self.values, self.logs.value.take(slot)), (self.hits, self.logs.full.take(slot))))
+        self.known += len(new)
+
+    def look_up(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+        """Owners, hashes, logs of all words and whether there are any, text by text."""
+        coded = [(t or "").encode().lower() for t in texts]
+        raw = b"\n".join([*coded, b""])
+        white = self.WHITE.take(np.frombuffer(raw, np.uint8))
+        first, end = np.flatnonzero(np.concatenate([[True], white[:-1]]) & ~white), np.flatnonzero(white & ~np.concatenate([[True], white[:-1]]))
+        if not len(first):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool)
+        at = self.number(raw, first, end - first, self.RANDOM)
+        owner = np.searchsorted(first, np.cumsum([len(t) + 1 for t in coded]))  # words up to each text's end
+        out = np.repeat(np.arange(len(texts)), np.diff(owner, prepend=0)), self.codes.take(at), self.values.take(at), self.hits.take(at)
+        if self.known > self.most:
+            self.clear()
+        return out
 
 
 def words_of(texts: list[str | None], logs: Table, held: int = 1 << 18):
     """By text: its words, how many of them ``logs`` has, the sum of their logs; lists of the other words' hashes and counts.
 
-    About ``held`` words are looked up at a time.
+    About ``held`` characters are looked up at a time.
     """
     import pyarrow as pa
-    import xxhash
 
     size, known, base = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts))
-    waiting, others, first = [], [], 0
-
-    def look_up(end: int):
-        h, owner = np.concatenate(waiting), np.repeat(np.arange(first, end), size[first:end])
-        slot = logs.find(h)
-        hit = logs.full.take(slot)
-        np.add(known, np.bincount(owner, hit, len(texts)).astype(np.int64), out=known)
-        np.add(base, np.bincount(owner, logs.value.take(slot), len(texts)), out=base)
-        others.append((owner[~hit], h[~hit]))
-        waiting.clear()
-
-    for i, t in enumerate(texts):
-        words = (t or "").encode().lower().split()
-        size[i] = len(words)
-        waiting.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64))
-        if i + 1 == len(texts) or size[first : i + 1].sum() >= held:
-            look_up(i + 1)
-            first = i + 1
-    owner, h = (np.concatenate(c) for c in zip(*others, strict=True)) if others else (np.zeros(0, np.int64),) * 2
+    others, lo = [(np.zeros(0, np.int64),) * 2], 0
+    if logs.words is None:
+        logs.words = Words(logs)
+    ends = np.cumsum([len(t or "") for t in texts])
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + held, "right")))
+        owner, h, value, hit = logs.words.look_up(texts[lo:hi])
+        size[lo:hi], known[lo:hi], base[lo:hi] = (np.bincount(owner, w, hi - lo) for w in (None, hit, value))
+        others.append((owner[~hit] + lo, h[~hit]))
+        lo = hi
+    owner, h = (np.concatenate(c) for c in zip(*others, strict=True))
     order = np.lexsort((h, owner))
     owner, h = owner[order], h[order]
     start = np.flatnonzero(np.diff(owner, prepend=-1).astype(bool) | np.diff(h, prepend=0).astype(bool))
@@ -604,9 +864,10 @@ def score(docs: DataFrame, path: str, pattern: str, held_out, key: str = "doc_id
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("held_out", held_out)
-    rows = stored(encoded(rows, path, pattern, end), "ids")
+    coded = stored(encoded(rows, path, pattern, end), "ids")
+    rows = coded.filter("h is null").drop("h", "c")
     training = rows.filter(~F.col("held_out"))
-    counts = stored(word_counts(training), "words")
+    counts = stored(word_counts(coded), "words")
     ends = training.count()
     sums = counts.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
     n, v = (sums.n or 0) + ends, sums.v + (ends > 0)
@@ -639,7 +900,7 @@ def score(docs: DataFrame, path: str, pattern: str, held_out, key: str = "doc_id
     out = stored(rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, h array<long>, tf array<long>").withColumn("rid", F.monotonically_increasing_id()), "scores")
     rest = out.select("rid", F.explode(F.arrays_zip("h", "tf")).alias("w")).select("rid", "w.h", "w.tf")
     c = F.coalesce("c", F.lit(0))
-    judged = rest.join(counts, "h", "left").groupBy("rid").agg(F.sum(F.col("tf") * (F.log10(c + 0.1) - float(scale))).alias("more"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("found"))
+    judged = rest.join(counts.hint("shuffle_hash"), "h", "left").groupBy("rid").agg(F.sum(F.col("tf") * (F.log10(c + 0.1) - float(scale))).alias("more"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("found"))
     return out.drop("h", "tf").join(judged, "rid", "left").select(
         "doc_id",
         "held_out",

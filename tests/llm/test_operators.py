@@ -391,6 +391,50 @@ def test_lm_tables_find_each_key_and_words_are_counted_by_text():
             assert dict(zip(h[i].as_py(), tf[i].as_py(), strict=True)) == {code(w): words.count(w) for w in words if w not in (b"a", b"cat")}
 
 
+def test_lm_parts_give_ids_and_words_and_are_encoded_once():
+    import xxhash
+
+    from kinfold.llm.bpe import rank_encoder
+
+    own, seen, rng = rank_encoder(RANKS, PATTERN), [], random.Random(8)
+
+    class Seen:
+        spaced = own.spaced
+
+        def __call__(self, text):
+            seen.append(text)
+            return own(text)
+
+    some = [" ", "  ", "\n", " \n", "\t", "a", "B", "don't", "'s", "\u00e9", "\u4e2d", "12", "\x1c", "\x85", "\u3000", "\xa0", "the", "\u2026", "\u0130", "|", " The ", " cat", "x" * 70]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randrange(14))) for _ in range(3000)] + ["", " ", "  ", "\n", " a", "a ", "a  b", "cat cat"]
+    for most in (1_000_000, 50):  # parts are kept, and forgotten on the way
+        parts, counts = lm.Parts(Seen(), "<u2", most), {}
+
+        def words():
+            for h, c in zip(*(x.tolist() for x in parts.words()), strict=True):
+                counts[h] = counts.get(h, 0) + c
+
+        for lo in range(0, len(texts), 100):
+            batch, on = texts[lo : lo + 100], np.arange(lo, min(lo + 100, len(texts))) % 3 > 0
+            ids, sizes = parts.encode(batch, on)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [own(t).tolist() for t in batch]
+            if parts.full():
+                words()
+        words()
+        want = {}
+        for i, t in enumerate(texts):
+            for w in t.encode().lower().split() if i % 3 else []:
+                h = int(np.uint64(xxhash.xxh3_64_intdigest(w)).view(np.int64))
+                want[h] = want.get(h, 0) + 1
+        assert counts == want
+        if most > len(texts):
+            seen.clear()
+            parts.encode(texts, np.ones(len(texts), bool))
+            assert not "".join(seen)
+    for t in texts:
+        assert "".join(cut := lm.short(t, 5)) == t and [i for c in cut for i in own(c)] == own(t).tolist()
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     words = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)]
