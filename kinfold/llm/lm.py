@@ -50,7 +50,7 @@ class Table:
     """Values by key: a key stands in the first free slot from that of its hash on, and at most half of the slots are taken."""
 
     def __init__(self, key: np.ndarray, value: np.ndarray):
-        self.bits, self.words = max(1, int(2 * len(key)).bit_length()), None
+        self.bits = max(1, int(2 * len(key)).bit_length())
         at, rank = self.bucket(key), np.arange(len(key))
         order = np.argsort(at, kind="stable")
         place = np.maximum.accumulate(at[order] - rank) + rank
@@ -550,16 +550,16 @@ class Seen:
         self.known, slots = 0, (1 << self.BITS) + (1 << self.BITS - 1)  # no string is looked for beyond the last
         self.keys, self.places = np.zeros(slots, np.uint64), np.full(slots, self.FREE, np.int32)
 
-    def hashes_of(self, raw: bytes, first: np.ndarray, size: np.ndarray, random: np.ndarray) -> np.ndarray:
-        """Hashes of strings that begin at ``first``, from where to the next one's begin nothing else has a random number."""
+    def hashes_of(self, raw: bytes, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Hashes of strings that begin at ``first``, one after the other."""
         import xxhash
 
         b = np.frombuffer(raw, np.uint8)[first[0] :]
         at = np.arange(len(b)) - np.repeat(first - first[0], np.diff(first, append=len(raw)))
-        at &= self.LONG - 1
+        at &= self.LONG - 1  # longer ones get another hash below
         at <<= 8
         at += b
-        h = np.add.reduceat(random.take(at), first - first[0])
+        h = np.add.reduceat(self.RANDOM.take(at), first - first[0])
         for i in np.flatnonzero(size > self.LONG).tolist():
             h[i] = xxhash.xxh3_64_intdigest(raw[first[i] : first[i] + size[i]])
         return h
@@ -574,9 +574,9 @@ class Seen:
             miss = miss[self.keys.take(slot.take(miss)) != h.take(miss)]
         return slot
 
-    def number(self, raw: bytes, first: np.ndarray, size: np.ndarray, random: np.ndarray) -> np.ndarray:
+    def number(self, raw: bytes, first: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Numbers of strings; ``fill`` gets those that are new."""
-        h = self.hashes_of(raw, first, size, random)
+        h = self.hashes_of(raw, first, size)
         slot = self.find(h)
         if len(miss := np.flatnonzero(self.places.take(slot) == self.FREE)):
             new, at = np.unique(h[miss], return_index=True)
@@ -628,7 +628,7 @@ class Parts(Seen):
         raw, sizes = b"\n" + b"\n".join(coded), np.array([len(t) + 1 for t in coded])
         starts = np.cumsum(sizes) - sizes
         first = self.cut(raw, starts)
-        parts = self.number(raw, first, np.diff(first, append=len(raw)), self.RANDOM)
+        parts = self.number(raw, first, np.diff(first, append=len(raw)))
         texts_first = np.searchsorted(first, starts)
         owner = np.repeat(np.arange(len(texts)), np.diff(texts_first, append=len(first)))
         counts = np.bincount(parts[counted[owner]], minlength=self.known)
@@ -789,63 +789,34 @@ def word_counts(coded: DataFrame) -> DataFrame:
     return coded.filter("h is not null").select("h", "c").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-class Words(Seen):
-    """What a table of logs by hash says of words, looked up once while they are kept."""
-
-    WHITE = np.isin(np.arange(256), [32, *range(9, 14)])
-    RANDOM = np.where(WHITE[np.arange(len(Seen.RANDOM)) % 256], np.uint64(0), Seen.RANDOM)
-
-    def __init__(self, logs: Table, most: int = 500_000):
-        self.logs, self.most = logs, most
-        self.clear()
-
-    def clear(self) -> None:
-        super().clear()
-        self.codes, self.values, self.hits = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool)
-
-    def fill(self, new: list[bytes]) -> None:
-        import xxhash
-
-        codes = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new)).view(np.int64)
-        slot = self.logs.find(codes)
-        self.codes, self.values, self.hits = (put(old, self.known, x) for old, x in ((self.codes, codes), (self.values, self.logs.value.take(slot)), (self.hits, self.logs.full.take(slot))))
-        self.known += len(new)
-
-    def look_up(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
-        """Owners, hashes, logs of all words and whether there are any, text by text."""
-        coded = [(t or "").encode().lower() for t in texts]
-        raw = b"\n".join([*coded, b""])
-        white = self.WHITE.take(np.frombuffer(raw, np.uint8))
-        first, end = np.flatnonzero(np.concatenate([[True], white[:-1]]) & ~white), np.flatnonzero(white & ~np.concatenate([[True], white[:-1]]))
-        if not len(first):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool)
-        at = self.number(raw, first, end - first, self.RANDOM)
-        owner = np.searchsorted(first, np.cumsum([len(t) + 1 for t in coded]))  # words up to each text's end
-        out = np.repeat(np.arange(len(texts)), np.diff(owner, prepend=0)), self.codes.take(at), self.values.take(at), self.hits.take(at)
-        if self.known > self.most:
-            self.clear()
-        return out
-
-
 def words_of(texts: list[str | None], logs: Table, held: int = 1 << 18):
     """By text: its words, how many of them ``logs`` has, the sum of their logs; lists of the other words' hashes and counts.
 
-    About ``held`` characters are looked up at a time.
+    About ``held`` words are looked up at a time.
     """
     import pyarrow as pa
+    import xxhash
 
     size, known, base = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts))
-    others, lo = [(np.zeros(0, np.int64),) * 2], 0
-    if logs.words is None:
-        logs.words = Words(logs)
-    ends = np.cumsum([len(t or "") for t in texts])
-    while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + held, "right")))
-        owner, h, value, hit = logs.words.look_up(texts[lo:hi])
-        size[lo:hi], known[lo:hi], base[lo:hi] = (np.bincount(owner, w, hi - lo) for w in (None, hit, value))
-        others.append((owner[~hit] + lo, h[~hit]))
-        lo = hi
-    owner, h = (np.concatenate(c) for c in zip(*others, strict=True))
+    waiting, others, first = [], [], 0
+
+    def look_up(end: int):
+        h, owner = np.concatenate(waiting), np.repeat(np.arange(first, end), size[first:end])
+        slot = logs.find(h)
+        hit = logs.full.take(slot)
+        np.add(known, np.bincount(owner, hit, len(texts)).astype(np.int64), out=known)
+        np.add(base, np.bincount(owner, logs.value.take(slot), len(texts)), out=base)
+        others.append((owner[~hit], h[~hit]))
+        waiting.clear()
+
+    for i, t in enumerate(texts):
+        words = (t or "").encode().lower().split()
+        size[i] = len(words)
+        waiting.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64))
+        if i + 1 == len(texts) or size[first : i + 1].sum() >= held:
+            look_up(i + 1)
+            first = i + 1
+    owner, h = (np.concatenate(c) for c in zip(*others, strict=True)) if others else (np.zeros(0, np.int64),) * 2
     order = np.lexsort((h, owner))
     owner, h = owner[order], h[order]
     start = np.flatnonzero(np.diff(owner, prepend=-1).astype(bool) | np.diff(h, prepend=0).astype(bool))
