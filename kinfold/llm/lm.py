@@ -497,6 +497,7 @@ def train_on_all(model: Model, rows: DataFrame, batch: int = 256, rate: float =
     def run(batches):
         import pyarrow as pa
 
+        kept_parts.cache_clear()  # nothing is encoded any more
         hold()
         start = shared.value
         own = Model(start.end, start.symbol, start.klass, start.within, start.prior, start.inner, {n: w.copy() for n, w in start.p.items()})
@@ -859,6 +860,7 @@ def score(docs: DataFrame, path: str, pattern: str, held_out, key: str = "doc_id
     def run(batches):
         import pyarrow as pa
 
+        kept_parts.cache_clear()
         hold()
         lm, logs = shared.value
         for batch in pieces(batches, 64):
