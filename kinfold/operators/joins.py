@@ -69,6 +69,57 @@ def hamming_pairs(hashes: DataFrame, most: int, key: str = "id", hash_col: str =
     return meet.repartition(tasks, "x", "y").groupBy("x", "y").applyInArrow(_near(most, forest), "a long, b long, dist long")
 
 
+def _agree(kinds: list[str], most: int, least: int):
+    """applyInArrow function: (x, y, block, kinds..., rep) of two blocks to links (a, b) across them, or within one if x = y."""
+
+    def run(table):
+        import pyarrow as pa
+
+        table = table.combine_chunks()
+        block, rep = (table[c].to_numpy() for c in ("block", "rep"))
+        has = [table[k].is_valid().to_numpy() for k in kinds]
+        hashes = [table[k].fill_null(0).to_numpy().view(np.uint64) for k in kinds]
+        first = block == table["x"][0].as_py()
+        left, right = np.flatnonzero(first), np.flatnonzero(first if table["x"][0] == table["y"][0] else ~first)
+        part, found = np.arange(len(rep)), []
+        for k in range(len(kinds) - least + 1):  # with one vote less than ``least`` among the others, no pair has enough
+            one, other = left[has[k][left]], right[has[k][right]]
+            for i, j in near(hashes[k][one], hashes[k][other], most):
+                i, j = one[i], other[j]
+                i, j = (x[part[i] != part[j]] for x in (i, j))
+                votes = np.zeros(len(i), np.int64)
+                for h, known in zip(hashes, has, strict=True):
+                    votes += (np.bitwise_count(h[i] ^ h[j]) <= most) & known[i] & known[j]
+                for x, y in zip(i[votes >= least].tolist(), j[votes >= least].tolist(), strict=True):
+                    if part[x] != part[y]:
+                        part[part == part[y]] = part[x]
+                        found.append((x, y))
+        i, j = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j])})
+
+    return run
+
+
+def agreeing_links(rows: DataFrame, kinds: list[str], most: int, least: int, key: str = "id", block: int = 1 << 15) -> DataFrame:
+    """Links (a, b) that join all keys whose hashes of at least ``least`` kinds differ in at most ``most`` bits; exact, for components.
+
+    Rows of equal hashes are linked by stars. The distinct ones meet in blocks,
+    as in ``hamming_pairs``; of the links of two blocks only so many are kept as
+    join the same keys, so no pairs are made.
+    """
+    known = sum((F.col(k).isNotNull().cast("int") for k in kinds), F.lit(0))
+    rows = rows.filter((known >= least) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), *[F.col(k).cast("long").alias(k) for k in kinds])
+    groups = stored(rows.groupBy(*kinds).agg(F.min("id").alias("rep"), F.count("*").alias("n")), "hashes")
+    n = groups.count()
+    blocks = max(-(-n // block), min(12, 1 + n // 1024))
+    dealt = groups.withColumn("block", F.pmod(F.xxhash64(*kinds), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    meet = dealt.select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", *kinds, "rep")
+    across = meet.repartition(min(blocks * (blocks + 1) // 2, 2000), "x", "y").groupBy("x", "y").applyInArrow(_agree(kinds, most, least), "a long, b long")
+    several, left = groups.filter("n > 1").alias("g"), rows.alias("r")
+    same = left.join(several, [F.col(f"r.{k}").eqNullSafe(F.col(f"g.{k}")) for k in kinds]).filter("id != rep")
+    return across.unionByName(same.select(F.col("rep").alias("a"), F.col("id").alias("b")))
+
+
 def close_pairs(hashes: DataFrame, most: int, key: str = "id", hash_col: str = "fp") -> DataFrame:
     """All pairs (a, b, dist) of keys within ``most`` bits, those of equal hashes too; for reports and votes, not for groups."""
     across = hamming_pairs(hashes, most, key, hash_col)

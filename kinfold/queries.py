@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -436,9 +437,10 @@ def scan_smart(spark, d):
     """A whole smart scan over virtual files whose three perceptual hashes are SimHashes of their text."""
     files = vf(spark, d)
     own = files.select("id", F.col("content").cast("string").alias("text"))
-    for name, kind in (("ahash", "words"), ("phash", "pairs"), ("dhash", "chars")):
-        fp = _simhashes(own, kind).select("id", F.col("fp").alias(name))
-        files = files.join(fp, "id", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    kinds = {"ahash": "words", "phash": "pairs", "dhash": "chars"}
+    fps = [_simhashes(own, kind).select("id", *[(F.col("fp") if k == name else F.lit(None).cast("long")).alias(k) for k in kinds]) for name, kind in kinds.items()]
+    hashes = stored(reduce(DataFrame.unionByName, fps).groupBy("id").agg(*[F.max(k).alias(k) for k in kinds]), "hashes")
+    files = files.join(hashes, "id", "left").withColumns({k: F.coalesce(k, F.lit(0).cast("long")) for k in kinds})
     spec = ScanSpec(category="images", mode="smart", threshold=8, extensions=("txt",), min_votes=2, verify_full=True)
     found = scan(spark, spec, files.withColumn("decoded", F.lit(True)), F.col("content"))
     return found.members.select("gid", "id", F.col("pos").cast("long").alias("pos"), "exact", "algorithm")

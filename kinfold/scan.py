@@ -96,9 +96,9 @@ def members(media_rows: DataFrame, spec: ScanSpec) -> DataFrame:
     kinds, most = [h for h in hashes if h != "md5"], int(clamped(spec.mode, spec.threshold))
     if not kinds or not most:
         return exact.drop("members")
-    left = G.not_in(media_rows.filter("decoded"), exact)
+    left = stored(G.not_in(media_rows.filter("decoded"), exact), "left")  # else each use of it repeats its plan, which the driver holds
     of = connected_components(links(left, kinds, most, spec)).select(F.col("node").alias("id"), F.col("component").alias("part"))
-    found = left.join(of, "id")
+    found = stored(left.join(of, "id"), "alike")
     names = found.groupBy("part").agg(F.min("path").alias("gid"))
     found = found.join(names, "part").drop("part")
     similarity = G.bit_similarity(found, kinds)
@@ -109,7 +109,7 @@ def members(media_rows: DataFrame, spec: ScanSpec) -> DataFrame:
 def links(rows: DataFrame, kinds: list[str], most: int, spec: ScanSpec) -> DataFrame:
     """Links (a, b) of ids: any hash within ``most`` bits; in smart scans as many hashes as ``spec.min_votes``.
 
-    Rows of equal hashes are linked by stars; pairs are made of distinct hashes only.
+    Rows of equal hashes are linked by stars; only distinct hashes are compared.
     """
     if spec.mode != "smart" or spec.min_votes < 2:
         out = None
@@ -117,7 +117,4 @@ def links(rows: DataFrame, kinds: list[str], most: int, spec: ScanSpec) -> DataF
             one = J.hamming_pairs(rows, most, hash_col=h, forest=True).select("a", "b").unionByName(J.same_hash_links(rows, hash_col=h))
             out = one if out is None else out.unionByName(one)
         return out
-    all_hashes = F.struct(*kinds)
-    same = J.same_hash_links(rows.withColumn("all_hashes", all_hashes), hash_col="all_hashes")
-    distinct = rows.groupBy(*kinds).agg(F.min("id").alias("id"))
-    return J.votes({h: J.close_pairs(distinct, most, hash_col=h) for h in kinds}, spec.min_votes).select("a", "b").unionByName(same)
+    return J.agreeing_links(rows, kinds, most, spec.min_votes)

@@ -60,6 +60,47 @@ def test_smart_scan_votes(spark):
     assert of(1) == [("/d/f0.jpg", i) for i in range(5)]
 
 
+def parts(links) -> dict:
+    top = {}
+    for a, b in links:
+        a, b = top.get(a, {a}), top.get(b, {b})
+        for x in (joined := a | b):
+            top[x] = joined
+    return {x: min(of) for x, of in top.items()}
+
+
+@pytest.mark.parametrize("least,block", [(1, 1 << 15), (2, 1 << 15), (2, 40), (3, 40), (4, 40)])
+def test_links_by_votes_equal_brute_force(spark, least, block):
+    rng = np.random.default_rng(least)
+    base = rng.integers(-(2**63), 2**63 - 1, (12, 3))
+    rows = [[None if rng.random() < 0.1 else int(h ^ np.int64(sum(1 << int(i) for i in rng.choice(62, rng.integers(0, 9), replace=False)))) for h in b] for b in base for _ in range(8)]
+    rows += rows[:20] + [[7, 7, int(h)] for h in rng.integers(0, 2**62, 30)] + [[None, None, 5], [None, None, 5], [None] * 3, [None] * 3]
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, p long, q long, r long")
+    got = J.agreeing_links(table, ["p", "q", "r"], 4, least, block=block).collect()
+    votes = lambda x, y: sum(None not in (a, b) and ((a ^ b) & (2**64 - 1)).bit_count() <= 4 for a, b in zip(x, y, strict=True))
+    assert parts(got) == parts((i, j) for i, x in enumerate(rows) for j, y in enumerate(rows) if i < j and votes(x, y) >= least)
+    assert (least > 3) == (not got) and all(a != b for a, b in got)
+
+
+def test_smart_scan_keeps_its_plans_small(spark, monkeypatch):
+    from kinfold import scan as scans
+
+    plans, components = [], scans.connected_components
+
+    def seen(links):
+        plans.append(links._jdf.queryExecution().optimizedPlan().toString())
+        return components(links)
+
+    monkeypatch.setattr(scans, "connected_components", seen)
+    rows = [(i, f"/d/f{i}.jpg", f"f{i}.jpg", "/d", 100, 1, i % 3, i % 3, i % 3, True) for i in range(9)]
+    files = spark.createDataFrame(rows, "id long, path string, name string, dir string, size long, mod_unix long, dhash long, ahash long, phash long, decoded boolean")
+    found = scan(spark, ScanSpec(mode="smart", threshold=2), files, F.col("path").cast("binary")).members
+    plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+    assert found.count() == 9 and len(plans) == 2
+    # the driver keeps each plan, its metrics and a broadcast a join until the query ends
+    assert [p.count("Join ") <= most for p, most in zip(plans, (1, 8), strict=True)] == [True, True], [p.count("Join ") for p in plans]
+
+
 @pytest.mark.parametrize("most", [0, 5, 10, 20])
 def test_bands_miss_no_pair(spark, most):
     rng = np.random.default_rng(most)
